@@ -1,0 +1,2 @@
+"""Empty on purpose: the filter is a finite loop over a table of observations,
+so the library has no streaming sources, watermarks or stateful operators."""
