@@ -43,14 +43,32 @@ def offset_bits(u: float) -> int:
     return int(u * ONE_32)
 
 
-def quantize_offset(cumulative: Column, total: Column, n: Column, u_bits: Column) -> Column:
-    """``floor(n * cumulative / total + u)`` with ``u = u_bits / 2^32``, exactly.
+def offset_shift(total: Column, u_bits: Column) -> Column:
+    """``floor(total * u)`` with ``u = u_bits / 2^32``, one value per group.
+
+    ``div`` returns a BIGINT, so the total is split at 2^32 to keep each
+    quotient small.
+    """
+    by = F.lit(ONE_32).cast(WIDE)
+    upper = integer_div(wide(total), by)
+    lower = wide(total) - wide(upper) * by
+    return wide(wide(u_bits) * wide(upper) + wide(integer_div(wide(u_bits) * wide(lower), by)))
+
 
-    ``n * cumulative`` is an integer, so ``u`` may be rounded down to a whole
-    number of ``1/total`` parts first; that keeps the product below 2^126.
+def slot_end(cumulative: Column, total: Column, n: Column, shift: Column) -> Column:
+    """``floor(n * cumulative / total + u)``, exactly, given ``shift = floor(total * u)``.
+
+    ``n * cumulative`` is an integer, so rounding ``total * u`` down first does
+    not change the result, and the product stays below 2^126. A result that
+    does not fit fails the job even where ANSI mode is off.
     """
-    shift = integer_div(wide(u_bits) * wide(total), F.lit(ONE_32).cast(WIDE))
-    return integer_div(wide(cumulative) * wide(n) + wide(shift), wide(total)).cast("bigint")
+    slot = integer_div(wide(wide(cumulative) * wide(n)) + wide(shift), wide(total))
+    return F.coalesce(slot, F.raise_error(F.lit("weights times rows exceed 38 digits")).cast("bigint"))
+
+
+def quantize_offset(cumulative: Column, total: Column, n: Column, u_bits: Column) -> Column:
+    """Cumulative weight to integer slot."""
+    return slot_end(cumulative, total, n, offset_shift(total, u_bits))
 
 
 def node_of(key: Column, size: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from murmuration.functions.slots import WEIGHT_BITS, floor_div, offset_bits, quantize_offset, wide
+from murmuration.functions.slots import WEIGHT_BITS, floor_div, offset_bits, offset_shift, slot_end, wide
 from murmuration.operators.scan import BUCKET, Cells, bucket_width, lay_out, scan
 from murmuration.operators.weights import integer_weights
 from murmuration.plans.stage import shuffle_partitions
@@ -43,30 +43,34 @@ def slots_of(
     """
     own = _own_weight(weight_col)
     one = F.lit(1).cast("bigint")
-    totals = {"total_w": own, "_n_rows": one}
+    weight, rows = F.col("_weight"), F.col("_rows")
+    flat = weight == F.lit(0)
+    total = F.when(flat, wide(rows)).otherwise(weight)
+    totals = {"_weight": own, "_rows": one}
+    derived = {
+        "total_w": weight,
+        "_flat": flat,
+        "_total": total,
+        "_shift": offset_shift(total, _bits(offset)),
+        "_size": rows if n is None else F.lit(n).cast("bigint"),
+    }
     if keep_above is not None:
         totals["_squares"] = own * own
-    summed = scan(cells, [id_col], {"cum_w": own, "_position": one}, totals)
-    flat = F.col("total_w") == F.lit(0)
-    cum = F.when(flat, wide(F.col("_position"))).otherwise(F.col("cum_w"))
-    step = F.when(flat, wide(F.lit(1))).otherwise(own)
-    total = F.when(flat, wide(F.col("_n_rows"))).otherwise(F.col("total_w"))
-    size = F.col("_n_rows") if n is None else F.lit(n).cast("bigint")
-    u = _bits(offset)
-    hi = quantize_offset(cum, total, size, u)
-    lo = quantize_offset(cum - step, total, size, u)
+        whole = weight.cast("double")
+        ess = F.when(flat, rows.cast("double")).otherwise(whole * whole / F.col("_squares").cast("double"))
+        derived |= {"ess": ess, "resampled": ess <= F.lit(keep_above) * rows}
+    summed = scan(cells, [id_col], {"cum_w": own, "_position": one}, totals, derived)
+
+    end = F.when(F.col("_flat"), wide(F.col("_position"))).otherwise(F.col("cum_w"))
+    start = end - F.when(F.col("_flat"), wide(one)).otherwise(own)
+    scale = [F.col("_total"), F.col("_size"), F.col("_shift")]
+    hi, lo = slot_end(end, *scale), slot_end(start, *scale)
     if keep_above is not None:
-        whole = F.col("total_w").cast("double")
-        ess = F.when(flat, F.col("_n_rows").cast("double")).otherwise(
-            whole * whole / F.col("_squares").cast("double")
-        )
-        summed = summed.withColumn("ess", ess)
-        summed = summed.withColumn("resampled", F.col("ess") <= F.lit(keep_above) * F.col("_n_rows"))
         hi = F.when(F.col("resampled"), hi).otherwise(F.col("_position"))
-        lo = F.when(F.col("resampled"), lo).otherwise(F.col("_position") - F.lit(1))
+        lo = F.when(F.col("resampled"), lo).otherwise(F.col("_position") - one)
     out = summed.withColumns({"slot_lo": lo, "slot_hi": hi})
     out = out.withColumn("n_copies", F.col("slot_hi") - F.col("slot_lo"))
-    return out.drop("_position", "_n_rows", "_squares")
+    return out.drop("_position", "_flat", "_total", "_shift", "_size")
 
 
 def systematic_copies(
@@ -82,8 +86,7 @@ def systematic_copies(
     """Copies per row: within one of ``n w / sum(w)``, adding up to exactly ``n``.
 
     ``n`` defaults to the number of rows of the table (or group). ``offset`` is
-    a number in [0, 1), or a column of 32-bit integers that is constant within
-    a group. Floating-point weights are made integers first.
+    a number in [0, 1), or a column of 32-bit integers over the group columns. Floating-point weights are made integers first.
     """
     if isinstance(df.schema[weight_col].dataType, (T.DoubleType, T.FloatType)):
         weighted = integer_weights(df, weight_col, group_cols, out="_wq", bits=bits)

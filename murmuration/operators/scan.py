@@ -39,6 +39,7 @@ class Cells:
 
     rows: DataFrame
     keys: tuple[str, ...]
+    group_cols: tuple[str, ...]
     group_keys: tuple[str, ...]
     added: tuple[str, ...]
 
@@ -65,22 +66,23 @@ def lay_out(
     """
     if layout == "auto":
         layout, width = _choose(df, order, group_cols, width)
-    keyed, group_keys = _group_keys(df, group_cols)
+    keyed, group_keys = non_null_keys(df, group_cols)
+    stand_ins = tuple(k for k in group_keys if k not in group_cols)
     if layout == "dense":
         (key,) = order
         span = width or MAX_WIDTH
         key = F.col(key) if isinstance(key, str) else key
         rows = keyed.withColumn(BUCKET, floor_div(key, span))
-        added = (*group_keys, BUCKET)
+        added = (*stand_ins, BUCKET)
     elif layout == "range":
         ranged = keyed.repartitionByRange(shuffle_partitions(df), *group_keys, *order)
         rows = materialize(ranged.withColumn(BUCKET, F.spark_partition_id().cast("bigint")))
-        added = (*group_keys, BUCKET)
+        added = (*stand_ins, BUCKET)
     elif layout == "carried":
-        rows, added = keyed, group_keys
+        rows, added = keyed, stand_ins
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    return Cells(rows, (*group_keys, BUCKET), group_keys, added)
+    return Cells(rows, (*group_keys, BUCKET), tuple(group_cols), group_keys, added)
 
 
 def _choose(df, order, group_cols, width):
@@ -96,17 +98,32 @@ def _choose(df, order, group_cols, width):
     return ("dense", width) if width <= 8 * MAX_WIDTH else ("range", None)
 
 
-def _group_keys(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, tuple[str, ...]]:
-    """Non-null stand-ins for the group columns: a filler value and a null
-    flag, so that NULL forms a group and plain equality joins it."""
+def non_null_keys(
+    df: DataFrame, group_cols: Sequence[str], always: bool = False
+) -> tuple[DataFrame, tuple[str, ...]]:
+    """Key columns that NULL groups can be joined by with plain equality: the
+    group column itself where it cannot be NULL, else a filler and a flag."""
     names: list[str] = []
     for i, name in enumerate(group_cols):
-        df = df.withColumn(f"_g{i}", F.coalesce(F.col(name), _filler(df.schema[name].dataType)))
-        df = df.withColumn(f"_n{i}", F.col(name).isNull())
+        field = df.schema[name]
+        if not field.nullable and not always:
+            names.append(name)
+            continue
+        df = df.withColumns(
+            {f"_g{i}": F.coalesce(F.col(name), _filler(field.dataType)), f"_n{i}": F.col(name).isNull()}
+        )
         names += [f"_g{i}", f"_n{i}"]
     return df, tuple(names)
 
 
+def given_groups(group_cols: Sequence[str]) -> list[Column]:
+    """The group columns behind stand-ins made with ``always``."""
+    return [
+        F.when(F.col(f"_n{i}"), F.lit(None)).otherwise(F.col(f"_g{i}")).alias(name)
+        for i, name in enumerate(group_cols)
+    ]
+
+
 def _filler(kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return F.lit("")
@@ -124,36 +141,43 @@ def scan(
     order: Sequence[str | Column],
     running: Mapping[str, Column],
     totals: Mapping[str, Column] | None = None,
+    derived: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and group totals.
+    """Add inclusive running sums and facts about the whole group.
 
     ``running`` maps an output name to the value summed in order; ``totals``
-    maps an output name to a value summed over the whole group. The cell keys
-    stay on the result.
+    maps a name to a value summed over the group. ``derived`` maps an output
+    name to an expression over totals and group columns; it is evaluated once
+    per cell, not per row. With ``derived`` the totals themselves are not put
+    on the rows unless it names them. The cell keys stay on the result.
     """
     totals = totals or {}
-    per_cell = cells.rows.groupBy(*cells.keys).agg(
+    facts = dict(derived) if derived is not None else {k: F.col(k) for k in totals}
+    names = [c for c in cells.group_cols if c not in cells.keys]
+    per_cell = cells.rows.groupBy(*cells.keys, *names).agg(
         *[F.sum(v).alias(f"_r_{k}") for k, v in running.items()],
-        *[F.sum(v).alias(f"_t_{k}") for k, v in totals.items()],
+        *[F.sum(v).alias(k) for k, v in totals.items()],
     )
+    types = {f.name: f.dataType for f in per_cell.schema}
     group = Window.partitionBy(*cells.group_keys)
     earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before = per_cell.select(
         *cells.keys,
+        *names,
         *[
-            F.coalesce(F.sum(f"_r_{k}").over(earlier), F.lit(0).cast(per_cell.schema[f"_r_{k}"].dataType)).alias(
-                f"_o_{k}"
-            )
+            F.coalesce(F.sum(f"_r_{k}").over(earlier), F.lit(0).cast(types[f"_r_{k}"])).alias(f"_o_{k}")
             for k in running
         ],
-        *[F.sum(f"_t_{k}").over(group).alias(k) for k in totals],
-    )
+        *[F.sum(k).over(group).alias(k) for k in totals],
+    ).select(*cells.keys, *[f"_o_{k}" for k in running], *[v.alias(k) for k, v in facts.items()])
     inside = Window.partitionBy(*cells.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cells.rows.withColumns({f"_l_{k}": F.sum(v).over(inside) for k, v in running.items()})
     joined = local.join(before, list(cells.keys))
-    out = joined.withColumns({k: F.col(f"_l_{k}") + F.col(f"_o_{k}") for k in running})
-    kept = [*cells.rows.columns, *running, *totals]
-    return out.select(*kept)
+    return joined.select(
+        *cells.rows.columns,
+        *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in running],
+        *facts,
+    )
 
 
 def prefix_sum(

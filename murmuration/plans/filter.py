@@ -20,7 +20,7 @@ from murmuration.operators.resample import replicate_balanced, slots_of
 from murmuration.operators.scan import BUCKET, bucket_width, lay_out, row_positions
 from murmuration.operators.vector import init_particles, propagate_state
 from murmuration.plans.report import step_report
-from murmuration.plans.stage import keep, materialize_partitioned, shuffle_partitions
+from murmuration.plans.stage import keep, materialize_partitioned, shuffle_partitions, write_cached
 
 MAX_STEPS = 10_000
 ESTIMATES = ("plain", "weighted")
@@ -112,19 +112,18 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
         cells = lay_out(weighted, ["id"], layout="carried")
         slots = slots_of(cells, "wq", None, offset, "id").select("id", "x", "slot_lo", "slot_hi")
         after = replicate_balanced(slots, width=pop.width, bucket=BUCKET).select("id", "x", BUCKET)
+        if settings.carry_weights:
+            after = after.withColumn("lw", F.lit(0.0))
+        after, (_, mean) = materialize_partitioned(after, F.avg("x"))
+    elif settings.carry_weights:
+        after = write_cached(moved.withColumn("lw", F.col("lw") - F.lit(peak)))
     else:
-        after = moved.select("id", "x", BUCKET, "lw")
-    if settings.carry_weights:
-        after = after.withColumn("lw", F.lit(0.0) if resampled else F.col("lw") - F.lit(peak))
-    else:
-        after = after.drop("lw")
-    after = materialize_partitioned(after)
+        after = write_cached(moved.drop("lw"))
     moved.unpersist()
 
-    if settings.estimate == "weighted":
-        estimate = moment / float(total) if total else mean
-    else:
-        estimate = after.agg(F.avg("x")).first()[0] if resampled else mean
+    estimate = mean
+    if settings.estimate == "weighted" and total:
+        estimate = moment / float(total)
     return _Population(after, pop.width), (step, z, ess, bool(resampled), estimate)
 
 
@@ -134,7 +133,7 @@ def _observed(observations: DataFrame) -> list[tuple[int, float | None]]:
         raise ValueError(f"more than {MAX_STEPS} steps in one run")
     steps = sorted((r[0], r[1]) for r in rows)
     if len({s for s, _ in steps}) != len(steps):
-        raise ValueError("one observation per step, please")
+        raise ValueError("more than one observation for a step")
     return steps
 
 

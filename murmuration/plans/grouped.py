@@ -15,18 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 from murmuration.functions.slots import quantize, wide
 from murmuration.operators.attach import attach, match_keys
 from murmuration.operators.resample import replicate_balanced, slots_of
-from murmuration.operators.scan import BUCKET, bucket_width, lay_out, row_positions
-from murmuration.operators.vector import init_particles, propagate_state
+from murmuration.operators.scan import BUCKET, bucket_width, given_groups, lay_out, non_null_keys, row_positions
 from murmuration.plans.filter import MAX_STEPS, OFFSET_KEY, FilterRun, FilterSettings, bucket_of, log_weight
 from murmuration.plans.stage import keep, materialize, materialize_partitioned, shuffle_partitions
 
 
-def _one_per_step(observations: DataFrame, groups: Sequence[str]) -> DataFrame:
-    twice = F.raise_error(F.lit("one observation per group and step, please")).cast("double")
-    value = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max("z"))
-    return observations.groupBy(*groups, F.col("step").cast("int").alias("step")).agg(value.alias("z"))
-
-
 def run_filter_grouped(
     particles: DataFrame,
     observations: DataFrame,
@@ -41,21 +34,31 @@ def run_filter_grouped(
     group and step.
     """
     settings = settings or FilterSettings()
-    groups = list(group_cols)
     noise = settings.noise
+    # Inside the loop a group is a pair of columns that are never NULL, so that
+    # the partitioning left by one step serves the joins of the next. Noise is
+    # keyed by the groups as given.
+    particles, stand_ins = non_null_keys(particles, group_cols, always=True)
+    observations, _ = non_null_keys(observations, group_cols, always=True)
+    groups, given = list(stand_ins), given_groups(group_cols)
+
     observed = materialize(_one_per_step(observations, groups))
     per_step = observed.groupBy("step").count().orderBy("step").limit(MAX_STEPS + 1).collect()
     if len(per_step) > MAX_STEPS:
         raise ValueError(f"more than {MAX_STEPS} steps in one run")
+    if not per_step:
+        raise ValueError("there are no observations")
 
-    ranked = row_positions(particles.select(*groups, "id", F.col("x").cast("double").alias("x")), ["id"], "_rank", groups)
+    states = particles.select(*groups, "id", F.col("x").cast("double").alias("x"))
+    ranked = row_positions(states, ["id"], "_rank", groups)
     pop = ranked.select(*groups, F.col("_rank").alias("id"), "x")
-    if initial_variance is not None:
-        pop = init_particles(pop, noise, initial_variance, group_cols=groups)
-    sizes = materialize(particles.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")))
+    sizes = pop.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     n_groups, n = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not n_groups:
         raise ValueError("the population is empty")
+    if initial_variance is not None:
+        spread = F.sqrt(F.lit(float(initial_variance)))
+        pop = pop.withColumn("x", F.col("x") + spread * noise.gaussian(0, *given, "id"))
     width = bucket_width(n, shuffle_partitions(particles))
     pop = pop.withColumn(BUCKET, bucket_of("id", width))
     if settings.carry_weights:
@@ -64,8 +67,8 @@ def run_filter_grouped(
     reports: list[DataFrame] = []
     for step, n_observed in per_step:
         now = observed.where(F.col("step") == F.lit(step)).select(*groups, "z")
-        moved = propagate_state(pop, settings.model, noise, step, group_cols=groups)
-        moved = attach(moved, now, groups, "left", n_facts=n_observed)
+        state = settings.model.transition(F.col("x"), F.lit(step), noise.gaussian(step, *given, "id"))
+        moved = attach(pop.withColumn("x", state), now, groups, "left", n_facts=n_observed)
         own = log_weight(settings.model, F.col("x"), F.col("z"))
         moved = keep(moved.withColumn("lw", F.col("lw") + own if settings.carry_weights else own))
 
@@ -73,7 +76,7 @@ def run_filter_grouped(
         weighted = attach(moved, peaks, groups, n_facts=n_groups)
         weighted = weighted.withColumn("wq", quantize(F.exp(F.col("lw") - F.col("_peak")), settings.bits))
 
-        offset = noise.bits32(step, F.lit(OFFSET_KEY), *groups)
+        offset = noise.bits32(step, F.lit(OFFSET_KEY), *given)
         cells = lay_out(weighted, ["id"], groups, layout="carried")
         slots = slots_of(cells, "wq", None, offset, "id", keep_above=settings.fraction)
         columns = [*groups, "id", "x"]
@@ -83,13 +86,20 @@ def run_filter_grouped(
             columns.append("lw")
         grown = replicate_balanced(
             slots.select(*columns, "slot_lo", "slot_hi"), group_cols=groups, width=width, bucket=BUCKET
-        ).select(*columns, BUCKET)
-        pop = materialize_partitioned(grown)
+        )
+        pop, _ = materialize_partitioned(grown.select(*columns, BUCKET))
         reports.append(materialize(_report(weighted, pop, groups, step, settings)))
         moved.unpersist()
-    if not reports:
-        raise ValueError("there are no observations")
-    return FilterRun(pop.select(*groups, "id", "x"), reduce(DataFrame.unionByName, reports))
+
+    report = reduce(DataFrame.unionByName, reports)
+    measured = [c for c in report.columns if c not in groups]
+    return FilterRun(pop.select(*given, "id", "x"), report.select(*given, *measured))
+
+
+def _one_per_step(observations: DataFrame, groups: Sequence[str]) -> DataFrame:
+    twice = F.raise_error(F.lit("more than one observation for a group and step")).cast("double")
+    value = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max("z"))
+    return observations.groupBy(*groups, F.col("step").cast("int").alias("step")).agg(value.alias("z"))
 
 
 def _report(weighted: DataFrame, pop: DataFrame, groups: list[str], step: int, settings: FilterSettings) -> DataFrame:
@@ -103,15 +113,14 @@ def _report(weighted: DataFrame, pop: DataFrame, groups: list[str], step: int, s
         F.sum(wq * wq).alias("_squares"),
         F.sum(F.col("wq").cast("double") * F.col("x")).alias("_moment"),
     )
-    facts = facts.withColumn(
-        "ess", F.when(F.col("_total") == 0, rows).otherwise(whole * whole / F.col("_squares").cast("double"))
-    )
+    flat = F.col("_total") == F.lit(0)
+    ess = F.when(flat, rows).otherwise(whole * whole / F.col("_squares").cast("double"))
+    facts = facts.withColumn("ess", ess)
     means = pop.groupBy(*groups).agg(F.avg("x").alias("_mean"))
-    joined = match_keys(facts, means, groups)
     estimate = F.col("_mean")
     if settings.estimate == "weighted":
-        estimate = F.when(F.col("_total") == 0, F.col("_mean")).otherwise(F.col("_moment") / whole)
-    return joined.select(
+        estimate = F.when(flat, estimate).otherwise(F.col("_moment") / whole)
+    return match_keys(facts, means, groups).select(
         *groups,
         F.lit(step).alias("step"),
         "z",

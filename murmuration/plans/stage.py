@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,24 +41,31 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def materialize_partitioned(df: DataFrame) -> DataFrame:
-    """Materialize rows that a shuffle has just placed, and remember where.
+def write_cached(df: DataFrame) -> DataFrame:
+    """Materialize a projection of a persisted frame and remember its partitioning.
 
-    A checkpoint of an adaptive plan forgets its partitioning, so the next
-    window on the same key would shuffle the rows again. Here the adaptive plan
-    fills a cache, and a plan without exchanges writes that cache out.
+    A checkpoint of an adaptive plan forgets how its rows are partitioned, so
+    the next window on the same key would shuffle them again. Reading a cache
+    needs no exchange, hence nothing for adaptive execution to improve.
     """
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
-    cached = keep(df)
-    cached.count()
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        written = materialize(cached.select("*"))
+        return materialize(df.select("*"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def materialize_partitioned(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, Row]:
+    """Materialize rows that a shuffle has just placed, keeping their
+    partitioning, and aggregate them in the same pass."""
+    cached = keep(df)
+    try:
+        row = cached.agg(F.count(F.lit(1)), *aggregates).first()
+        return write_cached(cached), row
+    finally:
         cached.unpersist()
-    return written
 
 
 def shuffle_partitions(df: DataFrame) -> int:
