@@ -13,6 +13,8 @@ from pyspark.sql import Column, functions as F
 WEIGHT_BITS = 40
 WIDE = "decimal(38,0)"
 ONE_32 = 2**32
+# Bound on the relative error of a few double operations, with a wide margin.
+ROUNDING = 2.0**-46
 
 
 def wide(value: Column) -> Column:
@@ -66,6 +68,21 @@ def slot_end(cumulative: Column, total: Column, n: Column, shift: Column) -> Col
     return F.coalesce(slot, F.raise_error(F.lit("weights times rows exceed 38 digits")).cast("bigint"))
 
 
+def slot_within(local: Column, base: Column, head: Column, rate: Column, exact: Column) -> Column:
+    """The slot of a row by its running sum inside a cell.
+
+    The cell starts at slot ``base + head`` with ``0 <= head < 1``, and each
+    unit of weight is ``rate`` slots. The double decides unless it comes so
+    near to a whole number that its rounding could matter; then ``exact``, the
+    number of whole slots since ``base`` in integer arithmetic, does.
+    """
+    inside = head + local.cast("double") * rate
+    whole = F.floor(inside)
+    part = inside - whole.cast("double")
+    doubt = (inside + F.lit(1.0)) * F.lit(ROUNDING)
+    return base + F.when((part > doubt) & (part < F.lit(1.0) - doubt), whole).otherwise(exact)
+
+
 def quantize_offset(cumulative: Column, total: Column, n: Column, u_bits: Column) -> Column:
     """Cumulative weight to integer slot."""
     return slot_end(cumulative, total, n, offset_shift(total, u_bits))

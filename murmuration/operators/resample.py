@@ -11,19 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from murmuration.functions.slots import WEIGHT_BITS, floor_div, offset_bits, offset_shift, slot_end, wide
-from murmuration.operators.scan import BUCKET, Cells, bucket_width, lay_out, scan
+from murmuration.functions.slots import WEIGHT_BITS, floor_div, offset_bits, offset_shift, slot_end, slot_within, wide
+from murmuration.operators.scan import BUCKET, Cells, join_cells, lay_out, scan
 from murmuration.operators.weights import integer_weights
 from murmuration.plans.stage import shuffle_partitions
 
 CHUNK = 2**16
 
 
-def _own_weight(column: str) -> Column:
-    own = F.coalesce(F.col(column), F.lit(0))
-    return F.when(own < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(wide(own))
-
-
 def _bits(offset: float | Column) -> Column:
     return F.lit(offset_bits(offset)) if isinstance(offset, (int, float)) else offset
 
@@ -35,42 +30,76 @@ def slots_of(
     offset: float | Column,
     id_col: str,
     keep_above: float | None = None,
+    weight_bits: int | None = None,
+    dense_ids: bool = False,
 ) -> DataFrame:
     """Slots of integer weights. Equal weights stand in where all are zero.
 
     With ``keep_above`` a group whose effective sample size exceeds that
     fraction of its rows is not resampled: each row keeps one slot.
+    ``weight_bits`` promises weights up to ``2^weight_bits``, so that sums
+    inside a cell of bounded size may be BIGINT where they fit.
+    ``dense_ids`` promises ids that count from 1 in each group.
     """
-    own = _own_weight(weight_col)
+    own = F.coalesce(F.col(weight_col), F.lit(0)).cast("bigint")
+    own = F.when(own < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(own)
+    bounded = weight_bits is not None and cells.most_rows is not None
+    small = bounded and weight_bits + cells.most_rows.bit_length() <= 62
     one = F.lit(1).cast("bigint")
-    weight, rows = F.col("_weight"), F.col("_rows")
-    flat = weight == F.lit(0)
-    total = F.when(flat, wide(rows)).otherwise(weight)
-    totals = {"_weight": own, "_rows": one}
-    derived = {
-        "total_w": weight,
-        "_flat": flat,
-        "_total": total,
-        "_shift": offset_shift(total, _bits(offset)),
-        "_size": rows if n is None else F.lit(n).cast("bigint"),
-    }
+    running = {"w": own if small else wide(own)}
+    if not dense_ids:
+        running["place"] = one
+    totals = {"total_w": wide(own), "_rows": one}
     if keep_above is not None:
-        totals["_squares"] = own * own
-        whole = weight.cast("double")
-        ess = F.when(flat, rows.cast("double")).otherwise(whole * whole / F.col("_squares").cast("double"))
-        derived |= {"ess": ess, "resampled": ess <= F.lit(keep_above) * rows}
-    summed = scan(cells, [id_col], {"cum_w": own, "_position": one}, totals, derived)
-
-    end = F.when(F.col("_flat"), wide(F.col("_position"))).otherwise(F.col("cum_w"))
-    start = end - F.when(F.col("_flat"), wide(one)).otherwise(own)
-    scale = [F.col("_total"), F.col("_size"), F.col("_shift")]
-    hi, lo = slot_end(end, *scale), slot_end(start, *scale)
+        totals["_squares"] = wide(own) * wide(own)
+
+    def derive(table: DataFrame) -> DataFrame:
+        rows, weight, total = F.col("_rows"), F.col("total_w"), F.col("_total")
+        size = rows if n is None else F.lit(n).cast("bigint")
+        table = table.withColumns({"_flat": weight == F.lit(0), "_size": size})
+        table = table.withColumn("_total", F.when(F.col("_flat"), wide(rows)).otherwise(weight))
+        table = table.withColumn("_shift", offset_shift(total, _bits(offset)))
+        table = table.withColumn("_base", slot_end(F.col("before_w"), total, F.col("_size"), F.col("_shift")))
+        rest = wide(wide(F.col("before_w")) * wide(F.col("_size"))) + F.col("_shift")
+        table = table.withColumn("_rest", wide(rest - wide(wide(F.col("_base")) * total)))
+        table = table.withColumns(
+            {
+                "_head": F.col("_rest").cast("double") / total.cast("double"),
+                "_rate": F.col("_size").cast("double") / total.cast("double"),
+            }
+        )
+        if keep_above is not None:
+            whole = weight.cast("double")
+            ess = F.when(F.col("_flat"), rows.cast("double")).otherwise(
+                whole * whole / F.col("_squares").cast("double")
+            )
+            table = table.withColumns({"ess": ess, "resampled": ess <= F.lit(keep_above) * rows})
+        return table
+
+    facts = ["total_w", "_flat", "_size", "_total", "_shift", "_base", "_rest", "_head", "_rate"]
     if keep_above is not None:
-        hi = F.when(F.col("resampled"), hi).otherwise(F.col("_position"))
-        lo = F.when(F.col("resampled"), lo).otherwise(F.col("_position") - one)
-    out = summed.withColumns({"slot_lo": lo, "slot_hi": hi})
+        facts += ["ess", "resampled"]
+    if not dense_ids:
+        facts.append("before_place")
+    rows = join_cells(cells, [id_col], running, totals, derive, facts, widen=True)
+
+    place = F.col(id_col) if dense_ids else (F.col("local_place") + F.col("before_place")).cast("bigint")
+    total, size = F.col("_total"), F.col("_size")
+
+    def slot(local: Column, position: Column) -> Column:
+        exact = slot_end(local, total, size, F.col("_rest"))
+        inside = slot_within(local, F.col("_base"), F.col("_head"), F.col("_rate"), exact)
+        even = slot_end(position, total, size, F.col("_shift"))
+        found = F.when(F.col("_flat"), even).otherwise(inside)
+        if keep_above is None:
+            return found
+        return F.when(F.col("resampled"), found).otherwise(position)
+
+    local = F.col("local_w")
+    out = rows.withColumns({"slot_lo": slot(local - own, place - one), "slot_hi": slot(local, place)})
     out = out.withColumn("n_copies", F.col("slot_hi") - F.col("slot_lo"))
-    return out.drop("_position", "_flat", "_total", "_shift", "_size")
+    kept = ["total_w", "ess", "resampled"] if keep_above is not None else ["total_w"]
+    return out.select(*cells.rows.columns, *kept, "slot_lo", "slot_hi", "n_copies")
 
 
 def systematic_copies(
@@ -90,7 +119,8 @@ def systematic_copies(
     """
     if isinstance(df.schema[weight_col].dataType, (T.DoubleType, T.FloatType)):
         weighted = integer_weights(df, weight_col, group_cols, out="_wq", bits=bits)
-        return systematic_copies(weighted, "_wq", n, offset, id_col, group_cols, layout).drop("_wq")
+        cells = lay_out(weighted, [id_col], group_cols, layout)
+        return cells.drop_keys(slots_of(cells, "_wq", n, offset, id_col, weight_bits=bits)).drop("_wq")
     cells = lay_out(df, [id_col], group_cols, layout)
     return cells.drop_keys(slots_of(cells, weight_col, n, offset, id_col))
 
@@ -170,7 +200,7 @@ def resample(
 ) -> DataFrame:
     """Weights in, equally weighted rows out, with new ids and ``src``."""
     copies = systematic_copies(df, weight_col, n, offset, id_col, group_cols, layout)
-    narrowed = copies.drop(weight_col, "cum_w", "total_w", "n_copies")
+    narrowed = copies.drop(weight_col, "total_w", "n_copies")
     return replicate_balanced(narrowed, id_col, group_cols, width)
 
 
@@ -193,7 +223,7 @@ def resample_if_needed(
     """
     cells = lay_out(df, [id_col], group_cols, layout)
     copies = slots_of(cells, weight_col, None, offset, id_col, keep_above=fraction)
-    narrowed = cells.drop_keys(copies).drop(weight_col, "cum_w", "total_w", "n_copies")
+    narrowed = cells.drop_keys(copies).drop(weight_col, "total_w", "n_copies")
     if bucket and layout == "carried":
         narrowed = narrowed.drop(BUCKET)
     return replicate_balanced(narrowed, id_col, group_cols, width, bucket)

@@ -10,12 +10,12 @@ window has already partitioned by, so the rows are shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from murmuration.functions.slots import floor_div
+from murmuration.functions.slots import floor_div, wide
 from murmuration.plans.stage import materialize, shuffle_partitions
 
 MAX_BUCKETS = 2**20
@@ -35,13 +35,15 @@ def bucket_width(n: int, partitions: int) -> int:
 
 @dataclass(frozen=True)
 class Cells:
-    """Rows with their cell key: ``keys`` are non-null columns of ``rows``."""
+    """Rows with their cell key: ``keys`` are non-null columns of ``rows``.
+    ``most_rows`` bounds the rows of a cell where the layout gives a bound."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     group_cols: tuple[str, ...]
     group_keys: tuple[str, ...]
     added: tuple[str, ...]
+    most_rows: int | None
 
     def drop_keys(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.added)
@@ -61,7 +63,8 @@ def lay_out(
     ``range``: any order columns; cells follow sampled quantiles of
     (group, order), so a hot group is split and small groups share a bucket.
     The sample is fixed by materialising the rows.
-    ``carried``: the rows already have a bucket column.
+    ``carried``: the rows already have a bucket column, over intervals of
+    ``width`` keys.
     ``auto``: dense for an ungrouped integer key whose span allows it, else range.
     """
     if layout == "auto":
@@ -70,19 +73,19 @@ def lay_out(
     stand_ins = tuple(k for k in group_keys if k not in group_cols)
     if layout == "dense":
         (key,) = order
-        span = width or MAX_WIDTH
+        width = width or MAX_WIDTH
         key = F.col(key) if isinstance(key, str) else key
-        rows = keyed.withColumn(BUCKET, floor_div(key, span))
+        rows = keyed.withColumn(BUCKET, floor_div(key, width))
         added = (*stand_ins, BUCKET)
     elif layout == "range":
         ranged = keyed.repartitionByRange(shuffle_partitions(df), *group_keys, *order)
         rows = materialize(ranged.withColumn(BUCKET, F.spark_partition_id().cast("bigint")))
-        added = (*stand_ins, BUCKET)
+        added, width = (*stand_ins, BUCKET), None
     elif layout == "carried":
         rows, added = keyed, stand_ins
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    return Cells(rows, (*group_keys, BUCKET), tuple(group_cols), group_keys, added)
+    return Cells(rows, (*group_keys, BUCKET), tuple(group_cols), group_keys, added, width)
 
 
 def _choose(df, order, group_cols, width):
@@ -136,47 +139,50 @@ def _filler(kind: T.DataType) -> Column:
     raise TypeError(f"cannot group by {kind.simpleString()}")
 
 
-def scan(
+def join_cells(
     cells: Cells,
     order: Sequence[str | Column],
     running: Mapping[str, Column],
-    totals: Mapping[str, Column] | None = None,
-    derived: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column],
+    derive: Callable[[DataFrame], DataFrame],
+    facts: Sequence[str],
+    widen: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums and facts about the whole group.
+    """Running sums inside each cell, next to facts about the cell.
 
-    ``running`` maps an output name to the value summed in order; ``totals``
-    maps a name to a value summed over the group. ``derived`` maps an output
-    name to an expression over totals and group columns; it is evaluated once
-    per cell, not per row. With ``derived`` the totals themselves are not put
-    on the rows unless it names them. The cell keys stay on the result.
+    The result has ``local_{name}`` for every running sum. ``derive`` gets the
+    table of cells, with ``before_{name}`` (the sum over the earlier cells of
+    the group), the group totals and the group columns, and adds the ``facts``
+    to be put on the rows; they are worked out once per cell, not per row.
+    With ``widen`` sums beyond one cell are DECIMAL whatever the values are.
     """
-    totals = totals or {}
-    facts = dict(derived) if derived is not None else {k: F.col(k) for k in totals}
     names = [c for c in cells.group_cols if c not in cells.keys]
     per_cell = cells.rows.groupBy(*cells.keys, *names).agg(
-        *[F.sum(v).alias(f"_r_{k}") for k, v in running.items()],
+        *[(wide(F.sum(v)) if widen else F.sum(v)).alias(f"own_{k}") for k, v in running.items()],
         *[F.sum(v).alias(k) for k, v in totals.items()],
     )
     types = {f.name: f.dataType for f in per_cell.schema}
     group = Window.partitionBy(*cells.group_keys)
     earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_cell.select(
+    cell_table = per_cell.select(
         *cells.keys,
         *names,
         *[
-            F.coalesce(F.sum(f"_r_{k}").over(earlier), F.lit(0).cast(types[f"_r_{k}"])).alias(f"_o_{k}")
+            F.coalesce(F.sum(f"own_{k}").over(earlier), F.lit(0).cast(types[f"own_{k}"])).alias(f"before_{k}")
             for k in running
         ],
         *[F.sum(k).over(group).alias(k) for k in totals],
-    ).select(*cells.keys, *[f"_o_{k}" for k in running], *[v.alias(k) for k, v in facts.items()])
+    )
     inside = Window.partitionBy(*cells.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cells.rows.withColumns({f"_l_{k}": F.sum(v).over(inside) for k, v in running.items()})
-    joined = local.join(before, list(cells.keys))
+    local = cells.rows.withColumns({f"local_{k}": F.sum(v).over(inside) for k, v in running.items()})
+    return local.join(derive(cell_table).select(*cells.keys, *facts), list(cells.keys))
+
+
+def scan(cells: Cells, order: Sequence[str | Column], running: Mapping[str, Column]) -> DataFrame:
+    """Add inclusive running sums; the cell keys stay on the result."""
+    joined = join_cells(cells, order, running, {}, lambda table: table, [f"before_{k}" for k in running])
     return joined.select(
-        *cells.rows.columns,
-        *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in running],
-        *facts,
+        *cells.rows.columns, *[(F.col(f"local_{k}") + F.col(f"before_{k}")).alias(k) for k in running]
     )
 
 

@@ -109,8 +109,9 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
 
     if resampled:
         offset = settings.noise.bits32(step, F.lit(OFFSET_KEY))
-        cells = lay_out(weighted, ["id"], layout="carried")
-        slots = slots_of(cells, "wq", None, offset, "id").select("id", "x", "slot_lo", "slot_hi")
+        cells = lay_out(weighted, ["id"], layout="carried", width=pop.width)
+        slots = slots_of(cells, "wq", None, offset, "id", weight_bits=settings.bits, dense_ids=True)
+        slots = slots.select("id", "x", "slot_lo", "slot_hi")
         after = replicate_balanced(slots, width=pop.width, bucket=BUCKET).select("id", "x", BUCKET)
         if settings.carry_weights:
             after = after.withColumn("lw", F.lit(0.0))

@@ -77,8 +77,10 @@ def run_filter_grouped(
         weighted = weighted.withColumn("wq", quantize(F.exp(F.col("lw") - F.col("_peak")), settings.bits))
 
         offset = noise.bits32(step, F.lit(OFFSET_KEY), *given)
-        cells = lay_out(weighted, ["id"], groups, layout="carried")
-        slots = slots_of(cells, "wq", None, offset, "id", keep_above=settings.fraction)
+        cells = lay_out(weighted, ["id"], groups, layout="carried", width=width)
+        slots = slots_of(
+            cells, "wq", None, offset, "id", settings.fraction, weight_bits=settings.bits, dense_ids=True
+        )
         columns = [*groups, "id", "x"]
         if settings.carry_weights:
             started = F.when(F.col("resampled"), F.lit(0.0)).otherwise(F.col("lw") - F.col("_peak"))
