@@ -235,21 +235,23 @@ def adjacent_difference(
 ) -> DataFrame:
     """``v[i] - v[i-1]`` by ``id_col``; the first value of a group is kept."""
     cells = lay_out(df, [id_col], group_cols, layout)
-    last = cells.rows.groupBy(*cells.keys).agg(F.max_by(F.struct(value_col), F.col(id_col)).alias("_last"))
+    last = cells.rows.groupBy(*cells.keys).agg(F.max_by(value_col, id_col).alias("_last"))
     cell_order = Window.partitionBy(*cells.group_keys).orderBy(BUCKET)
-    carried = last.select(*cells.keys, F.lag("_last").over(cell_order).alias("_carried"))
+    carried = last.select(
+        *cells.keys,
+        F.lag("_last").over(cell_order).alias("_carried"),
+        (F.row_number().over(cell_order) == F.lit(1)).alias("_first_cell"),
+    )
     inside = Window.partitionBy(*cells.keys).orderBy(id_col)
     rows = cells.rows.withColumns(
         {"_prev": F.lag(value_col).over(inside), "_first": F.row_number().over(inside) == F.lit(1)}
     )
-    joined = rows.join(carried, list(cells.keys))
-    before = F.when(F.col("_first"), F.col("_carried")[value_col]).otherwise(F.col("_prev"))
     zero = F.lit(0).cast(df.schema[value_col].dataType)
-    first_of_group = F.col("_first") & F.col("_carried").isNull()
-    out_rows = joined.withColumn(
-        out, F.col(value_col) - F.when(first_of_group, zero).otherwise(before)
+    before = (
+        F.when(~F.col("_first"), F.col("_prev")).when(F.col("_first_cell"), zero).otherwise(F.col("_carried"))
     )
-    return out_rows.select(*df.columns, out)
+    joined = rows.join(carried, list(cells.keys))
+    return joined.withColumn(out, F.col(value_col) - before).select(*df.columns, out)
 
 
 def row_positions(
