@@ -28,10 +28,13 @@ def merge_by_max(
     left: DataFrame, right: DataFrame, columns: Sequence[str], id_col: str = "id"
 ) -> DataFrame:
     """Align two vectors of equal columns by key, keeping unmatched keys; where
-    both sides have a value the larger wins, where one has it that one."""
-    other = right.select(id_col, *[F.col(c).alias(f"_r_{c}") for c in columns])
-    both = left.select(id_col, *columns).join(other, id_col, "full_outer")
-    return both.select(id_col, *[F.greatest(c, f"_r_{c}").alias(c) for c in columns])
+    several rows share a key the largest value of each column wins.
+
+    A union and an aggregate: one shuffle, after partial aggregation, where a
+    full outer join would shuffle both sides whole.
+    """
+    both = union_all(left.select(id_col, *columns), right.select(id_col, *columns))
+    return both.groupBy(id_col).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def gather_by_index(

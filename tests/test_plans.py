@@ -59,6 +59,18 @@ def test_shuffles_per_step_do_not_depend_on_n(spark, n):
     assert exchanges(plan(step_plan(population(spark, n, 4096), 4096))) <= 6
 
 
+def test_without_broadcast_the_rows_are_shuffled_twice(spark):
+    """Once to scan, once to spread the copies; the rest is one row per cell."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(step_plan(population(spark, 2**16, 4096), 4096))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text
+    assert exchanges(text) == 5
+    assert text.count("hashpartitioning(_bucket") == 4
+
+
 def test_next_step_starts_from_the_partitioning_of_the_last(spark):
     after, _ = materialize_partitioned(step_plan(population(spark, 10_000, 512), 512))
     inside = Window.partitionBy(BUCKET).orderBy("id")

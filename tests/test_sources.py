@@ -37,3 +37,17 @@ def test_materialized_rows_do_not_follow_their_source(spark):
     df = stage.materialize(id_range(spark, 50).withColumn("r", F.rand()))
     assert sorted(df.collect()) == sorted(df.collect())
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_from_text_to_text(spark):
+    from murmuration.__main__ import main
+
+    folder = stage.run_folder(spark, "test")
+    start = spark.createDataFrame([(k, 0.5 + k / 200) for k in range(1, 65)], "id bigint, x double")
+    write_keyvalue(start, f"{folder}/particles")
+    seen = spark.createDataFrame([(1, 3.0), (2, 9.0)], "step int, z double")
+    write_keyvalue(seen, f"{folder}/observations", "step", "z")
+    main([f"{folder}/particles", f"{folder}/observations", f"{folder}/out", "--seed", "3"])
+    assert read_keyvalue(spark, f"{folder}/out/particles").count() == 64
+    report = spark.read.option("header", True).csv(f"{folder}/out/report")
+    assert report.columns == ["step", "z", "ess", "resampled", "estimate"] and report.count() == 2

@@ -79,9 +79,9 @@ def test_attach_beyond_the_limit_broadcasts_heavy_keys_only(spark):
 
 def test_merge_by_max_keeps_negative_and_unmatched(spark):
     a = spark.createDataFrame([(1, -5.0), (2, -1.0), (3, 4.0)], "id bigint, x double")
-    b = spark.createDataFrame([(2, -3.0), (3, 9.0), (4, -1.0)], "id bigint, x double")
+    b = spark.createDataFrame([(2, -3.0), (3, 9.0), (4, -1.0), (4, -0.5)], "id bigint, x double")
     got = {r.id: r.x for r in joins.merge_by_max(a, b, ["x"]).collect()}
-    assert got == {1: -5.0, 2: -1.0, 3: 9.0, 4: -1.0}
+    assert got == {1: -5.0, 2: -1.0, 3: 9.0, 4: -0.5}
 
 
 def test_gather_by_rotation(spark):
