@@ -83,6 +83,12 @@ def slot_within(local: Column, base: Column, head: Column, rate: Column, exact:
     return base + F.when((part > doubt) & (part < F.lit(1.0) - doubt), whole).otherwise(exact)
 
 
+def effective_size(total: Column, squares: Column, rows: Column) -> Column:
+    """``(sum w)^2 / sum w^2`` of integer weights; equal weights where all are zero."""
+    whole = total.cast("double")
+    return F.when(total == F.lit(0), rows.cast("double")).otherwise(whole * whole / squares.cast("double"))
+
+
 def quantize_offset(cumulative: Column, total: Column, n: Column, u_bits: Column) -> Column:
     """Cumulative weight to integer slot."""
     return slot_end(cumulative, total, n, offset_shift(total, u_bits))

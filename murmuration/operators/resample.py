@@ -7,12 +7,22 @@ the new ids, so no renumbering follows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from murmuration.functions.slots import WEIGHT_BITS, floor_div, offset_bits, offset_shift, slot_end, slot_within, wide
-from murmuration.operators.scan import BUCKET, Cells, join_cells, lay_out, scan
+from murmuration.functions.slots import (
+    WEIGHT_BITS,
+    WIDE,
+    effective_size,
+    floor_div,
+    offset_bits,
+    offset_shift,
+    slot_end,
+    slot_within,
+    wide,
+)
+from murmuration.operators.scan import BUCKET, Cells, cell_sums, join_cells, lay_out, scan
 from murmuration.operators.weights import integer_weights
 from murmuration.plans.stage import shuffle_partitions
 
@@ -23,6 +33,45 @@ def _bits(offset: float | Column) -> Column:
     return F.lit(offset_bits(offset)) if isinstance(offset, (int, float)) else offset
 
 
+def _own(weight_col: str) -> Column:
+    own = F.coalesce(F.col(weight_col), F.lit(0)).cast("bigint")
+    return F.when(own < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(own)
+
+
+def _fits(cells: Cells, weight_bits: int | None) -> bool:
+    """Whether sums of the weights of a cell fit a BIGINT."""
+    return (
+        weight_bits is not None
+        and cells.most_rows is not None
+        and weight_bits + cells.most_rows.bit_length() <= 61
+    )
+
+
+def weight_sums(
+    cells: Cells, weight_col: str, weight_bits: int | None = None, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Per cell: the number of ``rows``, the sum ``w`` of its weights, the sum
+    of their ``squares``, exactly, and ``extra`` sums.
+
+    Where a cell's sums fit, they are added up as BIGINT, squares in the parts
+    of ``(a 2^h + b)^2``, and widened once per cell.
+    """
+    own, extra = _own(weight_col), extra or {}
+    rows = F.lit(1).cast("bigint")
+    if not _fits(cells, weight_bits):
+        return cell_sums(cells, {"rows": rows, "w": wide(own), "squares": wide(own) * wide(own), **extra})
+    half = weight_bits // 2
+    upper, lower = F.shiftright(own, half), own.bitwiseAND(F.lit(2**half - 1))
+    parts = {"_aa": upper * upper, "_ab": upper * lower, "_bb": lower * lower}
+    sums = cell_sums(cells, {"rows": rows, "_w": own, **parts, **extra})
+
+    def scaled(part: str, power: int) -> Column:
+        return wide(wide(F.col(part)) * F.lit(2**power).cast(WIDE))
+
+    squares = wide(scaled("_aa", 2 * half) + scaled("_ab", half + 1) + wide(F.col("_bb")))
+    return sums.withColumns({"w": wide(F.col("_w")), "squares": squares}).drop("_w", *parts)
+
+
 def slots_of(
     cells: Cells,
     weight_col: str,
@@ -32,6 +81,7 @@ def slots_of(
     keep_above: float | None = None,
     weight_bits: int | None = None,
     dense_ids: bool = False,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Slots of integer weights. Equal weights stand in where all are zero.
 
@@ -39,24 +89,20 @@ def slots_of(
     fraction of its rows is not resampled: each row keeps one slot.
     ``weight_bits`` promises weights up to ``2^weight_bits``, so that sums
     inside a cell of bounded size may be BIGINT where they fit.
-    ``dense_ids`` promises ids that count from 1 in each group.
+    ``dense_ids`` promises ids that count from 1 in each group. ``sums`` is
+    the result of ``weight_sums`` where the caller has kept it.
     """
-    own = F.coalesce(F.col(weight_col), F.lit(0)).cast("bigint")
-    own = F.when(own < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(own)
-    bounded = weight_bits is not None and cells.most_rows is not None
-    small = bounded and weight_bits + cells.most_rows.bit_length() <= 62
-    one = F.lit(1).cast("bigint")
-    running = {"w": own if small else wide(own)}
+    own, one = _own(weight_col), F.lit(1).cast("bigint")
+    if sums is None:
+        sums = weight_sums(cells, weight_col, weight_bits)
+    running = {"w": own if _fits(cells, weight_bits) else wide(own)}
     if not dense_ids:
-        running["place"] = one
-    totals = {"total_w": wide(own), "_rows": one}
-    if keep_above is not None:
-        totals["_squares"] = wide(own) * wide(own)
+        running["rows"] = one
 
     def derive(table: DataFrame) -> DataFrame:
-        rows, weight, total = F.col("_rows"), F.col("total_w"), F.col("_total")
+        rows, weight, total = F.col("group_rows"), F.col("group_w"), F.col("_total")
         size = rows if n is None else F.lit(n).cast("bigint")
-        table = table.withColumns({"_flat": weight == F.lit(0), "_size": size})
+        table = table.withColumns({"total_w": weight, "_flat": weight == F.lit(0), "_size": size})
         table = table.withColumn("_total", F.when(F.col("_flat"), wide(rows)).otherwise(weight))
         table = table.withColumn("_shift", offset_shift(total, _bits(offset)))
         table = table.withColumn("_base", slot_end(F.col("before_w"), total, F.col("_size"), F.col("_shift")))
@@ -69,21 +115,20 @@ def slots_of(
             }
         )
         if keep_above is not None:
-            whole = weight.cast("double")
-            ess = F.when(F.col("_flat"), rows.cast("double")).otherwise(
-                whole * whole / F.col("_squares").cast("double")
-            )
-            table = table.withColumns({"ess": ess, "resampled": ess <= F.lit(keep_above) * rows})
+            table = table.withColumn("ess", effective_size(weight, F.col("group_squares"), rows))
+            table = table.withColumn("resampled", F.col("ess") <= F.lit(keep_above) * rows)
         return table
 
     facts = ["total_w", "_flat", "_size", "_total", "_shift", "_base", "_rest", "_head", "_rate"]
+    totals = ["w", "rows"]
     if keep_above is not None:
         facts += ["ess", "resampled"]
+        totals.append("squares")
     if not dense_ids:
-        facts.append("before_place")
-    rows = join_cells(cells, [id_col], running, totals, derive, facts, widen=True)
+        facts.append("before_rows")
+    rows = join_cells(cells, [id_col], running, sums, totals, derive, facts)
 
-    place = F.col(id_col) if dense_ids else (F.col("local_place") + F.col("before_place")).cast("bigint")
+    place = F.col(id_col) if dense_ids else F.col("local_rows") + F.col("before_rows")
     total, size = F.col("_total"), F.col("_size")
 
     def slot(local: Column, position: Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from murmuration.functions.slots import floor_div, wide
+from murmuration.functions.slots import floor_div
 from murmuration.plans.stage import materialize, shuffle_partitions
 
 MAX_BUCKETS = 2**20
@@ -139,39 +139,39 @@ def _filler(kind: T.DataType) -> Column:
     raise TypeError(f"cannot group by {kind.simpleString()}")
 
 
+def cell_sums(cells: Cells, sums: Mapping[str, Column]) -> DataFrame:
+    """One row per cell with the given sums."""
+    names = [c for c in cells.group_cols if c not in cells.keys]
+    return cells.rows.groupBy(*cells.keys, *names).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+
+
 def join_cells(
     cells: Cells,
     order: Sequence[str | Column],
     running: Mapping[str, Column],
-    totals: Mapping[str, Column],
+    per_cell: DataFrame,
+    totals: Sequence[str],
     derive: Callable[[DataFrame], DataFrame],
     facts: Sequence[str],
-    widen: bool = False,
 ) -> DataFrame:
     """Running sums inside each cell, next to facts about the cell.
 
-    The result has ``local_{name}`` for every running sum. ``derive`` gets the
+    ``per_cell`` has the cell's sum of every running value and total. The
+    result has ``local_{name}`` for every running value. ``derive`` gets the
     table of cells, with ``before_{name}`` (the sum over the earlier cells of
-    the group), the group totals and the group columns, and adds the ``facts``
-    to be put on the rows; they are worked out once per cell, not per row.
-    With ``widen`` sums beyond one cell are DECIMAL whatever the values are.
+    the group), ``group_{name}`` for the totals and the group columns, and adds
+    the ``facts`` to be put on the rows; they are worked out once per cell, not
+    per row.
     """
     names = [c for c in cells.group_cols if c not in cells.keys]
-    per_cell = cells.rows.groupBy(*cells.keys, *names).agg(
-        *[(wide(F.sum(v)) if widen else F.sum(v)).alias(f"own_{k}") for k, v in running.items()],
-        *[F.sum(v).alias(k) for k, v in totals.items()],
-    )
     types = {f.name: f.dataType for f in per_cell.schema}
     group = Window.partitionBy(*cells.group_keys)
     earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     cell_table = per_cell.select(
         *cells.keys,
         *names,
-        *[
-            F.coalesce(F.sum(f"own_{k}").over(earlier), F.lit(0).cast(types[f"own_{k}"])).alias(f"before_{k}")
-            for k in running
-        ],
-        *[F.sum(k).over(group).alias(k) for k in totals],
+        *[F.coalesce(F.sum(k).over(earlier), F.lit(0).cast(types[k])).alias(f"before_{k}") for k in running],
+        *[F.sum(k).over(group).alias(f"group_{k}") for k in totals],
     )
     inside = Window.partitionBy(*cells.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cells.rows.withColumns({f"local_{k}": F.sum(v).over(inside) for k, v in running.items()})
@@ -180,7 +180,8 @@ def join_cells(
 
 def scan(cells: Cells, order: Sequence[str | Column], running: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums; the cell keys stay on the result."""
-    joined = join_cells(cells, order, running, {}, lambda table: table, [f"before_{k}" for k in running])
+    before = [f"before_{k}" for k in running]
+    joined = join_cells(cells, order, running, cell_sums(cells, running), [], lambda table: table, before)
     return joined.select(
         *cells.rows.columns, *[(F.col(f"local_{k}") + F.col(f"before_{k}")).alias(k) for k in running]
     )

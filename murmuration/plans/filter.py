@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from murmuration.functions.model import ESS_FRACTION, StateSpaceModel, growth_model
 from murmuration.functions.noise import Noise
-from murmuration.functions.slots import WEIGHT_BITS, floor_div, quantize, wide
-from murmuration.operators.resample import replicate_balanced, slots_of
+from murmuration.functions.slots import WEIGHT_BITS, effective_size, floor_div, quantize
+from murmuration.operators.resample import replicate_balanced, slots_of, weight_sums
 from murmuration.operators.scan import BUCKET, bucket_width, lay_out, row_positions
 from murmuration.operators.vector import init_particles, propagate_state
 from murmuration.plans.report import step_report
-from murmuration.plans.stage import keep, materialize_partitioned, shuffle_partitions, write_cached
+from murmuration.plans.stage import keep, materialize, materialize_partitioned, shuffle_partitions, write_cached
 
 MAX_STEPS = 10_000
 ESTIMATES = ("plain", "weighted")
@@ -96,22 +96,23 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
 
     peak = moved.agg(F.max("lw")).first()[0]
     weighted = moved.withColumn("wq", quantize(F.exp(F.col("lw") - F.lit(peak)), settings.bits))
-    wq = wide(F.col("wq"))
-    n, total, squares, moment, mean = weighted.agg(
-        F.count(F.lit(1)),
-        F.sum(wq),
-        F.sum(wq * wq),
-        F.sum(F.col("wq").cast("double") * F.col("x")),
-        F.avg("x"),
+    cells = lay_out(weighted, ["id"], layout="carried", width=pop.width)
+    moments = {"x": F.col("x"), "wx": F.col("wq").cast("double") * F.col("x")}
+    sums = materialize(weight_sums(cells, "wq", settings.bits, moments))
+    n, total, ess, mean, moment = sums.agg(
+        F.sum("rows"),
+        F.sum("w").cast("double"),
+        effective_size(F.sum("w"), F.sum("squares"), F.sum("rows")),
+        F.sum("x") / F.sum("rows"),
+        F.sum("wx"),
     ).first()
-    ess = float(total) * float(total) / float(squares) if total else float(n)
     resampled = ess <= settings.fraction * n
 
     if resampled:
         offset = settings.noise.bits32(step, F.lit(OFFSET_KEY))
-        cells = lay_out(weighted, ["id"], layout="carried", width=pop.width)
-        slots = slots_of(cells, "wq", None, offset, "id", weight_bits=settings.bits, dense_ids=True)
-        slots = slots.select("id", "x", "slot_lo", "slot_hi")
+        slots = slots_of(
+            cells, "wq", None, offset, "id", weight_bits=settings.bits, dense_ids=True, sums=sums
+        ).select("id", "x", "slot_lo", "slot_hi")
         after = replicate_balanced(slots, width=pop.width, bucket=BUCKET).select("id", "x", BUCKET)
         if settings.carry_weights:
             after = after.withColumn("lw", F.lit(0.0))
@@ -124,7 +125,7 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
 
     estimate = mean
     if settings.estimate == "weighted" and total:
-        estimate = moment / float(total)
+        estimate = moment / total
     return _Population(after, pop.width), (step, z, ess, bool(resampled), estimate)
 
 

@@ -12,9 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from murmuration.functions.slots import quantize, wide
+from murmuration.functions.slots import effective_size, quantize
 from murmuration.operators.attach import attach, match_keys
-from murmuration.operators.resample import replicate_balanced, slots_of
+from murmuration.operators.resample import replicate_balanced, slots_of, weight_sums
 from murmuration.operators.scan import BUCKET, bucket_width, given_groups, lay_out, non_null_keys, row_positions
 from murmuration.plans.filter import MAX_STEPS, OFFSET_KEY, FilterRun, FilterSettings, bucket_of, log_weight
 from murmuration.plans.stage import keep, materialize, materialize_partitioned, shuffle_partitions
@@ -72,14 +72,18 @@ def run_filter_grouped(
         own = log_weight(settings.model, F.col("x"), F.col("z"))
         moved = keep(moved.withColumn("lw", F.col("lw") + own if settings.carry_weights else own))
 
-        peaks = moved.groupBy(*groups).agg(F.max("lw").alias("_peak"))
-        weighted = attach(moved, peaks, groups, n_facts=n_groups)
+        # Three passes over the particles: the heaviest weights, the sums of
+        # each cell, and the slots. Peaks and sums are kept for later uses.
+        peaks = materialize(moved.groupBy(*groups).agg(F.max("lw").alias("_peak"), F.max("z").alias("z")))
+        weighted = attach(moved.drop("z"), peaks.drop("z"), groups, n_facts=n_groups)
         weighted = weighted.withColumn("wq", quantize(F.exp(F.col("lw") - F.col("_peak")), settings.bits))
 
         offset = noise.bits32(step, F.lit(OFFSET_KEY), *given)
         cells = lay_out(weighted, ["id"], groups, layout="carried", width=width)
+        moment = {"wx": F.col("wq").cast("double") * F.col("x")}
+        sums = materialize(weight_sums(cells, "wq", settings.bits, moment))
         slots = slots_of(
-            cells, "wq", None, offset, "id", settings.fraction, weight_bits=settings.bits, dense_ids=True
+            cells, "wq", None, offset, "id", settings.fraction, settings.bits, dense_ids=True, sums=sums
         )
         columns = [*groups, "id", "x"]
         if settings.carry_weights:
@@ -90,7 +94,7 @@ def run_filter_grouped(
             slots.select(*columns, "slot_lo", "slot_hi"), group_cols=groups, width=width, bucket=BUCKET
         )
         pop, _ = materialize_partitioned(grown.select(*columns, BUCKET))
-        reports.append(materialize(_report(weighted, pop, groups, step, settings)))
+        reports.append(materialize(_report(peaks, sums, pop, groups, step, settings)))
         moved.unpersist()
 
     report = reduce(DataFrame.unionByName, reports)
@@ -104,25 +108,24 @@ def _one_per_step(observations: DataFrame, groups: Sequence[str]) -> DataFrame:
     return observations.groupBy(*groups, F.col("step").cast("int").alias("step")).agg(value.alias("z"))
 
 
-def _report(weighted: DataFrame, pop: DataFrame, groups: list[str], step: int, settings: FilterSettings) -> DataFrame:
-    wq = wide(F.col("wq"))
-    whole = F.col("_total").cast("double")
-    rows = F.col("_n").cast("double")
-    facts = weighted.groupBy(*groups).agg(
-        F.max("z").alias("z"),
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(wq).alias("_total"),
-        F.sum(wq * wq).alias("_squares"),
-        F.sum(F.col("wq").cast("double") * F.col("x")).alias("_moment"),
+def _report(
+    peaks: DataFrame, sums: DataFrame, pop: DataFrame, groups: list[str], step: int, settings: FilterSettings
+) -> DataFrame:
+    """From one row per group and one per cell; only the mean reads particles."""
+    total, rows = F.col("_total"), F.col("_rows")
+    facts = sums.groupBy(*groups).agg(
+        F.sum("rows").alias("_rows"),
+        F.sum("w").alias("_total"),
+        F.sum("squares").alias("_squares"),
+        F.sum("wx").alias("_moment"),
     )
-    flat = F.col("_total") == F.lit(0)
-    ess = F.when(flat, rows).otherwise(whole * whole / F.col("_squares").cast("double"))
-    facts = facts.withColumn("ess", ess)
+    facts = facts.withColumn("ess", effective_size(total, F.col("_squares"), rows))
     means = pop.groupBy(*groups).agg(F.avg("x").alias("_mean"))
+    joined = match_keys(match_keys(facts, means, groups), peaks.drop("_peak"), groups)
     estimate = F.col("_mean")
     if settings.estimate == "weighted":
-        estimate = F.when(flat, estimate).otherwise(F.col("_moment") / whole)
-    return match_keys(facts, means, groups).select(
+        estimate = F.when(total == F.lit(0), estimate).otherwise(F.col("_moment") / total.cast("double"))
+    return joined.select(
         *groups,
         F.lit(step).alias("step"),
         "z",
