@@ -167,7 +167,11 @@ def systematic_copies(
         cells = lay_out(weighted, [id_col], group_cols, layout)
         return cells.drop_keys(slots_of(cells, "_wq", n, offset, id_col, weight_bits=bits)).drop("_wq")
     cells = lay_out(df, [id_col], group_cols, layout)
-    return cells.drop_keys(slots_of(cells, weight_col, n, offset, id_col))
+    weight_bits = None
+    if cells.most_rows is not None:
+        # One narrow pass that usually allows BIGINT sums inside the cells.
+        weight_bits = int(df.agg(F.max(weight_col)).first()[0] or 0).bit_length()
+    return cells.drop_keys(slots_of(cells, weight_col, n, offset, id_col, weight_bits=weight_bits))
 
 
 def expand_slots(

@@ -77,7 +77,9 @@ def _prepare(particles: DataFrame, settings: FilterSettings) -> _Population:
     low, high, n = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     if n == 0:
         raise ValueError("the population is empty")
-    if (low, high) != (1, n):
+    if high - low + 1 == n:
+        rows = rows.withColumn("id", F.col("id") - F.lit(low - 1))
+    else:
         rows = row_positions(rows, ["id"], "_rank", layout="auto").select(F.col("_rank").alias("id"), "x")
     width = bucket_width(n, shuffle_partitions(rows))
     rows = rows.withColumn(BUCKET, bucket_of("id", width))
