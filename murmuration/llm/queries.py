@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm.common import table
+from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.token_output import token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,14 @@ def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output(table(spark, folder, "documents"))
 
 
+def op2_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", as_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
+    "op2_simhash_gray": op2_simhash_gray,
 }
 
 ORACLE: dict[str, str] = {}
