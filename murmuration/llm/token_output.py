@@ -30,7 +30,7 @@ from murmuration.plans.stage import run_folder, shuffle_partitions
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 BLOCK_TYPE = (
     "struct<n: int, lanes: int, words: binary, states: binary, offsets: array<bigint>, "
@@ -100,11 +100,13 @@ class _Cache(dict):
         self.spelling = byte_letters()
         self.older: dict[str, bytes] = {}
 
-    def trim(self) -> None:
+    def trimmed(self) -> _Cache:
         """Forget what has not been asked for since the memory was last full."""
-        if len(self) > CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
+        if len(self) <= CACHED_WORDS:
+            return self
+        fresh = _Cache(self.tokenizer)
+        fresh.older, self.older = self, {}
+        return fresh
 
     def __missing__(self, word: str) -> bytes:
         if (made := self.older.get(word)) is not None:
@@ -141,12 +143,10 @@ class WordEncoder:
         self.words = _Cache(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = self.words
-        get = words.__getitem__
         out = []
         for text in texts:
-            words.trim()
-            out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
+            self.words = self.words.trimmed()
+            out.append(b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))))
         return out
 
 
@@ -208,6 +208,7 @@ def _shard(bucket: int, seq: int, doc_ids: list, parts: list[np.ndarray]) -> dic
 
 def _shards(end_id: int, shard_tokens: int):
     def run(batches: Batches) -> Batches:
+        _encoders.clear()  # the worker's memory of words is not needed any more
         bucket, seq, doc_ids, parts, held = None, 0, [], [], 0
 
         def flush():
