@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm.common import table
+from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.token_output import token_output
 
@@ -22,9 +23,40 @@ def op2_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(table(spark, folder, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+#: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
+_LINE_KEY = (
+    "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+SQL_LINES = f"""
+with parts as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+    from documents
+), keyed as (select *, {_LINE_KEY} as key from parts),
+often as (
+    select key, max(doc_id) as last from keyed where length(key) >= 20
+    group by key having count(distinct doc_id) >= 3
+), marked as (
+    select k.doc_id, k.line, k.i, o.key is not null and k.doc_id < o.last as gone
+    from keyed k left join often o on k.key = o.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash_gray": op2_simhash_gray,
+    "op4_line_dedup": op4_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": SQL_LINES,
+}
