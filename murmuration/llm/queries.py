@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm.common import table
+from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.token_output import token_output
@@ -27,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(table(spark, folder, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return report(find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -55,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash_gray": op2_simhash_gray,
     "op4_line_dedup": op4_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
