@@ -62,16 +62,20 @@ def arrow_schema(spec: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in spec.split(","))])
 
 
+def pieces(batches: Batches, rows: int = 500) -> Batches:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def map_rows(df: DataFrame, spec: str, columns: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """One batch in, one batch out: ``columns`` gives the output by name."""
     schema = arrow_schema(spec)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if batch.num_rows:
-                made = columns(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(made[f.name], f.type, from_pandas=False) for f in schema], schema=schema
-                )
+        for batch in pieces(batches):
+            made = columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ", ".join(f"{p.split()[0]} {p.split()[1]}" for p in spec.split(",")))

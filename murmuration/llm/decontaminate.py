@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from murmuration.llm.automaton import SuffixAutomaton
-from murmuration.llm.common import Batches, spread, stored, text_of
+from murmuration.llm.common import Batches, pieces, spread, stored, text_of
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -119,7 +119,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _found(shared):
     def run(batches: Batches) -> Batches:
         items = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
@@ -132,7 +132,7 @@ def _found(shared):
 
 def _joined(batches: Batches) -> Batches:
     """Merge what the blocks of items found in a document."""
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for r in batch.to_pylist():
             spans = merged([s for part in r["spans"] for s in zip(part["starts"], part["ends"], strict=True)])
@@ -197,7 +197,7 @@ def clean_texts(found: DataFrame, min_words: int = WINDOW, max_coverage: float =
     A document of which more than ``max_coverage`` is hit goes as a whole."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in pieces(batches):
             docs, texts = [], []
             for r in batch.to_pylist():
                 hit = sum(r["ends"]) - sum(r["starts"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmuration.llm.common import Batches, stored, text_of
+from murmuration.llm.common import Batches, pieces, stored, text_of
 from murmuration.llm.cuckoo import CuckooFilter
 from murmuration.plans.stage import shuffle_partitions
 
@@ -61,7 +61,7 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 def _keys(batches: Batches, min_chars: int, shards: int) -> Batches:
-    for batch in batches:
+    for batch in pieces(batches):
         keys, docs = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = {k for line in text.split("\n") if (k := line_key(line, min_chars))}
@@ -239,7 +239,7 @@ def _kept(min_chars: int, digest: bool):
                 yield line
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in pieces(batches):
             docs, texts, keys = (batch.column(c) for c in ("doc_id", "text", "keys"))
             kept, before, after = [], [], []
             for text, gone in zip(texts.to_pylist(), keys.to_pylist(), strict=True):

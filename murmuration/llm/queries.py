@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.quality import fit_quality, score_quality
 from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.token_output import token_output
 
@@ -28,6 +29,11 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(table(spark, folder, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return report(find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash_gray": op2_simhash_gray,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op7_decontaminate": op7_decontaminate,
 }
 
