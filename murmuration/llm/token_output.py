@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from murmuration.llm.common import Batches, text_of
+from murmuration.llm.common import Batches, pieces, text_of
 from murmuration.llm.rans import Block, Decoder, Table, encode
 from murmuration.plans.stage import run_folder, shuffle_partitions
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 BLOCK_TYPE = (
     "struct<n: int, lanes: int, words: binary, states: binary, offsets: array<bigint>, "
@@ -174,7 +174,7 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id")
             where = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
             yield pa.RecordBatch.from_arrays(
@@ -214,7 +214,7 @@ def _shards(end_id: int, shard_tokens: int):
         def flush():
             return pa.RecordBatch.from_pylist([_shard(bucket, seq, doc_ids, parts)], SHARD_ARROW)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for b, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if parts and (b != bucket or held >= shard_tokens):
                     yield flush()
@@ -251,7 +251,7 @@ def write_tokens(
 
 
 def _decoded(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         for row in batch.to_pylist():
             table = Table(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["freqs"], "<u4"))
             decoder = Decoder(table)
@@ -289,7 +289,7 @@ def digests(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what ``read_tokens`` returns."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in pieces(batches):
             raw = batch.column("ids").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
