@@ -12,6 +12,7 @@ from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.quality import fit_quality, score_quality
 from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.token_output import token_output
+from murmuration.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,11 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return report(find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_gray": op2_simhash_gray,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
 }
 
