@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.quality import fit_quality, score_quality
 from murmuration.llm.simhash import as_hex, near_duplicates
+from murmuration.llm.suffix_dedup import remove_repeats
 from murmuration.llm.token_output import token_output
 from murmuration.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -44,6 +45,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return report(find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -75,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
