@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.pii import find_pii, fit_finder
 from murmuration.llm.quality import fit_quality, score_quality
 from murmuration.llm.simhash import as_hex, near_duplicates
 from murmuration.llm.suffix_dedup import remove_repeats
@@ -45,6 +46,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return report(find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return find_pii(docs, fit_finder(docs))
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(table(spark, folder, "documents"), digest=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
