@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.multi_index import nearest
 from murmuration.llm.pii import find_pii, fit_finder
 from murmuration.llm.quality import fit_quality, score_quality
 from murmuration.llm.simhash import as_hex, near_duplicates
@@ -28,6 +29,10 @@ def op2_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op3_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(table(spark, folder, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -83,6 +88,7 @@ from marked group by doc_id
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash_gray": op2_simhash_gray,
+    "op3_multi_index": op3_multi_index,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
