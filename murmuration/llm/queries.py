@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.mixing import mix
 from murmuration.llm.multi_index import nearest
 from murmuration.llm.pii import find_pii, fit_finder
 from murmuration.llm.quality import fit_quality, score_quality
@@ -61,6 +62,19 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return mix(docs).select(
+        "doc_id",
+        "source",
+        "lang",
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_probability").alias("probability"),
+        F.col("_sampled").alias("sampled"),
+    )
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -95,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
