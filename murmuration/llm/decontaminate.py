@@ -208,3 +208,22 @@ def clean_texts(found: DataFrame, min_words: int = WINDOW, max_coverage: float =
 
     return found.mapInArrow(run, "doc_id bigint, text string")
 
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no window of an item occurs.
+
+    One pass over the texts for each block of items, in the rows' own order."""
+    at = docs.columns.index("text")
+    rows = docs
+    for block in item_blocks(benchmark, window, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size
+
+        def run(batches: Batches, shared=shared) -> Batches:
+            items = pickle.loads(shared.value)
+            for batch in pieces(batches):
+                hit = [bool(items.find(words_of(t))[0]) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array([not h for h in hit]))
+
+        rows = rows.mapInArrow(run, docs.schema)
+    return rows

@@ -6,8 +6,9 @@ the 64 bits are cut into parts: as few parts differ as bits do, so near
 fingerprints agree in at least ``parts - radius`` parts, and meet under the key
 of those. A key with many fingerprints is cut again by its remaining bits, which
 bounds what one key can hold (2^16 fingerprints for the usual radius of 2).
-Under a key the pairs are found by a Gray-order index; what leaves it is one
-link per fingerprint at most, never all pairs, and components join the links.
+Under a key the pairs are found by a Gray-order index; what leaves it is fewer
+links per fingerprint than a leaf of the index holds, never all pairs of a large
+group, and components join the links.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from murmuration.llm.common import Batches, map_rows, spread, stored, text_of
+from murmuration.llm.common import Batches, map_rows, pieces, spread, stored, text_of
 from murmuration.llm.components import components
-from murmuration.llm.gray_index import linked
+from murmuration.llm.gray_index import FAN, linked
 
 SEED = 42
 WORDS = 3
@@ -90,7 +91,13 @@ def _links(radius: int):
             first = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (key[1:] != key[:-1]))))
             sizes = np.diff(np.append(first, len(key)))
             out = []
-            for at, n in zip(first[sizes > 1], sizes[sizes > 1], strict=True):
+            for n in range(2, FAN + 1):  # as few as one leaf holds: all groups of a size together
+                at = first[sizes == n][:, None] + np.arange(n)
+                own = code[at].view(np.uint64)
+                i, j = np.triu_indices(n, 1)
+                near = np.bitwise_count(own[:, i] ^ own[:, j]) <= radius
+                out.append((code[at[:, j][near]], code[at[:, i][near]]))
+            for at, n in zip(first[sizes > FAN], sizes[sizes > FAN], strict=True):
                 label = linked(code[at : at + n].view(np.uint64), radius)
                 other = np.flatnonzero(label != np.arange(n))
                 out.append((code[at + other], code[at + label[other]]))
@@ -140,6 +147,23 @@ def links(codes: DataFrame, radius: int = RADIUS, parts: int | None = None, hot:
     return dealt.mapInArrow(_links(radius), "a bigint, b bigint")
 
 
+def _labelled(
+    codes: DataFrame, radius: int = RADIUS, parts: int | None = None, hot: int = HOT
+) -> DataFrame:
+    """(code, root, component_id): of every distinct code the smallest code and
+    the smallest id that links lead to. ``codes`` has rows (doc_id, code)."""
+    distinct = stored(codes.groupBy("code").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(links(distinct.select("code"), radius, parts, hot))
+    roots = stored(
+        distinct.join(found.withColumnRenamed("node", "code"), "code", "left").select(
+            "code", "first", F.coalesce("component", "code").alias("root")
+        ),
+        "roots",
+    )
+    smallest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    return stored(roots.join(smallest, "root").select("code", "root", "component_id"), "labels")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, radius: int = RADIUS, parts: int | None = None, hot: int = HOT
 ) -> DataFrame:
@@ -152,17 +176,38 @@ def near_duplicates(
     id are separate documents. Other columns are ignored.
     """
     codes = stored(fingerprints(docs, words), "codes")
-    distinct = stored(codes.groupBy("code").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct.select("code"), radius, parts, hot))
-    roots = stored(
-        distinct.join(found.withColumnRenamed("node", "code"), "code", "left").select(
-            "code", "first", F.coalesce("component", "code").alias("root")
-        ),
-        "roots",
+    return codes.join(_labelled(codes, radius, parts, hot), "code").select("doc_id", "code", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, parts: int | None = None, hot: int = HOT
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of every component only
+    one does: one with the smallest id; a row without an id only where no row of
+    the component has one. The names _own, _code, _id and _n are reserved."""
+    codes = stored(fingerprints(docs, words), "codes")
+    labels = _labelled(codes, radius, parts, hot)
+    first = codes.join(labels, "code").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = stored(first.select("doc_id", "code", "root"), "first")
+    # one code for each component; only a repeated id can have more than one row
+    each = first.groupBy("root").agg(
+        F.min("code").alias("_code"), F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")
     )
-    smallest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    labels = stored(roots.join(smallest, "root").select("code", "component_id"), "labels")
-    return codes.join(labels, "code").select("doc_id", "code", "component_id")
+    one = stored(each.drop("root"), "one")
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())])
+
+    def run(batches: Batches) -> Batches:
+        for batch in pieces(batches):
+            own = np.array([fingerprint(t, words) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], [*batch.schema.names, "_own"])
+
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.mapInArrow(run, schema)
+    kept = rows.join(one, (F.col("_own") == F.col("_code")) & id_.eqNullSafe(F.col("_id")))
+    single = kept.filter("_n = 1").select(*docs.columns)
+    repeated = kept.filter("_n > 1").dropDuplicates(["_code"]).select(*docs.columns)
+    return single.union(repeated)
 
 
 def as_hex(code: str = "code"):
