@@ -18,7 +18,9 @@ CENTS = f"(select id, user_id, cast(floor(x * 100 + 0.5e0) as bigint) as wq from
 
 
 def _hash_key(step: int, *keys: str) -> str:
-    return f"concat_ws(':', '{SEED}', '{step}', {', '.join(keys)})"
+    texts = [f"cast({k} as varchar)" for k in keys]
+    parts = [f"case when {t} is null then 'null' else concat(length({t}), '=', {t}) end" for t in texts]
+    return f"concat_ws(':', '{SEED}', '{step}', {', '.join(parts)})"
 
 
 def _hex(key: str, start: int, length: int) -> str:

@@ -28,12 +28,15 @@ class Noise:
             raise ValueError(f"hash must be one of {HASHES}, not {self.hash!r}")
 
     def _digest(self, step: Column | int, keys: tuple) -> Column:
-        parts = [F.lit(self.seed), _column(step), *map(_column, keys)]
-        return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+        parts = [F.lit(self.seed).cast("string"), _column(step).cast("string"), *map(_told_apart, keys)]
+        return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
     def _hash53(self, lane: int, step: Column | int, keys: tuple) -> Column:
         head = [F.lit(self.seed), F.lit(lane), _column(step)]
-        parts = [p.cast("bigint") for p in head] + [_column(k) for k in keys]
+        parts = [p.cast("bigint") for p in head]
+        for key in map(_column, keys):
+            # the hash passes over NULLs, so each key says whether it is one
+            parts += [key.isNull(), key]
         return F.shiftrightunsigned(F.xxhash64(*parts), 11)
 
     def bits32(self, step: Column | int, *keys: Column | str) -> Column:
@@ -65,5 +68,12 @@ def _column(value: Column | str | int) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def _told_apart(key: Column | str | int) -> Column:
+    """A key as text that no other list of keys spells alike: its length goes
+    before it, and NULL is a text of its own."""
+    text = _column(key).cast("string")
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.length(text).cast("string"), F.lit("="), text))
+
+
 def _hex(digest: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")

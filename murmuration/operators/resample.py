@@ -174,6 +174,23 @@ def systematic_copies(
     return cells.drop_keys(slots_of(cells, weight_col, n, offset, id_col, weight_bits=weight_bits))
 
 
+def cut_ranges(df: DataFrame, low: Column, high: Column, width: int, out: str) -> DataFrame:
+    """One row for each multiple of ``width`` that a range ``low+1 .. high`` falls
+    into, numbered in ``out``; none for an empty range. Ranges are first cut at
+    the square of ``width``, so that no array has more than ``width`` entries
+    unless a range holds more than the cube of it."""
+    outer = width * width
+    # A condition inside explode, not a filter: a filter would be pushed below
+    # the columns it reads and evaluate the slot arithmetic a second time.
+    last = high - F.lit(1)
+    wide = F.when(high > low, F.sequence(floor_div(low, outer), floor_div(last, outer)))
+    by = F.lit(outer).cast("bigint")
+    first_in = F.greatest(low, F.col("_outer") * by)
+    last_in = F.least(last, (F.col("_outer") + F.lit(1)) * by - F.lit(1))
+    cut = df.withColumn("_outer", F.explode(wide))
+    return cut.withColumn(out, F.explode(F.sequence(floor_div(first_in, width), floor_div(last_in, width)))).drop("_outer")
+
+
 def expand_slots(
     df: DataFrame,
     lo: str = "slot_lo",
@@ -196,10 +213,7 @@ def expand_slots(
     piece = bucket or BUCKET
     step = F.lit(width).cast("bigint")
     low, high = F.col(lo), F.col(hi)
-    intervals = F.sequence(floor_div(low, width), floor_div(high - F.lit(1), width))
-    # A condition inside explode, not a filter: a filter would be pushed below
-    # the columns it reads and evaluate the slot arithmetic a second time.
-    pieces = df.withColumn(piece, F.explode(F.when(high > low, intervals)))
+    pieces = cut_ranges(df, low, high, width, piece)
     spread = pieces.repartition(shuffle_partitions(df), *group_cols, piece)
     first = F.greatest(low, F.col(piece) * step) + F.lit(1)
     last = F.least(high, (F.col(piece) + F.lit(1)) * step)

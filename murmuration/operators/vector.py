@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from murmuration.functions.model import INITIAL_VARIANCE, StateSpaceModel
 from murmuration.functions.noise import Noise
 from murmuration.functions.slots import node_of, position_in_node
-from murmuration.operators.resample import expand_slots
+from murmuration.operators.resample import CHUNK, cut_ranges
+from murmuration.plans.stage import shuffle_partitions
 
 
 def init_particles(
@@ -83,6 +84,12 @@ def tag_and_pair(df: DataFrame, key: Column, parts: Mapping[str, str], out: str
 
 
 def range_expand(df: DataFrame, lo: Column, hi: Column, out: str = "id") -> DataFrame:
-    """One row for each key ``lo .. hi``; wide ranges are shared out among tasks."""
+    """One row for each key ``lo .. hi``. Ranges may overlap: wide ones are cut,
+    and the pieces are dealt out evenly, whatever keys they cover."""
     ranged = df.withColumns({"_lo": (lo - F.lit(1)).cast("bigint"), "_hi": hi.cast("bigint")})
-    return expand_slots(ranged, "_lo", "_hi", out)
+    pieces = cut_ranges(ranged, F.col("_lo"), F.col("_hi"), CHUNK, "_piece")
+    step = F.lit(CHUNK).cast("bigint")
+    first = F.greatest(F.col("_lo"), F.col("_piece") * step) + F.lit(1)
+    last = F.least(F.col("_hi"), (F.col("_piece") + F.lit(1)) * step)
+    dealt = pieces.repartition(shuffle_partitions(df))
+    return dealt.withColumn(out, F.explode(F.sequence(first, last))).drop("_lo", "_hi", "_piece")

@@ -4,28 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from murmuration.functions.slots import WEIGHT_BITS, quantize
 from murmuration.operators.attach import attach
 
 
-def _with_peak(df: DataFrame, column: str, group_cols: Sequence[str], n_groups: int | None) -> DataFrame:
-    """The largest value of ``column`` on every row: a scalar subquery over the
-    whole table, or the facts of each group."""
+NOTHING = float("-inf")
+
+
+def number(column: str, otherwise: float | None) -> Column:
+    """A weight or log-weight; ``otherwise`` where it is NaN or NULL. An infinite
+    weight has no share that could be given to it, so it is refused."""
+    value = F.col(column).cast("double")
+    refused = F.raise_error(F.lit(f"{column} is infinite")).cast("double")
+    missing = value.isNull() | F.isnan(value)
+    return F.when(missing, F.lit(otherwise).cast("double")).when(value == F.lit(float("inf")), refused).otherwise(value)
+
+
+def _with_peak(df: DataFrame, value: Column, group_cols: Sequence[str], n_groups: int | None) -> DataFrame:
+    """The largest ``value`` on every row: a scalar subquery over the whole
+    table, or the facts of each group."""
     if not group_cols:
-        return df.withColumn("_peak", df.agg(F.max(column)).scalar())
-    peaks = df.groupBy(*group_cols).agg(F.max(column).alias("_peak"))
+        return df.withColumn("_peak", df.agg(F.max(value)).scalar())
+    peaks = df.groupBy(*group_cols).agg(F.max(value).alias("_peak"))
     return attach(df, peaks, group_cols, n_facts=n_groups)
 
 
+def _log_totals(df: DataFrame, column: str, group_cols: Sequence[str], n_groups: int | None) -> DataFrame:
+    own, peak = number(column, NOTHING), F.col("_peak")
+    peaked = _with_peak(df, own, group_cols, n_groups)
+    facts = peaked.groupBy(*group_cols).agg(
+        F.max(peak).alias("_peak"), F.sum(F.exp(own - peak)).alias("_excess"), F.count(F.lit(1)).alias("_rows")
+    )
+    total = F.when(peak == F.lit(NOTHING), peak).otherwise(peak + F.log("_excess"))
+    return facts.select(*group_cols, total.alias("log_total"), "_rows")
+
+
 def log_sum_exp(
     df: DataFrame, log_weight_col: str = "lw", group_cols: Sequence[str] = (), n_groups: int | None = None
 ) -> DataFrame:
-    """``max + log(sum(exp(lw - max)))``, for the table or for each group."""
-    peaked = _with_peak(df, log_weight_col, group_cols, n_groups)
-    excess = F.sum(F.exp(F.col(log_weight_col) - F.col("_peak")))
-    return peaked.groupBy(*group_cols).agg((F.max("_peak") + F.log(excess)).alias("log_total"))
+    """``max + log(sum(exp(lw - max)))``, for the table or for each group. NaN and
+    NULL count as ``-inf``; where all do, so does the result."""
+    return _log_totals(df, log_weight_col, group_cols, n_groups).drop("_rows")
 
 
 def normalize_weights(
@@ -35,13 +56,16 @@ def normalize_weights(
     out: str = "lw",
     n_groups: int | None = None,
 ) -> DataFrame:
-    """Shift log-weights so that ``sum(exp(out)) = 1``, for the table or each group."""
-    total = log_sum_exp(df, log_weight_col, group_cols, n_groups)
-    if group_cols:
-        both = attach(df, total, group_cols, n_facts=n_groups)
-    else:
-        both = df.withColumn("log_total", total.scalar())
-    return both.withColumn(out, F.col(log_weight_col) - F.col("log_total")).drop("log_total")
+    """Shift log-weights so that ``sum(exp(out)) = 1``, for the table or each group.
+    NaN and NULL count as ``-inf``; where all do, the weights become equal."""
+    equal = -F.log(F.col("_rows").cast("double"))
+    nothing = F.col("log_total") == F.lit(NOTHING)
+    facts = F.struct("log_total", "_rows").alias("_facts")
+    total = _log_totals(df, log_weight_col, group_cols, n_groups).select(*group_cols, facts)
+    both = attach(df, total, group_cols, n_facts=n_groups) if group_cols else df.withColumn("_facts", total.scalar())
+    both = both.withColumns({"log_total": F.col("_facts.log_total"), "_rows": F.col("_facts._rows")})
+    shifted = F.when(nothing, equal).otherwise(number(log_weight_col, NOTHING) - F.col("log_total"))
+    return both.withColumn(out, shifted).drop("log_total", "_rows", "_facts")
 
 
 def effective_sample_size(df: DataFrame, log_weight_col: str = "lw", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -58,12 +82,13 @@ def integer_weights(
     bits: int = WEIGHT_BITS,
     n_groups: int | None = None,
 ) -> DataFrame:
-    """Weights (or log-weights) as integers relative to the heaviest of the group.
+    """Weights (or log-weights) as integers relative to the heaviest of the group;
+    those that are not numbers become zero, infinite ones are refused.
 
     Each depends on its own row and that maximum only, not on a floating-point
     sum, so the result does not change with the partitioning.
     """
-    peaked = _with_peak(df, weight_col, group_cols, n_groups)
-    own, peak = F.col(weight_col), F.col("_peak")
+    own, peak = number(weight_col, None), F.col("_peak")
+    peaked = _with_peak(df, own, group_cols, n_groups)
     relative = F.exp(own - peak) if log else own / F.nullif(peak, F.lit(0.0))
     return peaked.withColumn(out, quantize(relative, bits)).drop("_peak")

@@ -9,6 +9,7 @@ resampled step shuffles the particles once, whatever their number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +23,6 @@ from murmuration.operators.vector import init_particles, propagate_state
 from murmuration.plans.report import step_report
 from murmuration.plans.stage import keep, materialize, materialize_partitioned, shuffle_partitions, write_cached
 
-MAX_STEPS = 10_000
 ESTIMATES = ("plain", "weighted")
 OFFSET_KEY = "offset"
 
@@ -62,9 +62,11 @@ class _Population:
 
 def log_weight(model: StateSpaceModel, x: Column, z: Column) -> Column:
     """Log-likelihood; no weight for a state that gives no number, equal
-    weights where there is no observation."""
-    found = F.nanvl(model.log_likelihood(x, z), F.lit(float("-inf")))
-    return F.when(z.isNull(), F.lit(0.0)).otherwise(found)
+    weights where there is no observation. An infinite likelihood is refused."""
+    nothing = F.lit(float("-inf"))
+    found = F.coalesce(F.nanvl(model.log_likelihood(x, z), nothing), nothing)
+    refused = F.raise_error(F.lit("a likelihood is infinite")).cast("double")
+    return F.when(z.isNull(), F.lit(0.0)).when(found == F.lit(float("inf")), refused).otherwise(found)
 
 
 def bucket_of(id_col: str, width: int) -> Column:
@@ -99,13 +101,17 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
     peak = moved.agg(F.max("lw")).first()[0]
     weighted = moved.withColumn("wq", quantize(F.exp(F.col("lw") - F.lit(peak)), settings.bits))
     cells = lay_out(weighted, ["id"], layout="carried", width=pop.width)
-    moments = {"x": F.col("x"), "wx": F.col("wq").cast("double") * F.col("x")}
+    moments = {
+        "x": F.col("x"),
+        "known": F.col("x").isNotNull().cast("bigint"),
+        "wx": F.col("wq").cast("double") * F.col("x"),
+    }
     sums = materialize(weight_sums(cells, "wq", settings.bits, moments))
     n, total, ess, mean, moment = sums.agg(
         F.sum("rows"),
         F.sum("w").cast("double"),
         effective_size(F.sum("w"), F.sum("squares"), F.sum("rows")),
-        F.sum("x") / F.sum("rows"),
+        F.sum("x") / F.nullif(F.sum("known"), F.lit(0).cast("bigint")),
         F.sum("wx"),
     ).first()
     resampled = ess <= settings.fraction * n
@@ -120,7 +126,9 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
             after = after.withColumn("lw", F.lit(0.0))
         after, (_, mean) = materialize_partitioned(after, F.avg("x"))
     elif settings.carry_weights:
-        after = write_cached(moved.withColumn("lw", F.col("lw") - F.lit(peak)))
+        # where no particle has any weight left, all start again from equal ones
+        left = F.col("lw") - F.lit(peak) if peak > float("-inf") else F.lit(0.0)
+        after = write_cached(moved.withColumn("lw", left))
     else:
         after = write_cached(moved.drop("lw"))
     moved.unpersist()
@@ -131,14 +139,16 @@ def _advance(pop: _Population, step: int, z: float | None, settings: FilterSetti
     return _Population(after, pop.width), (step, z, ess, bool(resampled), estimate)
 
 
-def _observed(observations: DataFrame) -> list[tuple[int, float | None]]:
-    rows = observations.select(F.col("step").cast("int"), F.col("z").cast("double")).limit(MAX_STEPS + 1).collect()
-    if len(rows) > MAX_STEPS:
-        raise ValueError(f"more than {MAX_STEPS} steps in one run")
-    steps = sorted((r[0], r[1]) for r in rows)
-    if len({s for s, _ in steps}) != len(steps):
-        raise ValueError("more than one observation for a step")
-    return steps
+def _observed(observations: DataFrame) -> Iterator[tuple[int, float | None]]:
+    """The observations in order; the driver holds a partition of them at a time."""
+    rows = observations.select(F.col("step").cast("int").alias("step"), F.col("z").cast("double").alias("z"))
+    ordered = materialize(rows.orderBy("step"))
+    before = None
+    for row in ordered.toLocalIterator():
+        if row.step == before:
+            raise ValueError("more than one observation for a step")
+        before = row.step
+        yield row.step, row.z
 
 
 def filter_step(

@@ -8,7 +8,6 @@ spread like any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,8 +15,8 @@ from murmuration.functions.slots import effective_size, quantize
 from murmuration.operators.attach import attach, match_keys
 from murmuration.operators.resample import replicate_balanced, slots_of, weight_sums
 from murmuration.operators.scan import BUCKET, bucket_width, given_groups, lay_out, non_null_keys, row_positions
-from murmuration.plans.filter import MAX_STEPS, OFFSET_KEY, FilterRun, FilterSettings, bucket_of, log_weight
-from murmuration.plans.stage import keep, materialize, materialize_partitioned, shuffle_partitions
+from murmuration.plans.filter import OFFSET_KEY, FilterRun, FilterSettings, bucket_of, log_weight
+from murmuration.plans.stage import keep, materialize, materialize_partitioned, run_folder, shuffle_partitions
 
 
 def run_filter_grouped(
@@ -42,11 +41,14 @@ def run_filter_grouped(
     observations, _ = non_null_keys(observations, group_cols, always=True)
     groups, given = list(stand_ins), given_groups(group_cols)
 
-    observed = materialize(_one_per_step(observations, groups))
-    per_step = observed.groupBy("step").count().orderBy("step").limit(MAX_STEPS + 1).collect()
-    if len(per_step) > MAX_STEPS:
-        raise ValueError(f"more than {MAX_STEPS} steps in one run")
-    if not per_step:
+    # by step, so that a step reads its own observations only
+    folder = run_folder(particles.sparkSession, "observations")
+    _one_per_step(observations, groups).withColumn("_step", F.col("step")).repartition("_step").write.partitionBy(
+        "_step"
+    ).parquet(folder)
+    observed = particles.sparkSession.read.parquet(folder)
+    per_step = materialize(observed.groupBy("step").count().orderBy("step"))
+    if per_step.isEmpty():
         raise ValueError("there are no observations")
 
     states = particles.select(*groups, "id", F.col("x").cast("double").alias("x"))
@@ -64,9 +66,9 @@ def run_filter_grouped(
     if settings.carry_weights:
         pop = pop.withColumn("lw", F.lit(0.0))
 
-    reports: list[DataFrame] = []
-    for step, n_observed in per_step:
-        now = observed.where(F.col("step") == F.lit(step)).select(*groups, "z")
+    reports = run_folder(particles.sparkSession, "reports")
+    for step, n_observed in per_step.toLocalIterator():
+        now = observed.where(F.col("_step") == F.lit(step)).select(*groups, "z")
         state = settings.model.transition(F.col("x"), F.lit(step), noise.gaussian(step, *given, "id"))
         moved = attach(pop.withColumn("x", state), now, groups, "left", n_facts=n_observed)
         own = log_weight(settings.model, F.col("x"), F.col("z"))
@@ -87,17 +89,19 @@ def run_filter_grouped(
         )
         columns = [*groups, "id", "x"]
         if settings.carry_weights:
-            started = F.when(F.col("resampled"), F.lit(0.0)).otherwise(F.col("lw") - F.col("_peak"))
+            # a group in which no particle has weight starts again from equal ones
+            again = F.col("resampled") | (F.col("_peak") == F.lit(float("-inf")))
+            started = F.when(again, F.lit(0.0)).otherwise(F.col("lw") - F.col("_peak"))
             slots = slots.withColumn("lw", started)
             columns.append("lw")
         grown = replicate_balanced(
             slots.select(*columns, "slot_lo", "slot_hi"), group_cols=groups, width=width, bucket=BUCKET
         )
         pop, _ = materialize_partitioned(grown.select(*columns, BUCKET))
-        reports.append(materialize(_report(peaks, sums, pop, groups, step, settings)))
+        _report(peaks, sums, pop, groups, step, settings).write.mode("append").parquet(reports)
         moved.unpersist()
 
-    report = reduce(DataFrame.unionByName, reports)
+    report = particles.sparkSession.read.parquet(reports)
     measured = [c for c in report.columns if c not in groups]
     return FilterRun(pop.select(*given, "id", "x"), report.select(*given, *measured))
 

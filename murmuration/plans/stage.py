@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 
+_PLANNING = threading.Lock()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -46,15 +50,19 @@ def write_cached(df: DataFrame) -> DataFrame:
 
     A checkpoint of an adaptive plan forgets how its rows are partitioned, so
     the next window on the same key would shuffle them again. Reading a cache
-    needs no exchange, hence nothing for adaptive execution to improve.
+    needs no exchange, hence nothing for adaptive execution to improve. Only
+    the plan of this frame is made without it, by one thread at a time; the
+    session has its setting back before anything runs.
     """
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return materialize(df.select("*"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+    conf, plain = df.sparkSession.conf, df.select("*")
+    with _PLANNING:
+        adaptive = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plain._jdf.queryExecution().executedPlan()
+        finally:
+            conf.set("spark.sql.adaptive.enabled", adaptive)
+    return materialize(plain)
 
 
 def materialize_partitioned(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, Row]:

@@ -33,7 +33,7 @@ def test_moments(spark, name):
 
 
 def test_md5_draws_by_hand(spark):
-    digest = hashlib.md5(b"7:3:42").hexdigest()
+    digest = hashlib.md5(b"7:3:2=42").hexdigest()
     u1 = (int(digest[:12], 16) + 1) / (2**48 + 1)
     u2 = int(digest[12:24], 16) / 2**48
     row = spark.range(42, 43).select(Noise(7, "md5").gaussian(3, "id"), Noise(7, "md5").bits32(F.lit(3), "id")).first()
@@ -44,3 +44,11 @@ def test_md5_draws_by_hand(spark):
 def test_unknown_hash():
     with pytest.raises(ValueError):
         Noise(1, "crc32")
+
+
+@pytest.mark.parametrize("name", ["xxhash64", "md5"])
+def test_keys_do_not_collide(spark, name):
+    keys = [(None, "a"), ("a", None), ("a:b", "c"), ("a", "b:c"), ("null", "a"), ("", "a"), (None, None)]
+    rows = spark.createDataFrame(keys, "k string, m string")
+    draws = [r[0] for r in rows.select(Noise(7, name).uniform(1, "k", "m")).collect()]
+    assert len(set(draws)) == len(keys)
