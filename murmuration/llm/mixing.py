@@ -2,8 +2,9 @@
 
 Documents are summed up by cell (source, language, topic). Iterative
 proportional fitting rakes the token weights of the cells to one marginal after
-the other until all have their target shares; only one row per cell takes part,
-in joins and sums like any other table. A document is then kept with its cell's
+the other until all have their target shares. Only one row per source takes
+part, which holds its cells; languages and topics, of which there are few, have
+a factor each that the driver knows, sources have theirs where they lie. A document is then kept with its cell's
 probability: proportional to raked weight over tokens, at most one, scaled so
 that the expected number of tokens is the budget.
 
@@ -118,6 +119,52 @@ def target_shares(cells: DataFrame, name: str, given: dict[str, float], temperat
     return sums.select(name, share.alias("share"))
 
 
+def _by_source(cells: DataFrame, shares: DataFrame, langs: list[str], topics: list[str]) -> DataFrame:
+    """One row per source: its target share, and its cells as numbers."""
+    spark = cells.sparkSession
+    numbers = [spark.createDataFrame(list(enumerate(v)), f"_{n} int, {n} string") for n, v in (("lang", langs), ("topic", topics))]
+    numbered = cells.join(F.broadcast(numbers[0]), "lang").join(F.broadcast(numbers[1]), "topic")  # a row per category
+    lists = [F.collect_list(c).alias(c) for c in ("_lang", "_topic", "tokens")]
+    return numbered.groupBy("source").agg(*lists).join(shares, "source")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The source's number in the batch, language, topic and tokens of each cell."""
+    lists = [batch.column(c) for c in ("_lang", "_topic", "tokens")]
+    sizes = np.diff(lists[0].offsets.to_numpy())
+    return np.repeat(np.arange(len(sizes)), sizes), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+
+
+def _source_factors(batch: pa.RecordBatch, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """What brings each source to its share, given the factors of languages and
+    topics; and the shares."""
+    cells = row, lang, topic, tokens = _flat(batch)
+    share = batch.column("share").to_numpy()
+    now = np.bincount(row, tokens * b[lang] * c[topic], batch.num_rows)
+    return np.divide(share, now, out=np.zeros(len(now)), where=now > 0), share, cells
+
+
+def _sums(sources: DataFrame, old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]):
+    """Sums by language and by topic under the factors ``new``, sources raked
+    under ``old``, and how far sources are off then: a row per batch, of a number
+    per category, reaches the driver."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            a, share, (row, lang, topic, tokens) = _source_factors(batch, *old)
+            weight = a[row] * tokens * new[0][lang] * new[1][topic]
+            own = np.bincount(row, weight, batch.num_rows)
+            off = (np.abs(own - share) / np.maximum(share, 1e-12)).max(initial=0.0)
+            sums = [np.bincount(k, weight, len(v)) for k, v in ((lang, new[0]), (topic, new[1]))]
+            kinds = pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip((*sums, off), kinds, strict=True)], ["lang", "topic", "off"]
+            )
+
+    rows = sources.mapInArrow(run, "lang array<double>, topic array<double>, off double").collect()
+    return np.sum([r.lang for r in rows], axis=0), np.sum([r.topic for r in rows], axis=0), max(r.off for r in rows)
+
+
 def rake(
     cells: DataFrame,
     targets: dict[str, DataFrame],
@@ -125,25 +172,43 @@ def rake(
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(source, lang, topic, tokens, weight): weights add up to one, and their
-    sums by each marginal differ from its shares by the tolerance, relatively."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    now = stored(cells.withColumn("weight", F.col("tokens") / F.lit(total)), "weights")
+    sums by each marginal differ from its shares by the tolerance, relatively.
+
+    A weight is the cell's tokens times a factor for its source, its language and
+    its topic. Sources are raked where they lie, one row each; the driver holds a
+    number per language and topic."""
+    shares = {n: {r[n]: r.share for r in targets[n].collect()} for n in ("lang", "topic")}
+    langs, topics = sorted(shares["lang"]), sorted(shares["topic"])
+    wanted = np.array([shares["lang"][x] for x in langs]), np.array([shares["topic"][x] for x in topics])
+    sources = stored(_by_source(cells, targets["source"], langs, topics), "sources")
+    b, c = np.ones(len(langs)), np.ones(len(topics))
+    old = b, c
+
+    def raked(factor: np.ndarray, want: np.ndarray, have: np.ndarray) -> np.ndarray:
+        return factor * np.divide(want, have, out=np.zeros(len(have)), where=have > 0)
+
     for _ in range(sweeps):
-        for name, shares in targets.items():
-            sums = now.groupBy(name).agg(F.sum("weight").alias("sum")).join(shares, name)
-            factor = sums.select(name, F.when(F.col("sum") > 0, F.col("share") / F.col("sum")).otherwise(0.0).alias("f"))
-            now = now.join(factor, name).select(*MARGINALS, "tokens", (F.col("weight") * F.col("f")).alias("weight"))
-        now = stored(now, "weights")
-        off = []
-        for name, shares in targets.items():
-            sums = now.groupBy(name).agg(F.sum("weight").alias("sum")).join(shares, name)
-            off.append(sums.select((F.abs(F.col("sum") - F.col("share")) / F.greatest("share", F.lit(1e-12))).alias("off")))
-        every = off[0]
-        for more in off[1:]:
-            every = every.union(more)
-        if every.agg(F.max("off")).first()[0] <= tolerance:
+        old = b, c
+        b = raked(b, wanted[0], _sums(sources, old, (b, c))[0])
+        c = raked(c, wanted[1], _sums(sources, old, (b, c))[1])
+        lang, topic, off = _sums(sources, old, (b, c))
+        every = [np.abs(h - w) / np.maximum(w, 1e-12) for h, w in ((lang, wanted[0]), (topic, wanted[1]))]
+        if max(off, *(x.max() for x in every)) <= tolerance:
             break
-    return now
+    new = b, c
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            a, _, (row, lang, topic, tokens) = _source_factors(batch, *old)
+            weight = a[row] * tokens * new[0][lang] * new[1][topic]
+            names = [np.array(v, object)[k].tolist() for v, k in ((langs, lang), (topics, topic))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source").take(pa.array(row)), *map(pa.array, (*names, tokens, weight))],
+                [*MARGINALS, "tokens", "weight"],
+            )
+
+    spec = "source string, lang string, topic string, tokens double, weight double"
+    return stored(sources.mapInArrow(run, spec), "weights")
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
