@@ -10,11 +10,12 @@ of all windows it stands for.
 2. Bitmaps of fixed size say, perhaps wrongly, which anchors are of the one kind
    or the other; a second pass emits only these, contexts for the mixed ones.
    Joins with the exact table put wrong guesses right.
-3. The mixed ones meet by anchor. What follows the anchor and, read backwards,
+3. Equal mixed contexts become one, with their number; these meet by anchor. What follows the anchor and, read backwards,
    what precedes it are sorted by hash-compared merge sort; neighbours' common
    lengths give classes, and two windows are equal if they are in one class on
-   both sides. An anchor of very many contexts is not brought together: its
-   windows are counted by hash instead, combined before they are shuffled.
+   both sides. An anchor of very many different contexts is not brought
+   together: its windows are counted by hash instead, combined before they are
+   shuffled.
 
 Documents never mix: windows end with their document. A null text is empty. Rows that
 repeat an id, or have none, are documents of their own, so a repeated row of at
@@ -35,14 +36,15 @@ from murmuration.llm.suffix_sort import PrefixHashes, Strings, mix, sorted_commo
 WINDOW = 200
 GRAM = 64
 #: Bytes of text looked at together; one longer text is looked at by itself.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PLACE_BITS = 31
 MAP_BITS = 27
 SLICE_BITS = 21
-#: Rows of one anchor that are brought together in a task.
+#: Different contexts of one anchor that are brought together in a task.
 HOT = 5000
 BROADCAST_KEYS = 100_000
-CELLS = 1 << 21
+CELLS = 1 << 20
+REMEMBERED = 100_000
 U = np.uint64
 
 
@@ -144,17 +146,20 @@ FOUND = (
 def _emitted(shared, window: int, gram: int):
     def run(batches: Batches) -> Batches:
         uniform, mixed = (np.frombuffer(x, np.uint8) for x in shared.value)
+        seen: set[int] = set()  # contexts whose bytes this task has given
         for texts, ids, digests in _blocks(batches):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             a = Anchors(texts, window, gram)
             is_mixed = _in(mixed, a.anchor)
             rows = []
             raw = a.data.tobytes()
             lows, highs = a.low - a.starts[a.text], a.high - a.starts[a.text]
             for k in np.flatnonzero(is_mixed).tolist():
-                t = int(a.text[k])
-                rows.append(
-                    (t, k, True, [int(lows[k])], [int(highs[k])], int(a.at[k] - a.low[k]), raw[a.low[k] : a.high[k] + window])
-                )
+                t, pair = int(a.text[k]), int(a.anchor[k]) << 64 | int(a.context[k])
+                own = None if pair in seen else raw[a.low[k] : a.high[k] + window]
+                seen.add(pair)
+                rows.append((t, k, True, [int(lows[k])], [int(highs[k])], int(a.at[k] - a.low[k]), own))
             # anchors of a document met several times are one row
             plain = np.flatnonzero(~is_mixed & _in(uniform, a.anchor))
             order = plain[np.lexsort((a.low[plain], a.anchor[plain], a.text[plain]))]
@@ -229,32 +234,18 @@ def repeated_windows(
     return low, high
 
 
-SPANS = "id bigint, digest bigint, first array<bigint>, last array<bigint>"
-
+REACH = "anchor bigint, context bigint, nearest bigint, farthest bigint"
 
-def _spans(ids, digests, first, last) -> pa.RecordBatch:
-    kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
-    columns = ids, digests, [[x] for x in first], [[x] for x in last]
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["id", "digest", "first", "last"])
 
-
-def _resolved(window: int):
-    """Rows sorted by (anchor, context): the spans repeated windows cover."""
+def _reached(window: int):
+    """Contexts, each once, sorted by anchor: how far their repeated windows reach."""
 
     def whole(rows: list[tuple]):
-        contexts, of_row = [], []
-        for r in rows:
-            if not contexts or contexts[-1][:2] != [r[2], r[3]]:
-                contexts.append([r[2], r[3], r[5], r[6], 0])
-            contexts[-1][4] += 1
-            of_row.append(len(contexts) - 1)
-        anchors = np.array([c[0] for c in contexts])
-        copies = np.array([c[4] for c in contexts])
+        anchors = np.array([r[0] for r in rows])
+        copies = np.array([r[4] for r in rows])
         size = np.bincount(np.unique(anchors, return_inverse=True)[1])
         lone = np.repeat(size, size) == 1
         look = np.flatnonzero(~lone | (copies > 1))
-        low, high = np.full(len(contexts), -1), np.full(len(contexts), -1)
         step = max(1, CELLS // window)
         while len(look):
             # as many contexts as fit, whole groups
@@ -263,29 +254,23 @@ def _resolved(window: int):
                 n += 1
             part, look = look[:n], look[n:]
             group = np.cumsum(np.concatenate(([0], anchors[part][1:] != anchors[part][:-1])))
-            low[part], high[part] = repeated_windows(
-                group, np.array([contexts[k][2] for k in part]), [contexts[k][3] for k in part], copies[part], window
-            )
-        found = [(r, low[c], high[c]) for r, c in zip(rows, of_row, strict=True) if low[c] >= 0]
-        if found:
-            at = [r[4][0] + r[5] for r, _, _ in found]  # the anchor's place in its document
-            yield _spans(
-                [r[0] for r, _, _ in found],
-                [r[1] for r, _, _ in found],
-                [a - int(h) for a, (_, _, h) in zip(at, found, strict=True)],
-                [a - int(x) + window for a, (_, x, _) in zip(at, found, strict=True)],
-            )
+            places, parts = np.array([rows[k][2] for k in part]), [rows[k][3] for k in part]
+            low, high = repeated_windows(group, places, parts, copies[part], window)
+            some = np.flatnonzero(low >= 0)
+            contexts = np.array([rows[part[k]][1] for k in some], np.int64)
+            arrays = [pa.array(x.astype(np.int64)) for x in (anchors[part[some]], contexts, low[some], high[some])]
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "context", "nearest", "farthest"])
 
     def run(batches: Batches) -> Batches:
-        names = "id", "digest", "anchor", "context", "low", "place", "bytes"
+        names = "anchor", "context", "place", "bytes", "copies"
         held: list[tuple] = []
-        for batch in pieces(batches, 2000):
+        for batch in pieces(batches, 1000):
             held.extend(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            last = held[-1][2]
+            last = held[-1][0]
             cut = len(held)
-            while cut and held[cut - 1][2] == last:
+            while cut and held[cut - 1][0] == last:
                 cut -= 1
-            if cut > 8000:
+            if cut > 4000:
                 yield from whole(held[:cut])
                 held = held[cut:]
         if held:
@@ -299,7 +284,7 @@ def _windows(window: int):
     two hashes."""
 
     def run(batches: Batches) -> Batches:
-        for batch in pieces(batches, 2000):
+        for batch in pieces(batches, 500):
             out = []
             for anchor, context, place, raw, copies in zip(
                 *(batch.column(c).to_pylist() for c in ("anchor", "context", "place", "bytes", "copies")), strict=True
@@ -314,30 +299,16 @@ def _windows(window: int):
     return run
 
 
-def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """What ``_resolved`` does, for anchors of very many rows: by counting windows."""
-    contexts = stored(
-        rows.groupBy("anchor", "context").agg(
-            F.count(F.lit(1)).alias("copies"), F.first("place").alias("place"), F.first("bytes").alias("bytes")
-        ),
-        "contexts",
-    )
+def _counted_reach(contexts: DataFrame, window: int) -> DataFrame:
+    """What ``_reached`` does, for anchors of very many contexts: by counting windows."""
     spec = "anchor bigint, context bigint, distance bigint, copies bigint, one bigint, two bigint"
     windows = stored(contexts.mapInArrow(_windows(window), spec), "windows")
     key = ["anchor", "distance", "one", "two"]
     often = stored(windows.groupBy(*key).agg(F.sum("copies").alias("n")).filter("n > 1").drop("n"), "often")
-    reach = stored(
+    return (
         windows.join(often, key, "left_semi")
         .groupBy("anchor", "context")
-        .agg(F.min("distance").alias("nearest"), F.max("distance").alias("farthest")),
-        "reach",
-    )
-    at = F.col("low")[0] + F.col("place")
-    return rows.join(reach, ["anchor", "context"]).select(
-        "id",
-        "digest",
-        F.array(at - F.col("farthest")).alias("first"),
-        F.array(at - F.col("nearest") + window).alias("last"),
+        .agg(F.min("distance").alias("nearest"), F.max("distance").alias("farthest"))
     )
 
 
@@ -359,20 +330,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
         .join(uniform, "anchor", "left_semi")
         .select("id", "digest", F.col("low").alias("first"), F.transform("high", lambda x: x + window).alias("last"))
     )
-    mixed = found.filter("mixed").select("id", "digest", "anchor", "context", "low", "place", "bytes")
-    heavy = stored(repeated.filter(F.col("n") > hot).select("anchor"), "heavy")
+    mixed = found.filter("mixed")
+    # equal contexts become one before anything meets by anchor
+    contexts = stored(
+        mixed.groupBy("anchor", "context").agg(
+            F.count(F.lit(1)).alias("copies"), F.first("place").alias("place"), F.first("bytes", True).alias("bytes")
+        ),
+        "contexts",
+    )
+    heavy = stored(contexts.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "heavy")
     n_heavy = heavy.count()
-    spans = [plain]
+    cold, reach = contexts, []
     if n_heavy:
         few = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
-        spans.append(_hot_spans(mixed.join(few, "anchor", "left_semi"), window))
-        mixed = mixed.join(few, "anchor", "left_anti")
-    dealt = spread(mixed, "anchor").sortWithinPartitions("anchor", "context")
-    spans.append(dealt.mapInArrow(_resolved(window), SPANS))
-    made = spans[0]
-    for more in spans[1:]:
-        made = made.union(more)
-    return made
+        reach.append(_counted_reach(contexts.join(few, "anchor", "left_semi"), window))
+        cold = contexts.join(few, "anchor", "left_anti")
+    dealt = spread(cold, "anchor").sortWithinPartitions("anchor")
+    reach.append(dealt.select("anchor", "context", "place", "bytes", "copies").mapInArrow(_reached(window), REACH))
+    every = reach[0] if len(reach) == 1 else reach[0].unionByName(reach[1])
+    at = F.col("low")[0] + F.col("place")
+    spans = mixed.select("id", "digest", "anchor", "context", at.alias("at")).join(stored(every, "reach"), ["anchor", "context"])
+    first, last = F.array(F.col("at") - F.col("farthest")), F.array(F.col("at") - F.col("nearest") + window)
+    return plain.union(spans.select("id", "digest", first.alias("first"), last.alias("last")))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
