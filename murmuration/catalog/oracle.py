@@ -153,6 +153,10 @@ def _reports(group: str = "") -> str:
     return "\nunion all ".join(blocks)
 
 
+NOISY = """(select event_id + 1 as id, event_type,
+    case when (event_id + 1) % 7 <> 0 then cast(user_id as varchar) end as k from events)"""
+SPOILT = f"""(select id, user_id, case when id % 5 = 0 or user_id % 3 = 0 or (user_id % 3 = 1 and id % 2 = 0)
+    then '-infinity'::double else lw end as lw from {LOGS})"""
 PRIOR = f"x + sqrt({INITIAL_VARIANCE}::double) * ({_gauss(0, 'id')})"
 NODE_OF = f"(id + {NODE} - 1) // {NODE}"
 UNION = f"select id, x from {EVENTS} union all select id, v as x from {ORDERS}"
@@ -174,6 +178,8 @@ ORACLE: dict[str, str] = {
     "node_bucket": f"select id, cast(ceil(id / {NODE}e0) as bigint) as node from {PARTICLES}",
     "clamp_counts": f"select id, least(wq, {LIMIT}) as low, greatest(wq, {LIMIT}) as high from {CENTS}",
     "keyed_noise": f"select id, {_r(_bits(3, 'id') + ' / 4294967296e0', 'u')}, {_r(_gauss(3, 'id'), 'g')} from {PARTICLES}",
+    "keyed_noise_by_group": f"""select id, {_r(_bits(3, 'event_type', 'k', 'id') + ' / 4294967296e0', 'u')},
+        {_r(_gauss(3, 'event_type', 'k', 'id'), 'g')} from {NOISY}""",
     "half_filter": f"select id, x, case when (id - 1) % {NODE} < {NODE // 2} then 'lower' else 'upper' end as half from {PARTICLES}",
     "threshold_flag": f"select id, cast(wq > {LIMIT} as integer) as flag from {CENTS}",
     "negate_flag": f"select id, cast(wq > {LIMIT} as integer) as flag, cast(wq <= {LIMIT} as integer) as negated from {CENTS}",
@@ -183,6 +189,7 @@ ORACLE: dict[str, str] = {
     "range_expand": f"""select unnest(generate_series(node * {NODE} - {NODE - 1}, node * {NODE})) as id, node, total
         from (select event_id // {NODE} + 1 as node, cast(sum(cast(floor(value * 100 + 0.5e0) as bigint)) as bigint) as total
               from events group by 1)""",
+    "range_expand_overlapping": "select event_id as src, unnest(generate_series(1, event_id % 3 + 1)) as id from events",
     "join_on_id": f"select id, x, v from {EVENTS} join {ORDERS} using (id)",
     "join_scalar": f"select id, x, (select max(value) from events) as max_x from {EVENTS}",
     "join_node_value": f"select id, user_id, wq, cast(sum(wq) over (partition by user_id) as bigint) as total from {CENTS}",
@@ -199,6 +206,11 @@ ORACLE: dict[str, str] = {
     "log_sum_exp_by_group": f"select user_id, {_r('ln(sum(exp(lw)))', 'log_total')} from {LOGS} group by user_id",
     "normalize_weights": f"select id, {_r('lw - ln(sum(exp(lw)) over ())', 'lw')} from {LOGS}",
     "normalize_weights_by_group": f"select id, user_id, {_r('lw - ln(sum(exp(lw)) over (partition by user_id))', 'lw')} from {LOGS}",
+    "normalize_weights_degenerate": f"""
+        with p as (select *, max(lw) over (partition by user_id) as peak, count(*) over (partition by user_id) as n from {SPOILT})
+        select id, user_id, {_r("case when peak = '-infinity'::double then 1e0 / n else exp(lw - peak)"
+                                " / sum(case when peak > '-infinity'::double then exp(lw - peak) end) over (partition by user_id) end", 'w')}
+        from p""",
     "effective_sample_size": f"select {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')} from {LOGS}",
     "effective_sample_size_by_group": f"select user_id, {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')} from {LOGS} group by user_id",
     "weighted_mean": f"select user_id, {_r('sum(exp(lw) * x) / sum(exp(lw))', 'estimate')} from {LOGS} group by user_id",

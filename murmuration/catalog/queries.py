@@ -165,6 +165,15 @@ def keyed_noise(spark, folder):
     return rounded(draws, "u", "g")
 
 
+def keyed_noise_by_group(spark, folder):
+    """Keys of text, one of which is sometimes missing."""
+    user = F.when(F.col("id") % 7 != 0, F.col("user_id").cast("string")).alias("k")
+    rows = particles(spark, folder, "user_id", "event_type").select("id", "event_type", user)
+    keys = "event_type", "k", "id"
+    draws = rows.select("id", NOISE.uniform(3, *keys).alias("u"), NOISE.gaussian(3, *keys).alias("g"))
+    return rounded(draws, "u", "g")
+
+
 def half_filter(spark, folder):
     rows = particles(spark, folder)
     lower = vector.half_filter(rows, NODE, lower=True).withColumn("half", F.lit("lower"))
@@ -252,6 +261,12 @@ def tree_sum_by_node(spark, folder):
     return aggregates.tree_sum(cents(events(spark, folder, "user_id")), "wq", ["user_id"])
 
 
+def range_expand_overlapping(spark, folder):
+    """Every row to the same few keys: one value for all, or parent to children."""
+    rows = events(spark, folder).select(F.col("id").alias("src"))
+    return vector.range_expand(rows, F.lit(1), F.col("src") % 3 + F.lit(1)).select("src", "id")
+
+
 def log_sum_exp(spark, folder):
     return rounded(weights.log_sum_exp(log_weights(events(spark, folder))), "log_total")
 
@@ -272,6 +287,16 @@ def normalize_weights_by_group(spark, folder):
     return rounded(normal.select("id", "user_id", "lw"), "lw")
 
 
+def normalize_weights_degenerate(spark, folder):
+    """Groups in which all, some or none have a weight, and some are not numbers."""
+    nothing, kind = F.lit(float("-inf")), F.col("user_id") % 3
+    rows = log_weights(events(spark, folder, "user_id"))
+    lost = (kind == 0) | ((kind == 1) & (F.col("id") % 2 == 0))
+    spoilt = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).when(lost, nothing).otherwise(F.col("lw"))
+    normal = weights.normalize_weights(rows.withColumn("lw", spoilt), group_cols=["user_id"])
+    return rounded(normal.select("id", "user_id", F.exp("lw").alias("w")), "w")
+
+
 def effective_sample_size(spark, folder):
     normal = weights.normalize_weights(log_weights(events(spark, folder)))
     return rounded(weights.effective_sample_size(normal), "ess")
@@ -466,6 +491,7 @@ QUERIES: dict[str, Query] = {
     "node_bucket": node_bucket,
     "clamp_counts": clamp_counts,
     "keyed_noise": keyed_noise,
+    "keyed_noise_by_group": keyed_noise_by_group,
     "half_filter": half_filter,
     "threshold_flag": threshold_flag,
     "negate_flag": negate_flag,
@@ -473,6 +499,7 @@ QUERIES: dict[str, Query] = {
     "drop_sentinel": drop_sentinel,
     "tag_and_pair": tag_and_pair,
     "range_expand": range_expand,
+    "range_expand_overlapping": range_expand_overlapping,
     "join_on_id": join_on_id,
     "join_scalar": join_scalar,
     "join_node_value": join_node_value,
@@ -486,6 +513,7 @@ QUERIES: dict[str, Query] = {
     "log_sum_exp_by_group": log_sum_exp_by_group,
     "normalize_weights": normalize_weights,
     "normalize_weights_by_group": normalize_weights_by_group,
+    "normalize_weights_degenerate": normalize_weights_degenerate,
     "effective_sample_size": effective_sample_size,
     "effective_sample_size_by_group": effective_sample_size_by_group,
     "weighted_mean": weighted_mean,

@@ -1,11 +1,12 @@
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from murmuration import FilterSettings, Noise, StateSpaceModel, filter_step, growth_model, run_filter, run_filter_grouped
 from murmuration.functions.slots import ONE_32
-from murmuration.plans.filter import OFFSET_KEY
+from murmuration.plans.filter import OFFSET_KEY, _observed
 from murmuration.sources.generate import id_range
 
 NOISE = Noise(9)
@@ -157,3 +158,59 @@ def test_grouped_filter_refuses_two_observations(spark):
     twice = spark.createDataFrame([("a", 1, 0.0), ("a", 1, 1.0)], "g string, step int, z double")
     with pytest.raises(Exception, match="more than one observation"):
         run_filter_grouped(start, twice, ["g"], FilterSettings(noise=NOISE))
+
+
+def bounded():
+    """Particles within 10 of the observation have a weight, others none."""
+    near = lambda x, z: F.when(F.abs(x - z) <= 10, -F.abs(x - z)).otherwise(F.lit(float("-inf")))
+    return StateSpaceModel(lambda x, step, noise: x, near)
+
+
+def test_carried_weights_recover_where_none_is_left(spark):
+    ids = id_range(spark, 100)
+    states = ids.withColumn("x", F.col("id").cast("double"))
+    seen = observations(spark, [(1, 500.0), (2, 50.0)])
+    runs = []
+    for carry in (False, True):
+        settings = FilterSettings(bounded(), NOISE, carry_weights=carry, estimate="weighted")
+        runs.append(run_filter(states, seen, settings).report.orderBy("step").collect())
+        grouped = run_filter_grouped(
+            states.withColumn("g", F.lit("a")), seen.withColumn("g", F.lit("a")), ["g"], settings
+        ).report.orderBy("step").collect()
+        assert [r.ess for r in grouped] == pytest.approx([r.ess for r in runs[-1]])
+        assert [r.estimate for r in grouped] == pytest.approx([r.estimate for r in runs[-1]], abs=0.5)
+    for report in runs:
+        assert report[0].ess == 100 and not report[0].resampled
+        assert report[1].ess < 5 and report[1].resampled
+        assert report[1].estimate == pytest.approx(50, abs=0.01)
+
+
+def test_missing_states_have_no_part_in_the_mean(spark):
+    rows = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "id bigint, x double")
+    still = StateSpaceModel(lambda x, step, noise: x, lambda x, z: x * 0.0)
+    report = filter_step(rows, 1, 2.0, FilterSettings(still, NOISE)).report.first()
+    assert not report.resampled and report.estimate == pytest.approx(2.0)
+
+
+def test_any_number_of_observations(spark):
+    many = spark.range(1, 12_001).select(F.col("id").cast("int").alias("step"), F.lit(None).cast("double").alias("z"))
+    assert [s for s, _ in _observed(many)] == list(range(1, 12_001))
+    with pytest.raises(ValueError, match="more than one"):
+        list(_observed(many.union(many.limit(1))))
+
+
+def test_concurrent_runs_leave_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    states = population(spark, 200)
+    want = run_filter(states, observations(spark, OBSERVED[:2]), FilterSettings(noise=NOISE)).report.orderBy("step").collect()
+    with ThreadPoolExecutor(4) as pool:
+        runs = list(
+            pool.map(
+                lambda _: run_filter(states, observations(spark, OBSERVED[:2]), FilterSettings(noise=NOISE))
+                .report.orderBy("step")
+                .collect(),
+                range(4),
+            )
+        )
+    assert all(r == want for r in runs)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before

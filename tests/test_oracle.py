@@ -3,8 +3,18 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql as every_sql, queries as every_query
 from check import TABLES, compare
+from murmuration.catalog.oracle import ORACLE
+from murmuration.catalog.queries import QUERIES
+
+
+def queries():
+    return QUERIES
+
+
+def oracle_sql():
+    return ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +35,10 @@ def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= every_query().items() and ORACLE.items() <= every_sql().items()
+
+
 def test_both_branches_are_reached(spark, folder):
     flags = {r.resampled for r in queries()["step_report"](spark, folder).collect()}
     assert flags == {True, False}

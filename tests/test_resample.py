@@ -165,3 +165,18 @@ def test_range_expand_over_zero(spark):
     df = spark.createDataFrame([("a", -2, 3), ("b", 7, 7)], "n string, lo bigint, hi bigint")
     got = range_expand(df, F.col("lo"), F.col("hi")).collect()
     assert sorted((r.n, r.id) for r in got) == [("a", k) for k in range(-2, 4)] + [("b", 7)]
+
+
+def test_overlapping_ranges_are_dealt_evenly(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "src")
+    grown = range_expand(rows, F.lit(1), F.lit(3))
+    sizes = [r["count"] for r in grown.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) > 1 and max(sizes) < 2 * min(sizes)
+
+
+def test_huge_ranges_are_cut_in_two_levels(spark):
+    row = spark.range(1).select(F.lit(5).cast("bigint").alias("lo"), F.lit(10**12 + 5).cast("bigint").alias("hi"))
+    pieces = rs.cut_ranges(row, F.col("lo"), F.col("hi"), 2**16, "piece")
+    got = pieces.agg(F.count(F.lit(1)), F.min("piece"), F.max("piece"), F.countDistinct("piece")).first()
+    first, last = 5 // 2**16, (10**12 + 4) // 2**16
+    assert tuple(got) == (last - first + 1, first, last, last - first + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators import aggregates, joins, weights
 from murmuration.operators.attach import attach
+from murmuration.operators.resample import systematic_copies
 
 
 def logs(spark, rows):
@@ -88,3 +89,20 @@ def test_gather_by_rotation(spark):
     df = spark.createDataFrame([(k, k * 10) for k in range(1, 9)], "id bigint, v bigint")
     got = joins.gather_by_index(df, "v", joins.rotated_index("id", 3, 8)).collect()
     assert {r.id: r.gathered for r in got} == {k: ((3 + k - 1) % 8 + 1) * 10 for k in range(1, 9)}
+
+
+def test_what_is_not_a_number_has_no_weight(spark):
+    rows = [(1, 1.0), (2, 9.0), (3, float("nan")), (4, 90.0), (5, None)]
+    df = spark.createDataFrame(rows, "id bigint, w double")
+    copies = {r.id: r.n_copies for r in systematic_copies(df, "w", 100).collect()}
+    assert sum(copies.values()) == 100 and copies[3] == copies[5] == 0
+    assert all(abs(copies[k] - due) <= 1 for k, due in ((1, 1), (2, 9), (4, 90)))
+    with pytest.raises(Exception, match="infinite"):
+        systematic_copies(df.union(spark.createDataFrame([(6, float("inf"))], df.schema)), "w", 100).collect()
+
+
+def test_without_any_weight_all_are_equal(spark):
+    nothing = float("-inf")
+    df = spark.createDataFrame([(1, nothing), (2, float("nan")), (3, None), (4, nothing)], "id bigint, lw double")
+    assert weights.log_sum_exp(df).first()[0] == nothing
+    assert [r.lw for r in weights.normalize_weights(df).collect()] == pytest.approx([-math.log(4)] * 4)
