@@ -213,7 +213,8 @@ ORACLE: dict[str, str] = {
         from p""",
     "effective_sample_size": f"select {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')} from {LOGS}",
     "effective_sample_size_by_group": f"select user_id, {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')} from {LOGS} group by user_id",
-    "weighted_mean": f"select user_id, {_r('sum(exp(lw) * x) / sum(exp(lw))', 'estimate')} from {LOGS} group by user_id",
+    "weighted_mean": f"select user_id, {_r('sum(exp(s) * x) / sum(exp(s))', 'estimate')}"
+    f" from (select *, lw - max(lw) over (partition by user_id) as s from {LOGS}) group by user_id",
     "posterior_mean": f"select {_r('avg(x)', 'estimate')} from {EVENTS}",
     "group_max_key": f"select {NODE_OF} as node, max(id) as max_id, max(id) - {NODE} as before_first from {PARTICLES} group by 1",
     "count_rows": "select count(*) as n_rows from lineitem",

@@ -309,7 +309,8 @@ def effective_sample_size_by_group(spark, folder):
 
 
 def weighted_mean(spark, folder):
-    rows = log_weights(events(spark, folder, "user_id")).withColumn("w", F.exp("lw"))
+    rows = weights.normalize_weights(log_weights(events(spark, folder, "user_id")), group_cols=["user_id"])
+    rows = rows.withColumn("w", F.exp("lw"))
     return rounded(aggregates.weighted_mean(rows, group_cols=["user_id"]), "estimate")
 
 

@@ -147,6 +147,12 @@ def slots_of(
     return out.select(*cells.rows.columns, *kept, "slot_lo", "slot_hi", "n_copies")
 
 
+def _refuse(df: DataFrame, *names: str) -> None:
+    """Columns that an operator makes must not be there already."""
+    if taken := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"the input already has the columns {taken}")
+
+
 def systematic_copies(
     df: DataFrame,
     weight_col: str = "wq",
@@ -162,6 +168,7 @@ def systematic_copies(
     ``n`` defaults to the number of rows of the table (or group). ``offset`` is
     a number in [0, 1), or a column of 32-bit integers over the group columns. Floating-point weights are made integers first.
     """
+    _refuse(df, "total_w", "slot_lo", "slot_hi", "n_copies", "_wq")
     if isinstance(df.schema[weight_col].dataType, (T.DoubleType, T.FloatType)):
         weighted = integer_weights(df, weight_col, group_cols, out="_wq", bits=bits)
         cells = lay_out(weighted, [id_col], group_cols, layout)
@@ -262,6 +269,7 @@ def resample(
     width: int = CHUNK,
 ) -> DataFrame:
     """Weights in, equally weighted rows out, with new ids and ``src``."""
+    _refuse(df, "src")
     copies = systematic_copies(df, weight_col, n, offset, id_col, group_cols, layout)
     narrowed = copies.drop(weight_col, "total_w", "n_copies")
     return replicate_balanced(narrowed, id_col, group_cols, width)
@@ -284,6 +292,7 @@ def resample_if_needed(
     The decision is a column of the same plan, so groups may differ and no
     value travels through the driver.
     """
+    _refuse(df, "src", "total_w", "ess", "resampled", "slot_lo", "slot_hi", "n_copies")
     cells = lay_out(df, [id_col], group_cols, layout)
     copies = slots_of(cells, weight_col, None, offset, id_col, keep_above=fraction)
     narrowed = cells.drop_keys(copies).drop(weight_col, "total_w", "n_copies")

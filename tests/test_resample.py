@@ -180,3 +180,12 @@ def test_huge_ranges_are_cut_in_two_levels(spark):
     got = pieces.agg(F.count(F.lit(1)), F.min("piece"), F.max("piece"), F.countDistinct("piece")).first()
     first, last = 5 // 2**16, (10**12 + 4) // 2**16
     assert tuple(got) == (last - first + 1, first, last, last - first + 1)
+
+
+@pytest.mark.parametrize("name", ["n_copies", "slot_lo", "total_w"])
+def test_clashing_columns_are_refused(spark, name):
+    df = table(spark, [1, 2, 3])
+    with pytest.raises(ValueError, match=name):
+        rs.systematic_copies(df.withColumn(name, F.lit(1)))
+    with pytest.raises(ValueError, match="src"):
+        rs.resample(df.withColumn("src", F.lit(1)))
