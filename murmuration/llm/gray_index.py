@@ -42,26 +42,44 @@ class GrayIndex:
                 self.rest.append(mask)
                 break
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, code) positions of all pairs within the radius."""
-        found = list(self._search(queries.astype(np.uint64), np.arange(len(queries)), radius))
+    def labelled(self, label: np.ndarray) -> list[np.ndarray]:
+        """The label of each node below which all codes have the same, else -1."""
+        levels = [label[self.order]]
+        for bits in self.bits[1:]:
+            firsts = np.arange(len(bits)) * FAN
+            least, most = np.minimum.reduceat(levels[-1], firsts), np.maximum.reduceat(levels[-1], firsts)
+            levels.append(np.where(least == most, least, -1))
+        return levels
+
+    def search(
+        self,
+        queries: np.ndarray,
+        radius: int,
+        own: np.ndarray | None = None,
+        labels: list[np.ndarray] | None = None,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(query, code) positions of all pairs within the radius; given labels of
+        queries and nodes, of all pairs of different labels."""
+        found = list(self._search(queries.astype(np.uint64), np.arange(len(queries)), radius, own, labels))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         q, at = (np.concatenate(x) for x in zip(*found, strict=True))
         return q, self.order[at]
 
-    def _search(self, queries: np.ndarray, which: np.ndarray, radius: int):
+    def _search(self, queries: np.ndarray, which: np.ndarray, radius: int, own, labels):
         q, node = which, np.zeros(len(which), np.int64)
         used = np.zeros(len(which), np.uint8)
         for level in range(len(self.bits) - 1, -1, -1):
             used = used + np.bitwise_count((queries[q] ^ self.bits[level][node]) & self.rest[level][node])
             near = used <= radius
+            if labels is not None:
+                near &= labels[level][node] != own[q]
             q, node, used = q[near], node[near], used[near]
             if level == 0:
                 break
             if len(q) * FAN > FRONTIER and len(which) > 1:
                 for half in np.array_split(which, 2):
-                    yield from self._search(queries, half, radius)
+                    yield from self._search(queries, half, radius, own, labels)
                 return
             width = len(self.bits[level - 1])
             child = (node[:, None] * FAN + np.arange(FAN)).ravel()
@@ -72,11 +90,15 @@ class GrayIndex:
 
 def linked(codes: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
     """For each code the position of the first code it is joined to by links of
-    at most ``radius`` bits. Pairs are used block by block and not kept."""
+    at most ``radius`` bits. Pairs are used block by block and not kept. What is
+    already joined to a query is not looked for again, so a dense group costs
+    little after its first few queries."""
     label = np.arange(len(codes))
     index = GrayIndex(codes)
-    for first in range(0, len(codes), block):
-        q, at = index.search(codes[first : first + block], radius)
+    first, size = 0, min(16, block)
+    while first < len(codes):
+        now = np.arange(first, min(first + size, len(codes)))
+        q, at = index.search(codes[now], radius, label[now], index.labelled(label))
         q = q + first
         while len(q):
             a, b = label[q], label[at]
@@ -90,4 +112,5 @@ def linked(codes: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
                 if (further == label).all():
                     break
                 label = further
+        first, size = first + size, min(2 * size, block)
     return label

@@ -28,7 +28,7 @@ SEED = 42
 WORDS = 3
 RADIUS = 2
 #: More fingerprints than this under one key are dealt again by more bits.
-HOT = 4096
+HOT = 1 << 15
 #: Keys broadcast at most, of 16 bytes each.
 BROADCAST_KEYS = 100_000
 
