@@ -224,8 +224,13 @@ class Finder:
 
 def fit_finder(docs: DataFrame, max_docs: int = MAX_DOCS, max_stretches: int = MAX_STRETCHES) -> Finder:
     """Learn from a bounded sample of the documents that have digits or "@"."""
-    rows = docs.select(text_of()).filter(F.col("text").rlike("[0-9@]")).distinct()
-    chosen = rows.orderBy(F.xxhash64("text"), "text").limit(max_docs)
+    rows = docs.select(text_of()).filter(F.col("text").rlike("[0-9@]"))
+    # only hashes are compared; a text then knows by its own whether it is chosen
+    hashes = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(max_docs)
+    edge = hashes.agg(F.max("h")).first()[0]
+    if edge is None:
+        return Finder(None)
+    chosen = rows.filter(F.xxhash64("text") <= edge)
 
     def columns(batch: pa.RecordBatch) -> dict:
         pieces = [[t[a:b] for a, b in stretches(t)] for t in batch.column("text").to_pylist()]
