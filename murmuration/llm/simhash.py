@@ -23,29 +23,39 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from murmuration.llm.common import Batches, map_rows, pieces, spread, stored, text_of
 from murmuration.llm.components import components
 from murmuration.llm.gray_index import FAN, linked
+from murmuration.llm.jaccard import FIRST, bands, groups_of, near_components
 
 SEED = 42
 WORDS = 3
 RADIUS = 2
+#: Jaccard similarity of shingles that confirms a link in ``keep_one``.
+SIMILARITY = 0.8
 #: More fingerprints than this under one key are dealt again by more bits.
 HOT = 1 << 15
 #: Keys broadcast at most, of 16 bytes each.
 BROADCAST_KEYS = 100_000
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Blanks are ASCII white space, letters A-Z count as a-z; no words: zero."""
-    tokens = (text or "").encode().lower().split()
+def tokens_of(text: str | None) -> list[bytes]:
+    """Blanks are ASCII white space, letters A-Z count as a-z."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """A hash of each run of so many words, of all words if they are fewer."""
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     whole = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], "<u8")
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
     spans = zip((ends - sizes).tolist(), ends[words - 1 :].tolist(), strict=False)
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([digest(whole[a:b], SEED) for a, b in spans], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -54,6 +64,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(major.view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The bits that most shingles have; no words: zero."""
+    return majority(shingle_hashes(tokens_of(text), words))
+
+
+def text_digest(tokens: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens), SEED)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, code): the fingerprint as a signed 64-bit integer."""
 
@@ -179,19 +198,92 @@ def near_duplicates(
     return codes.join(_labelled(codes, radius, parts, hot), "code").select("doc_id", "code", "component_id")
 
 
+def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sid, code, bands): digest of the words, fingerprint, MinHash bands."""
+
+    def columns(batch: pa.RecordBatch) -> dict:
+        texts = [tokens_of(t) for t in batch.column("text").to_pylist()]
+        hashes = [shingle_hashes(t, words) for t in texts]
+        return {
+            "doc_id": batch.column("doc_id"),
+            "sid": np.array([text_digest(t) for t in texts], np.uint64).view(np.int64),
+            "code": np.array([majority(h) for h in hashes], np.uint64).view(np.int64),
+            "bands": [bands(h) for h in hashes],
+        }
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
+    return map_rows(rows, "doc_id long,sid long,code long,bands array<long>", columns)
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(sid, members) of the texts of ``wanted``, rows (sid, first) with one id each."""
+
+    def digests(batch: pa.RecordBatch) -> dict:
+        sids = np.array([text_digest(tokens_of(t)) for t in batch.column("text").to_pylist()], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "sid": sids.view(np.int64), "text": batch.column("text")}
+
+    def members(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").to_pylist()
+        return {
+            "sid": batch.column("sid"),
+            "members": [np.unique(shingle_hashes(tokens_of(t), words)).astype("<u8").tobytes() for t in texts],
+        }
+
+    rows = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()), "doc_id long,sid long,text string", digests)
+    w = wanted.select(F.col("sid").alias("_sid"), "first")
+    own = rows.join(w, (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("sid", "text")
+    return map_rows(own, "sid long,members binary", members).dropDuplicates(["sid"])
+
+
+def _confirmed_labels(
+    docs: DataFrame, rows: DataFrame, words: int, similarity: float, radius: int, parts: int | None, hot: int
+) -> DataFrame:
+    """(sid, root, component_id), as ``_labelled`` but by confirmed links alone."""
+    distinct = stored(
+        rows.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("code").alias("code"), F.first("bands").alias("bands")),
+        "distinct",
+    )
+    codes = stored(distinct.filter(F.size("bands") > 0).groupBy("code").agg(F.min("sid").alias("sid")), "codes")
+    by_code = stored(links(codes.select("code"), radius, parts, hot).distinct(), "near-codes")
+    ends = by_code.select("a", F.explode(F.array("a", "b")).alias("code")).distinct().join(codes, "code")
+    by_code = ends.select(F.xxhash64("a", F.lit("code")).alias("key"), "sid", F.lit(True).alias("early"))
+    by_band = distinct.select("sid", F.posexplode("bands").alias("band", "key")).select("key", "sid", (F.col("band") < FIRST).alias("early"))
+    keyed = stored(by_band.union(by_code), "keyed")
+    sizes = stored(groups_of(keyed), "sizes")
+    asked = keyed.join(sizes.select("key"), "key", "left_semi").select("sid").distinct()
+    sets = stored(_shingle_sets(docs, distinct.select("sid", "first").join(asked, "sid"), words), "sets")
+    found = near_components(keyed, sizes, sets, similarity)
+    roots = stored(
+        distinct.join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
+            "sid", "first", F.coalesce("component", "sid").alias("root")
+        ),
+        "roots",
+    )
+    smallest = stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    return stored(roots.join(smallest, "root").select("sid", "root", "component_id"), "labels")
+
+
 def keep_one(
-    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, parts: int | None = None, hot: int = HOT
+    docs: DataFrame,
+    words: int = WORDS,
+    radius: int = RADIUS,
+    parts: int | None = None,
+    hot: int = HOT,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of every component only
     one does: one with the smallest id; a row without an id only where no row of
-    the component has one. The names _own, _code, _id and _n are reserved."""
-    codes = stored(fingerprints(docs, words), "codes")
-    labels = _labelled(codes, radius, parts, hot)
-    first = codes.join(labels, "code").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = stored(first.select("doc_id", "code", "root"), "first")
-    # one code for each component; only a repeated id can have more than one row
+    the component has one. Texts link when their sets of shingles overlap by the
+    Jaccard similarity; fingerprints within ``radius`` and MinHash bands only say
+    which texts to compare. Texts of the same words are one text, told by a
+    64-bit digest. The names _own, _sid, _id and _n are reserved."""
+    rows = stored(_signatures(docs, words), "signatures")
+    labels = _confirmed_labels(docs, rows, words, similarity, radius, parts, hot)
+    first = rows.select("doc_id", "sid").join(labels, "sid").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = stored(first.select("doc_id", "sid", "root"), "first")
+    # one text for each component; only a repeated id can have more than one row
     each = first.groupBy("root").agg(
-        F.min("code").alias("_code"), F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")
+        F.min("sid").alias("_sid"), F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")
     )
     one = stored(each.drop("root"), "one")
     at = docs.columns.index("text")
@@ -199,14 +291,13 @@ def keep_one(
 
     def run(batches: Batches) -> Batches:
         for batch in pieces(batches):
-            own = np.array([fingerprint(t, words) for t in batch.column(at).to_pylist()], np.uint64)
+            own = np.array([text_digest(tokens_of(t)) for t in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.view(np.int64))], [*batch.schema.names, "_own"])
 
     id_ = F.col("doc_id").cast("long")
-    rows = docs.mapInArrow(run, schema)
-    kept = rows.join(one, (F.col("_own") == F.col("_code")) & id_.eqNullSafe(F.col("_id")))
+    kept = docs.mapInArrow(run, schema).join(one, (F.col("_own") == F.col("_sid")) & id_.eqNullSafe(F.col("_id")))
     single = kept.filter("_n = 1").select(*docs.columns)
-    repeated = kept.filter("_n > 1").dropDuplicates(["_code"]).select(*docs.columns)
+    repeated = kept.filter("_n > 1").dropDuplicates(["_sid"]).select(*docs.columns)
     return single.union(repeated)
 
 
