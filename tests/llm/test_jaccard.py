@@ -54,6 +54,13 @@ def test_keep_one_equals_brute_force_jaccard(make_docs, monkeypatch, block):
     assert got == kept_ids(texts, list(range(len(texts))))
 
 
+def test_near_fingerprints_alone_do_not_link(make_docs):
+    """Within 20 bits unrelated short texts meet; none may go."""
+    texts = [" ".join(f"t{k}x{n}" for n in range(6)) for k in range(40)]
+    kept = keep_one(make_docs(texts), words=5, radius=20, parts=21)
+    assert kept.count() == len(texts)
+
+
 def test_stage_equals_brute_force_jaccard(spark, folder):
     docs = table(spark, folder, "documents")
     docs = keep_good(docs, fit_quality(docs, table(spark, folder, "labels")))
