@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
+from murmuration.llm.lexical_search import search
 from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.mixing import mix
 from murmuration.llm.multi_index import nearest
@@ -75,6 +76,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -99,6 +104,41 @@ from marked group by doc_id
 """
 
 
+#: Letters A-Z as a-z, others as they are.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_SEARCH = f"""
+with texts as (
+    select row_number() over () as r, doc_id,
+           regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), docs as (
+    select r, doc_id, len(terms) as n from texts where len(terms) > 0
+), total as (
+    select count(*) as docs, sum(n)::bigint as terms from docs
+), counts as (
+    select r, term, count(*) as tf
+    from (select r, {_LOWER.format("unnest(terms)")} as term from texts) group by r, term
+), weights as (
+    select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+    from counts, total group by term
+), items as (
+    select item_id, {_LOWER.format("unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")} as term
+    from benchmark
+), asked as (
+    select item_id, term, count(*) as times from items group by item_id, term
+), scores as (
+    select item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * t.docs) // t.terms))))::bigint as score
+    from asked join weights using (term) join counts using (term) join docs using (r), total t
+    group by item_id, r
+), ranked as (
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+    from scores join docs using (r) where score > 0
+)
+select * from ranked where rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash_gray": op2_simhash_gray,
@@ -110,8 +150,10 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": SQL_LINES,
+    "op11_lexical_search": SQL_SEARCH,
 }
