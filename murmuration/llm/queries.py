@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from murmuration.llm.collocations import collocations
 from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.lexical_search import search
@@ -80,6 +81,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -138,6 +143,51 @@ with texts as (
 select * from ranked where rank <= 10
 """
 
+SQL_COLLOCATIONS = f"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), lists as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+    select lang, 1 as words, unnest(w) as phrase from lists
+    union all
+    select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from lists
+    union all
+    select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from lists
+), counts as (
+    select lang, words, phrase, count(*) as f from grams group by lang, words, phrase
+), totals as (
+    select lang, sum(f)::bigint as n from counts where words = 1 group by lang
+), candidates as (
+    select lang, words, phrase, f as a, string_split(phrase, ' ') as w from counts where words > 1 and f >= 10
+), cuts as (
+    select lang, words, phrase, a, 1 as k, w[1] as lhs, array_to_string(w[2:], ' ') as rhs from candidates
+    union all
+    select lang, words, phrase, a, 2, array_to_string(w[:2], ' '), w[3] from candidates where words = 3
+), scored as (
+    select c.lang, c.phrase, c.a, x.f as l, y.f as r, k,
+           ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint as score
+    from cuts c join counts x on x.lang = c.lang and x.phrase = c.lhs
+                join counts y on y.lang = c.lang and y.phrase = c.rhs
+), weakest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+    select lang, array_to_string(w[1:2], ' ') as phrase, a from candidates where words = 3
+    union all
+    select lang, array_to_string(w[2:3], ' '), a from candidates where words = 3
+), longer as (
+    select lang, phrase, max(a) as most from inside group by lang, phrase
+), kept as (
+    select w.* from weakest w left join longer o on o.lang = w.lang and o.phrase = w.phrase
+    where o.most is null or 100 * o.most < 50 * w.a
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
@@ -151,9 +201,11 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": SQL_LINES,
     "op11_lexical_search": SQL_SEARCH,
+    "op12_collocations": SQL_COLLOCATIONS,
 }
