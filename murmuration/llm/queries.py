@@ -11,6 +11,7 @@ from murmuration.llm.common import table
 from murmuration.llm.decontaminate import find_passages, report
 from murmuration.llm.lexical_search import search
 from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.lm_scoring import score_texts
 from murmuration.llm.mixing import mix
 from murmuration.llm.multi_index import nearest
 from murmuration.llm.pii import find_pii, fit_finder
@@ -85,6 +86,10 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def op13_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 #: What a key keeps of a line: no ASCII white space at the ends, A-Z in lower case.
 _LINE_KEY = (
     "translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), "
@@ -202,6 +207,7 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
     "op12_collocations": op12_collocations,
+    "op13_ppm": op13_ppm,
 }
 
 ORACLE: dict[str, str] = {
