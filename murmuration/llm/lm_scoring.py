@@ -55,6 +55,8 @@ ASKED = 1 << 23
 #: Batches whose counts are added up first.
 MERGED = 64
 TEXTS, SYMBOLS, WORDS = 0, 1, 2
+#: What a batch gets back for a symbol (its logarithm, 24 bits of it) and a word (its count).
+VALUES = {SYMBOLS: "<f4", WORDS: "<i8"}
 ROWS = "batch long, shard int, n long, keys binary, counts binary, ids array<long>, held array<boolean>, kind int"
 COUNTS = "kind int, shard int, keys binary, counts binary"
 _ROWS = pa.schema(
@@ -80,19 +82,28 @@ def plain(text: str) -> bytes:
     return b" ".join(text.encode().lower().split())
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers of any fixed width, compressed byte by byte."""
+    values = np.ascontiguousarray(values)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 3)
+
+
+def unpack_numbers(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack_keys(kind: int, keys) -> bytes:
-    """Keys of one row: ascending integers as differences, byte by byte; words by lines."""
+    """Keys of one row: ascending integers as differences, words by lines."""
     if kind == WORDS:
-        return b"\n".join(keys)
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+        return zstandard.compress(b"\n".join(keys), 3)
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def unpack_keys(kind: int, raw: bytes):
     if kind == WORDS:
-        return raw.split(b"\n")
-    steps = np.frombuffer(raw, np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype=np.uint64)
+        return zstandard.decompress(raw).split(b"\n")
+    return np.cumsum(unpack_numbers(raw, "<u8"), dtype=np.uint64)
 
 
 class Events:
@@ -148,7 +159,7 @@ def _record(rows: list[dict]) -> pa.RecordBatch:
 
 def _batch_rows(batch: int, ids: list, texts: list[bytes], shard_bits: int, order: int) -> Iterator[pa.RecordBatch]:
     held = [not learns(i) for i in ids]
-    packed = zstandard.compress(b"\n".join(texts), 1)
+    packed = zstandard.compress(b"\n".join(texts), 3)
     yield _record([{"batch": batch, "shard": -1, "n": len(ids), "keys": packed, "ids": ids, "held": held, "kind": TEXTS}])
     events = Events(texts, shard_bits, order)
     sides = (SYMBOLS, events.keys, events.key_shards), (WORDS, events.words, events.word_shards)
@@ -161,7 +172,7 @@ def _batch_rows(batch: int, ids: list, texts: list[bytes], shard_bits: int, orde
                     "shard": int(shards[a]),
                     "n": b - a,
                     "keys": pack_keys(kind, keys[a:b]),
-                    "counts": counts[a:b].astype("<u4").tobytes(),
+                    "counts": pack_numbers(counts[a:b].astype("<i8")),
                     "kind": kind,
                 }
                 for a, b in zip(first, [*first[1:], len(shards)], strict=True)
@@ -226,7 +237,7 @@ class Tally:
         return self.parts[0]
 
 
-def _add_up(width: str, *by: str) -> Callable[[Batches], Batches]:
+def _add_up(*by: str) -> Callable[[Batches], Batches]:
     """Sum the counts of runs of rows that are equal in ``by``."""
 
     def run(batches: Batches) -> Batches:
@@ -235,7 +246,7 @@ def _add_up(width: str, *by: str) -> Callable[[Batches], Batches]:
         def made():
             keys, counts = tally.entries()
             if len(counts):
-                own = pack_keys(tally.kind, keys), counts.astype("<i8").tobytes()
+                own = pack_keys(tally.kind, keys), pack_numbers(counts.astype("<i8"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in own)],
                     ["kind", "shard", "keys", "counts"],
@@ -249,7 +260,7 @@ def _add_up(width: str, *by: str) -> Callable[[Batches], Batches]:
                     if tally:
                         yield from made()
                     now, tally = key, Tally(key[0])
-                tally.add(raw, np.frombuffer(counts, width).astype(np.int64))
+                tally.add(raw, unpack_numbers(counts, "<i8"))
         if tally:
             yield from made()
 
@@ -264,8 +275,8 @@ def learn(rows: DataFrame) -> DataFrame:
     """(kind, shard, keys, counts): the training counts, one row for each shard."""
     own = rows.filter(F.col("kind") > TEXTS).withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(_parts(rows))))
     some = _streamed(own.select("kind", "shard", "part", "keys", "counts"), "kind", "shard", "part")
-    some = some.mapInArrow(_add_up("<u4", "kind", "shard", "part"), COUNTS)
-    return _streamed(some, "kind", "shard").mapInArrow(_add_up("<i8", "kind", "shard"), COUNTS)
+    some = some.mapInArrow(_add_up("kind", "shard", "part"), COUNTS)
+    return _streamed(some, "kind", "shard").mapInArrow(_add_up("kind", "shard"), COUNTS)
 
 
 def _parts(rows: DataFrame) -> int:
@@ -295,7 +306,7 @@ def _totals(counts: DataFrame) -> tuple[int, int]:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            sums = [np.frombuffer(x, "<i8") for x in batch.column("counts").to_pylist()]
+            sums = [unpack_numbers(x, "<i8") for x in batch.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(x.sum()) for x in sums], pa.int64()), pa.array([len(x) for x in sums], pa.int64())], ["n", "v"]
             )
@@ -319,7 +330,7 @@ def _answered(shared, order: int):
                     now, model = key, None
                 raw, number = keys.as_py(), number.as_py()
                 if number is None:
-                    own = unpack_keys(kind, raw), np.frombuffer(counts.as_py(), "<i8")
+                    own = unpack_keys(kind, raw), unpack_numbers(counts.as_py(), "<i8")
                     if kind == WORDS:
                         model = dict(zip(own[0], own[1].tolist(), strict=True))
                     else:
@@ -328,11 +339,11 @@ def _answered(shared, order: int):
                 wanted = unpack_keys(kind, raw)
                 if kind == WORDS:
                     known = model or {}
-                    values = np.fromiter((known.get(w, 0) for w in wanted), "<i8", len(wanted))
+                    values = np.fromiter((known.get(w, 0) for w in wanted), VALUES[kind], len(wanted))
                 else:
                     model = model or ppm.Trie(wanted[:0], np.zeros(0, np.int64), order, shared.value)
-                    values = model.log10(wanted).astype("<f8")
-                out.append((number, kind, key[1], values.tobytes()))
+                    values = model.log10(wanted).astype(VALUES[kind])
+                out.append((number, kind, key[1], pack_numbers(values)))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -366,8 +377,7 @@ def _scores(shard_bits: int, order: int, n_tokens: int, n_words: int):
     def scored(row: dict, found: dict[int, list[bytes]]) -> pa.RecordBatch:
         texts = zstandard.decompress(row["keys"]).split(b"\n")
         events = Events(texts, shard_bits, order)
-        logs = np.frombuffer(b"".join(found[SYMBOLS]), "<f8")
-        counts = np.frombuffer(b"".join(found[WORDS]), "<i8")
+        logs, counts = (np.concatenate([unpack_numbers(x, VALUES[k]) for x in found[k]]) for k in (SYMBOLS, WORDS))
         base = np.log10((counts + 0.1) / (n_tokens + 0.1 * (n_words + 1)))
         n = len(texts)
         return pa.RecordBatch.from_arrays(
@@ -378,7 +388,7 @@ def _scores(shard_bits: int, order: int, n_tokens: int, n_words: int):
                 pa.array(events.by_word((counts > 0).astype(np.int64))),
                 pa.array(np.full(n, n_tokens, np.int64)),
                 pa.array(events.by_word(base)),
-                pa.array(events.by_symbol(logs)),
+                pa.array(events.by_symbol(logs.astype(float))),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
