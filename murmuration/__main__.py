@@ -1,9 +1,11 @@
-"""Run the filter on text files of ``key,value`` lines.
+"""Run the filter on files: text of ``key,value`` lines, or Parquet.
 
     spark-submit --py-files <zip of murmuration> -m murmuration PARTICLES OBSERVATIONS OUTPUT
 
-PARTICLES has lines ``id,state``, OBSERVATIONS lines ``step,z``. The final
-states and the report go to OUTPUT/particles and OUTPUT/report.
+PARTICLES has lines ``id,state``, OBSERVATIONS lines ``step,z``; with ``--format
+parquet`` columns (id, x) and (step, z). The final states and the report go to
+OUTPUT/particles and OUTPUT/report, in the same format. With ``--store FOLDER`` every
+step is kept there, and the same command goes on after the last one.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import SparkSession
 
 from murmuration.functions import model as models
 from murmuration.functions.noise import HASHES, Noise
-from murmuration.plans.filter import ESTIMATES, FilterSettings, run_filter
-from murmuration.sources.keyvalue import read_keyvalue, write_keyvalue
+from murmuration.plans.filter import ESTIMATES, ROUNDINGS, FilterSettings, run_filter
+from murmuration.sources.keyvalue import read_keyvalue, read_vector, write_keyvalue
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -31,6 +33,10 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--fraction", type=float, default=models.ESS_FRACTION)
     parser.add_argument("--estimate", choices=ESTIMATES, default=ESTIMATES[0])
     parser.add_argument("--carry-weights", action="store_true")
+    parser.add_argument("--offset", type=float)
+    parser.add_argument("--rounding", choices=ROUNDINGS, default=ROUNDINGS[0])
+    parser.add_argument("--format", choices=("text", "parquet"), default="text")
+    parser.add_argument("--store")
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("murmuration").getOrCreate()
@@ -40,12 +46,21 @@ def main(arguments: list[str] | None = None) -> None:
         options.fraction,
         options.estimate,
         options.carry_weights,
+        offset=options.offset,
+        rounding=options.rounding,
     )
-    particles = read_keyvalue(spark, options.particles)
-    observations = read_keyvalue(spark, options.observations, "step INT, z DOUBLE")
-    run = run_filter(particles, observations, settings, options.initial_variance)
-    write_keyvalue(run.particles, f"{options.output}/particles")
-    run.report.coalesce(1).write.mode("errorifexists").option("header", True).csv(f"{options.output}/report")
+    text = options.format == "text"
+    read = read_keyvalue if text else read_vector
+    particles = read(spark, options.particles)
+    observations = read(spark, options.observations, "step INT, z DOUBLE")
+    run = run_filter(particles, observations, settings, options.initial_variance, options.store)
+    report = run.report.coalesce(1).write.mode("errorifexists")
+    if text:
+        write_keyvalue(run.particles, f"{options.output}/particles")
+        report.option("header", True).csv(f"{options.output}/report")
+    else:
+        run.particles.select("id", "x").write.mode("errorifexists").parquet(f"{options.output}/particles")
+        report.parquet(f"{options.output}/report")
 
 
 if __name__ == "__main__":

@@ -3,10 +3,10 @@ windows, and slots as one fraction instead of cells and shifted offsets."""
 
 from __future__ import annotations
 
-from murmuration.catalog.queries import LIMIT, LOOP_VARIANCE, NODE, OFFSET, SEED, SHIFT, SPREAD, TARGET
+from murmuration.catalog.queries import COARSE, LIMIT, LOOP_VARIANCE, NODE, OFFSET, SEED, SHIFT, SPREAD, TARGET
 from murmuration.functions.model import ESS_FRACTION, INITIAL_VARIANCE, PROCESS_VARIANCE
 from murmuration.functions.slots import WEIGHT_BITS, offset_bits
-from murmuration.plans.filter import OFFSET_KEY
+from murmuration.plans.filter import OFFSET_KEY, ROUNDING_KEY
 
 U32 = offset_bits(OFFSET)
 N_STEPS = 5
@@ -89,14 +89,32 @@ def _observations(group: str = "") -> str:
       from events group by {keys}event_type"""
 
 
-def _loop(steps: list[tuple[int, str]], first: str, variance: float, group: str = "") -> list[str]:
-    """CTEs p{step} (id, x) and r{step} (ess, resampled, ..), one block per
-    step; ``steps`` pairs a step with the SQL of its observation."""
+def _loop(
+    steps: list[tuple[int, str]],
+    first: str,
+    variance: float,
+    group: str = "",
+    carry: bool = False,
+    offset: str = "",
+    keyed: bool = False,
+) -> list[str]:
+    """CTEs p{step} (id, x, b) and r{step} (ess, resampled, ..), one block per
+    step; ``steps`` pairs a step with the SQL of its observation; ``b`` is the
+    log-weight carried over."""
     keys = f"{group}, " if group else ""
     over = f"partition by {group}" if group else ""
     id_keys = [group, "id"] if group else ["id"]
     offset_keys = [f"'{OFFSET_KEY}'", group] if group else [f"'{OFFSET_KEY}'"]
-    ctes = [f"p0 as materialized ({first})"]
+    kept = "case when resampled then 0e0 else fall end" if carry else "0e0"
+
+    def bits(step: int) -> str:
+        return offset or _bits(step, *offset_keys)
+
+    def up(step: int) -> str:
+        keys_of_draw = [f"'{ROUNDING_KEY}'", *id_keys]
+        return f"{_bits(step, *keys_of_draw)} / 4294967296e0" if keyed else "5e-1"
+
+    ctes = [f"p0 as materialized (select *, 0e0 as b from ({first}))"]
     for i, (step, observed) in enumerate(steps, start=1):
         seen = f"(select * from obs where step = {step})"
         source = f"p{i - 1} left join {seen} o using ({group})" if group else f"p{i - 1}"
@@ -104,19 +122,20 @@ def _loop(steps: list[tuple[int, str]], first: str, variance: float, group: str
         density = f"case when z is null then 0e0 else {_log_density('z', 'x * x / 20e0', variance)} end"
         moved_keys = [f"p{i - 1}.id" if k == "id" else k for k in id_keys]
         ctes += [
-            f"m{i} as materialized (select {keys}id, {_move(step, *moved_keys)} as x, {z} as z from {source})",
-            f"l{i} as materialized (select *, {density} as lw from m{i})",
-            f"w{i} as materialized (select *, cast(floor(exp(lw - max(lw) over ({over})) * (2::double ** {WEIGHT_BITS}) + 5e-1) as bigint) as wq from l{i})",
+            f"m{i} as materialized (select {keys}id, {_move(step, *moved_keys)} as x, {z} as z, b from {source})",
+            f"l{i} as materialized (select *, {density} + b as lw from m{i})",
+            f"k{i} as materialized (select *, lw - max(lw) over ({over}) as fall from l{i})",
+            f"w{i} as materialized (select *, cast(floor(exp(fall) * (2::double ** {WEIGHT_BITS}) + {up(step)}) as bigint) as wq from k{i})",
             f"""c{i} as materialized (select *, sum(wq::hugeint) over ({over} order by id rows unbounded preceding) as c,
                  sum(wq::hugeint) over ({over}) as w,
                  sum(wq::hugeint * wq::hugeint) over ({over}) as s2,
                  count(*) over ({over}) as n from w{i})""",
             f"e{i} as materialized (select *, w::double * w::double / s2::double as ess from c{i})",
             f"""r{i} as materialized (select *, ess <= {ESS_FRACTION}::double * n as resampled,
-                 case when ess <= {ESS_FRACTION}::double * n then {_slot('c - wq', 'w', 'n', _bits(step, *offset_keys))} else id - 1 end as lo,
-                 case when ess <= {ESS_FRACTION}::double * n then {_slot('c', 'w', 'n', _bits(step, *offset_keys))} else id end as hi
+                 case when ess <= {ESS_FRACTION}::double * n then {_slot('c - wq', 'w', 'n', bits(step))} else id - 1 end as lo,
+                 case when ess <= {ESS_FRACTION}::double * n then {_slot('c', 'w', 'n', bits(step))} else id end as hi
                from e{i})""",
-            f"p{i} as materialized (select {keys}unnest(generate_series(lo + 1, hi)) as id, x from r{i} where hi > lo)",
+            f"p{i} as materialized (select {keys}unnest(generate_series(lo + 1, hi)) as id, x, {kept} as b from r{i} where hi > lo)",
         ]
     return ctes
 
@@ -133,18 +152,21 @@ def _prior(group: str = "") -> str:
       from (select {keys}row_number() over ({over}order by event_id) as id, value as x from events)"""
 
 
-def _filter_ctes(group: str = "") -> list[str]:
+def _filter_ctes(group: str = "", **settings) -> list[str]:
     steps = [(t, f"(select z from obs where step = {t})") for t in range(1, N_STEPS + 1)]
-    return [f"obs as materialized ({_observations(group)})"] + _loop(steps, _prior(group), LOOP_VARIANCE, group)
+    loop = _loop(steps, _prior(group), LOOP_VARIANCE, group, **settings)
+    return [f"obs as materialized ({_observations(group)})"] + loop
 
 
-def _reports(group: str = "") -> str:
+def _reports(group: str = "", weighted: bool = False) -> str:
     keys = f"{group}, " if group else ""
     by = f"group by {group}" if group else ""
     blocks = []
     for t in range(1, N_STEPS + 1):
         facts = f"select {keys}max(z) as z, max(ess) as ess, bool_or(resampled) as resampled from r{t} {by}"
         means = f"select {keys}avg(x) as estimate from p{t} {by}"
+        if weighted:
+            means = f"select {keys}sum(wq::double * x) / sum(wq::double) as estimate from c{t} {by}"
         join = f"join ({means}) using ({group})" if group else f", ({means})"
         blocks.append(
             f"select {keys}cast({t} as integer) as step, {_r('z', 'z')}, {_r('ess', 'ess')}, resampled,"
@@ -256,4 +278,16 @@ ORACLE: dict[str, str] = {
     "run_filter": _with(_filter_ctes(), f"select id, {_r('x', 'x')} from p{N_STEPS}"),
     "run_filter_grouped": _with(_filter_ctes("user_id"), f"select user_id, id, {_r('x', 'x')} from p{N_STEPS}"),
     "step_report_grouped": _with(_filter_ctes("user_id"), _reports("user_id")),
+    "step_report_weighted": _with(_filter_ctes(), _reports(weighted=True)),
+    "step_report_carried": _with(_filter_ctes(carry=True), _reports(weighted=True)),
+    "step_report_carried_grouped": _with(_filter_ctes("user_id", carry=True), _reports("user_id", weighted=True)),
+    "step_report_offset": _with(_filter_ctes(offset=str(U32), keyed=True), _reports()),
+    "run_filter_resumed": _with(_filter_ctes(), f"select id, {_r('x', 'x')} from p{N_STEPS}"),
+    "step_report_resumed": _with(_filter_ctes(), _reports()),
+    "step_report_resumed_grouped": _with(_filter_ctes("user_id"), _reports("user_id")),
+    "weight_totals": f"""select user_id, {_r('ln(sum(exp(lw)))', 'log_total')},
+        {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')}, count(*) as rows from {LOGS} group by user_id""",
+    "systematic_copies_rounded": f"""with w as (select id, cast(floor(exp(lw - max(lw) over ()) * {2**COARSE}e0
+            + {_bits(4, 'id')} / 4294967296e0) as bigint) as wq from {LOGS})
+        select id, wq, slot_hi - slot_lo as n_copies from ({_copies('w', str(U32))})""",
 }

@@ -7,12 +7,12 @@ engines may differ in the last bit of ``exp`` or in the order of a sum.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmuration.functions import model as models
 from murmuration.functions.noise import Noise
-from murmuration.functions.slots import offset_bits, quantize_offset
 from murmuration.operators import aggregates, joins, resample, scan, sorting, vector, weights
 from murmuration.operators.attach import attach
 from murmuration.plans import stage
@@ -31,6 +31,7 @@ OFFSET = 0.37
 TARGET = 50.0
 SPREAD = 400.0
 LOOP_VARIANCE = 25.0
+COARSE = 12
 
 NOISE = Noise(SEED, "md5")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,11 +144,7 @@ def linear_weight(spark, folder):
 
 
 def quantize_offset_query(spark, folder):
-    summed = scan.prefix_sum(cents(events(spark, folder)), "wq", out="c")
-    summed = joins.join_scalar(summed, F.sum("wq"), "total_w")
-    summed = joins.join_scalar(summed, F.count(F.lit(1)), "n")
-    slot = quantize_offset(F.col("c"), F.col("total_w"), F.col("n"), F.lit(offset_bits(OFFSET)))
-    return summed.select("id", slot.alias("slot"))
+    return resample.cumulative_slots(cents(events(spark, folder)), offset=OFFSET)
 
 
 def node_bucket(spark, folder):
@@ -271,6 +268,12 @@ def log_sum_exp(spark, folder):
     return rounded(weights.log_sum_exp(log_weights(events(spark, folder))), "log_total")
 
 
+def weight_totals(spark, folder):
+    """Total, effective sample size and rows of every user, from one scan."""
+    totals = weights.weight_totals(log_weights(events(spark, folder, "user_id")), group_cols=["user_id"])
+    return rounded(totals, "log_total", "ess")
+
+
 def log_sum_exp_by_group(spark, folder):
     rows = log_weights(events(spark, folder, "user_id"))
     return rounded(weights.log_sum_exp(rows, group_cols=["user_id"]), "log_total")
@@ -385,6 +388,14 @@ def systematic_copies_by_group(spark, folder):
     return copies.select("user_id", "id", "slot_lo", "slot_hi", "n_copies")
 
 
+def systematic_copies_rounded(spark, folder):
+    """Weights of a few bits, rounded by a draw for each row."""
+    weighed = weights.integer_weights(
+        log_weights(events(spark, folder)), "lw", log=True, bits=COARSE, draw=NOISE.uniform(4, "id")
+    )
+    return resample.systematic_copies(weighed.select("id", "wq"), offset=OFFSET).select("id", "wq", "n_copies")
+
+
 def systematic_copies_lineitem(spark, folder):
     """Order keys drawn in proportion to the price of their lines."""
     lines = _table(spark, folder, "lineitem").select(
@@ -434,26 +445,35 @@ def _observations(spark, folder, *groups: str) -> DataFrame:
     return numbered.select(*groups, F.col("step").cast("int").alias("step"), (F.pmod("total", F.lit(2000)) / 100).alias("z"))
 
 
-def _settings() -> FilterSettings:
-    return FilterSettings(models.growth_model(measurement_variance=LOOP_VARIANCE), NOISE)
+def _settings(**more) -> FilterSettings:
+    return FilterSettings(models.growth_model(measurement_variance=LOOP_VARIANCE), NOISE, **more)
 
 
-def _run(spark, folder) -> FilterRun:
+def _run(spark, folder, **more) -> FilterRun:
     return run_filter(
-        events(spark, folder), _observations(spark, folder), _settings(), models.INITIAL_VARIANCE
+        events(spark, folder), _observations(spark, folder), _settings(**more), models.INITIAL_VARIANCE
     )
 
 
-def _run_by_user(spark, folder) -> FilterRun:
+def _run_by_user(spark, folder, **more) -> FilterRun:
     return run_filter_grouped(
         events(spark, folder, "user_id"),
         _observations(spark, folder, "user_id"),
         ["user_id"],
-        _settings(),
+        _settings(**more),
         models.INITIAL_VARIANCE,
     )
 
 
+def _resumed(spark, folder, *groups: str) -> FilterRun:
+    """A run that ends after two steps, and another that goes on from its folder."""
+    start, seen = events(spark, folder, *groups), stage.materialize(_observations(spark, folder, *groups))
+    rest = {"settings": _settings(), "initial_variance": models.INITIAL_VARIANCE, "store": stage.run_folder(spark, "run")}
+    run = partial(run_filter_grouped, group_cols=list(groups)) if groups else run_filter
+    run(start, seen.where("step <= 2"), **rest)
+    return run(start, seen, **rest)
+
+
 def filter_step_query(spark, folder):
     run = filter_step(particles(spark, folder), 1, 12.5, _settings())
     return rounded(run.particles, "x")
@@ -475,6 +495,37 @@ def step_report_grouped(spark, folder):
     return rounded(_run_by_user(spark, folder).report, "z", "ess", "estimate")
 
 
+def step_report_weighted(spark, folder):
+    return rounded(_run(spark, folder, estimate="weighted").report, "z", "ess", "estimate")
+
+
+def step_report_carried(spark, folder):
+    run = _run(spark, folder, estimate="weighted", carry_weights=True)
+    return rounded(run.report, "z", "ess", "estimate")
+
+
+def step_report_carried_grouped(spark, folder):
+    run = _run_by_user(spark, folder, estimate="weighted", carry_weights=True)
+    return rounded(run.report, "z", "ess", "estimate")
+
+
+def step_report_offset(spark, folder):
+    """A given offset for every resampling, and weights rounded by a draw."""
+    return rounded(_run(spark, folder, offset=OFFSET, rounding="keyed").report, "z", "ess", "estimate")
+
+
+def run_filter_resumed(spark, folder):
+    return rounded(_resumed(spark, folder).particles, "x")
+
+
+def step_report_resumed(spark, folder):
+    return rounded(_resumed(spark, folder).report, "z", "ess", "estimate")
+
+
+def step_report_resumed_grouped(spark, folder):
+    return rounded(_resumed(spark, folder, "user_id").report, "z", "ess", "estimate")
+
+
 QUERIES: dict[str, Query] = {
     "scan_keyvalue_text": scan_keyvalue_text,
     "sink_keyvalue_text": sink_keyvalue_text,
@@ -540,4 +591,13 @@ QUERIES: dict[str, Query] = {
     "run_filter": run_filter_query,
     "run_filter_grouped": run_filter_grouped_query,
     "step_report_grouped": step_report_grouped,
+    "step_report_weighted": step_report_weighted,
+    "step_report_carried": step_report_carried,
+    "step_report_carried_grouped": step_report_carried_grouped,
+    "step_report_offset": step_report_offset,
+    "run_filter_resumed": run_filter_resumed,
+    "step_report_resumed": step_report_resumed,
+    "step_report_resumed_grouped": step_report_resumed_grouped,
+    "weight_totals": weight_totals,
+    "systematic_copies_rounded": systematic_copies_rounded,
 }

@@ -31,10 +31,16 @@ def floor_div(value: Column, size: int) -> Column:
     return integer_div(value - F.pmod(value, by), by).cast("bigint")
 
 
-def quantize(relative_weight: Column, bits: int = WEIGHT_BITS) -> Column:
+def quantize(relative_weight: Column, bits: int = WEIGHT_BITS, draw: Column | None = None) -> Column:
     """A weight in [0, 1] (relative to the heaviest) as an integer; a weight
-    that is not a number counts as zero."""
-    scaled = F.floor(relative_weight * F.lit(float(2**bits)) + F.lit(0.5))
+    that is not a number counts as zero.
+
+    To the nearest integer, weights below half of ``2^-bits`` vanish, which robs a
+    very large number of light rows of their share. With a uniform ``draw`` in
+    [0, 1), keyed by the row, every weight keeps its value on average.
+    """
+    up = F.lit(0.5) if draw is None else draw
+    scaled = F.floor(relative_weight * F.lit(float(2**bits)) + up)
     return F.when(relative_weight.isNull() | F.isnan(relative_weight), F.lit(0)).otherwise(scaled).cast("bigint")
 
 

@@ -38,11 +38,16 @@ def merge_by_max(
 
 
 def gather_by_index(
-    df: DataFrame, value_col: str, index: Column, id_col: str = "id", out: str = "gathered"
+    df: DataFrame, value_col: str, index: Column, id_col: str = "id", out: str = "gathered", **limits: int
 ) -> DataFrame:
-    """``out[i] = value[index(i)]``; rows whose index names no row get NULL."""
-    values = df.select(F.col(id_col).alias("_index"), F.col(value_col).alias(out))
-    return df.withColumn("_index", index.cast("bigint")).join(values, "_index", "left").drop("_index")
+    """``out[i] = value[index(i)]``; rows whose index names no row get NULL.
+
+    Any share of the rows may name one index: a vector too long to be broadcast is
+    joined by shuffle but for the indices that many rows name, which are counted
+    first (``attach``, which takes the ``limits``)."""
+    values = df.select(F.col(id_col).cast("bigint").alias("_index"), F.col(value_col).alias(out))
+    rows = df.withColumn("_index", index.cast("bigint"))
+    return attach(rows, values.where(F.col("_index").isNotNull()), ["_index"], "left", **limits).drop("_index")
 
 
 def rotated_index(

@@ -18,11 +18,12 @@ from murmuration.functions.slots import (
     floor_div,
     offset_bits,
     offset_shift,
+    quantize_offset,
     slot_end,
     slot_within,
     wide,
 )
-from murmuration.operators.scan import BUCKET, Cells, cell_sums, join_cells, lay_out, scan
+from murmuration.operators.scan import BUCKET, Cells, cell_sums, join_cells, lay_out, prefix_sum, scan, written_once
 from murmuration.operators.weights import integer_weights
 from murmuration.plans.stage import shuffle_partitions
 
@@ -153,6 +154,19 @@ def _refuse(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has the columns {taken}")
 
 
+def cumulative_slots(
+    df: DataFrame, weight_col: str = "wq", offset: float = 0.0, id_col: str = "id", n: int | None = None
+) -> DataFrame:
+    """(id, slot): the slot in which each row's cumulative weight ends, of ``n``
+    slots, or as many as rows. Rows are written once; their number, total and key
+    range come from that pass."""
+    rows = df.select(id_col, weight_col)
+    rows, layout, width, facts = written_once(rows, id_col, total=F.sum(weight_col), rows=F.count(F.lit(1)))
+    summed = prefix_sum(rows, weight_col, id_col, "_c", layout=layout, width=width)
+    total, size = F.lit(facts["total"]), F.lit(n or facts["rows"])
+    return summed.select(id_col, quantize_offset(F.col("_c"), total, size, _bits(offset)).alias("slot"))
+
+
 def systematic_copies(
     df: DataFrame,
     weight_col: str = "wq",
@@ -162,15 +176,18 @@ def systematic_copies(
     group_cols: Sequence[str] = (),
     layout: str = "auto",
     bits: int = WEIGHT_BITS,
+    draw: Column | None = None,
 ) -> DataFrame:
     """Copies per row: within one of ``n w / sum(w)``, adding up to exactly ``n``.
 
     ``n`` defaults to the number of rows of the table (or group). ``offset`` is
-    a number in [0, 1), or a column of 32-bit integers over the group columns. Floating-point weights are made integers first.
+    a number in [0, 1), or a column of 32-bit integers over the group columns.
+    Floating-point weights are made integers first; ``draw`` is a uniform number
+    for each row that decides whether its weight is rounded up.
     """
     _refuse(df, "total_w", "slot_lo", "slot_hi", "n_copies", "_wq")
     if isinstance(df.schema[weight_col].dataType, (T.DoubleType, T.FloatType)):
-        weighted = integer_weights(df, weight_col, group_cols, out="_wq", bits=bits)
+        weighted = integer_weights(df, weight_col, group_cols, out="_wq", bits=bits, draw=draw)
         cells = lay_out(weighted, [id_col], group_cols, layout)
         return cells.drop_keys(slots_of(cells, "_wq", n, offset, id_col, weight_bits=bits)).drop("_wq")
     cells = lay_out(df, [id_col], group_cols, layout)
@@ -239,7 +256,10 @@ def replicate_by_count(
 ) -> DataFrame:
     """Repeat each row ``count_col`` times; copies get dense new ids in the
     order of (source id, copy number) and keep the source id as ``src``."""
-    cells = lay_out(df, [id_col], group_cols, layout)
+    width_of_cells = None
+    if layout == "auto" and not group_cols and isinstance(df.schema[id_col].dataType, T.IntegralType):
+        df, layout, width_of_cells, _ = written_once(df, id_col)
+    cells = lay_out(df, [id_col], group_cols, layout, width_of_cells)
     summed = cells.drop_keys(scan(cells, [id_col], {"slot_hi": F.col(count_col).cast("bigint")}))
     ranged = summed.withColumn("slot_lo", F.col("slot_hi") - F.col(count_col))
     return replicate_balanced(ranged, id_col, group_cols, width)

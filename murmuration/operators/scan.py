@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from murmuration.functions.slots import floor_div
-from murmuration.plans.stage import materialize, shuffle_partitions
+from murmuration.plans.stage import materialize, materialize_observed, shuffle_partitions
 
 MAX_BUCKETS = 2**20
 MIN_WIDTH = 2**12
@@ -24,6 +24,10 @@ MAX_WIDTH = 2**20
 
 BUCKET = "_bucket"
 
+#: Quantiles of one group at most, and how many are compared with a row at a time.
+MOST_BOUNDS = 2**10
+STRIDE = 2**5
+
 
 def bucket_width(n: int, partitions: int) -> int:
     """Rows per bucket for ``n`` consecutive keys: about eight buckets per
@@ -63,9 +67,14 @@ def lay_out(
     ``range``: any order columns; cells follow sampled quantiles of
     (group, order), so a hot group is split and small groups share a bucket.
     The sample is fixed by materialising the rows.
+    ``sketched``: one order column that has quantiles. Groups are counted; the few
+    that hold more than a task's share are cut at quantiles from a mergeable
+    sketch, and the cell of a row follows from its own key, so the rows need
+    neither be written nor moved for it. Equal keys share a cell.
     ``carried``: the rows already have a bucket column, over intervals of
     ``width`` keys.
-    ``auto``: dense for an ungrouped integer key whose span allows it, else range.
+    ``auto``: dense for an ungrouped integer key whose span allows it, else
+    sketched where the order column allows it, else range.
     """
     if layout == "auto":
         layout, width = _choose(df, order, group_cols, width)
@@ -81,6 +90,9 @@ def lay_out(
         ranged = keyed.repartitionByRange(shuffle_partitions(df), *group_keys, *order)
         rows = materialize(ranged.withColumn(BUCKET, F.spark_partition_id().cast("bigint")))
         added, width = (*stand_ins, BUCKET), None
+    elif layout == "sketched":
+        (key,) = order
+        rows, added, width = _cut_by_sketch(keyed, key, group_keys), (*stand_ins, BUCKET), None
     elif layout == "carried":
         rows, added = keyed, stand_ins
     else:
@@ -89,16 +101,47 @@ def lay_out(
 
 
 def _choose(df, order, group_cols, width):
-    if group_cols or len(order) != 1 or not isinstance(order[0], str):
-        return "range", None
-    if not isinstance(df.schema[order[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    if len(order) != 1 or not isinstance(order[0], str):
         return "range", None
+    kind = df.schema[order[0]].dataType
+    general = "sketched" if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)) else "range"
+    if group_cols or not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return general, None
     low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
     if low is None:
         return "dense", width
     span = high - low + 1
     width = width or bucket_width(span, shuffle_partitions(df))
-    return ("dense", width) if width <= 8 * MAX_WIDTH else ("range", None)
+    return ("dense", width) if width <= 8 * MAX_WIDTH else (general, None)
+
+
+def _cut_by_sketch(rows: DataFrame, key: str, group_keys: Sequence[str]) -> DataFrame:
+    """Rows with their bucket: 0, or in a group of more than a task's share of the
+    rows the number of the group's quantiles below the key."""
+    tasks = shuffle_partitions(rows)
+    share = -(-rows.count() // tasks)
+    sizes = rows.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("_size"))
+    # as many rows as tasks at most
+    heavy = sizes.where(F.col("_size") > share).orderBy(F.desc("_size")).limit(tasks).collect()
+    if not heavy:
+        return rows.withColumn(BUCKET, F.lit(0).cast("bigint"))
+    pieces = min(MOST_BOUNDS, -(-heavy[0]["_size"] // share))
+    at = F.percentile_approx(key, [k / pieces for k in range(1, pieces)], 10 * MOST_BOUNDS).alias("_bounds")
+    spark, kinds = rows.sparkSession, [rows.schema[k] for k in group_keys]
+    own = rows
+    if group_keys:
+        names = spark.createDataFrame([tuple(r[k] for k in group_keys) for r in heavy], T.StructType(kinds))
+        own = rows.join(F.broadcast(names), list(group_keys))
+    found = own.groupBy(*group_keys).agg(at)
+    facts = spark.createDataFrame(found.collect(), found.schema)
+    steps = F.filter("_bounds", lambda _, k: k % F.lit(STRIDE) == F.lit(STRIDE - 1))
+    facts = F.broadcast(facts.withColumn("_steps", steps))
+    cut = rows.join(facts, list(group_keys), "left") if group_keys else rows.crossJoin(facts)
+    value = F.col(key)
+    far = F.size(F.filter("_steps", lambda b: b < value)) * F.lit(STRIDE)
+    near = F.size(F.filter(F.slice("_bounds", far + F.lit(1), F.lit(STRIDE - 1)), lambda b: b < value))
+    place = F.when(F.col("_bounds").isNotNull(), far + near).otherwise(F.lit(0)).cast("bigint")
+    return cut.withColumn(BUCKET, place).drop("_bounds", "_steps")
 
 
 def non_null_keys(
@@ -119,6 +162,11 @@ def non_null_keys(
     return df, tuple(names)
 
 
+def never_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stand-ins that were read from files, which do not say that none is NULL."""
+    return df.withColumns({k: F.coalesce(F.col(k), _filler(df.schema[k].dataType)) for k in keys})
+
+
 def given_groups(group_cols: Sequence[str]) -> list[Column]:
     """The group columns behind stand-ins made with ``always``."""
     return [
@@ -153,6 +201,7 @@ def join_cells(
     totals: Sequence[str],
     derive: Callable[[DataFrame], DataFrame],
     facts: Sequence[str],
+    unique: bool = False,
 ) -> DataFrame:
     """Running sums inside each cell, next to facts about the cell.
 
@@ -161,7 +210,8 @@ def join_cells(
     table of cells, with ``before_{name}`` (the sum over the earlier cells of
     the group), ``group_{name}`` for the totals and the group columns, and adds
     the ``facts`` to be put on the rows; they are worked out once per cell, not
-    per row.
+    per row. With ``unique`` a first order column that repeats is refused, by the
+    window that runs anyway: equal keys are neighbours in one cell.
     """
     names = [c for c in cells.group_cols if c not in cells.keys]
     types = {f.name: f.dataType for f in per_cell.schema}
@@ -174,14 +224,22 @@ def join_cells(
         *[F.sum(k).over(group).alias(f"group_{k}") for k in totals],
     )
     inside = Window.partitionBy(*cells.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cells.rows.withColumns({f"local_{k}": F.sum(v).over(inside) for k, v in running.items()})
+    sums = {f"local_{k}": F.sum(v).over(inside) for k, v in running.items()}
+    if unique:
+        own = F.col(order[0]) if isinstance(order[0], str) else order[0]
+        before = F.lag(own).over(Window.partitionBy(*cells.keys).orderBy(*order))
+        repeated = F.raise_error(F.concat(F.lit("repeated id: "), own.cast("string")))
+        sums = {k: F.when(before == own, repeated.cast("bigint")).otherwise(v) for k, v in sums.items()}
+    local = cells.rows.withColumns(sums)
     return local.join(derive(cell_table).select(*cells.keys, *facts), list(cells.keys))
 
 
-def scan(cells: Cells, order: Sequence[str | Column], running: Mapping[str, Column]) -> DataFrame:
+def scan(
+    cells: Cells, order: Sequence[str | Column], running: Mapping[str, Column], unique: bool = False
+) -> DataFrame:
     """Add inclusive running sums; the cell keys stay on the result."""
     before = [f"before_{k}" for k in running]
-    joined = join_cells(cells, order, running, cell_sums(cells, running), [], lambda table: table, before)
+    joined = join_cells(cells, order, running, cell_sums(cells, running), [], lambda table: table, before, unique)
     return joined.select(
         *cells.rows.columns, *[(F.col(f"local_{k}") + F.col(f"before_{k}")).alias(k) for k in running]
     )
@@ -262,7 +320,19 @@ def row_positions(
     group_cols: Sequence[str] = (),
     layout: str = "range",
     width: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """1-based position of each row in ``order``, dense within a group."""
+    """1-based position of each row in ``order``, dense within a group. With
+    ``unique``, rows that share the first order column fail the job."""
     cells = lay_out(df, order, group_cols, layout, width)
-    return cells.drop_keys(scan(cells, order, {out: F.lit(1).cast("bigint")}))
+    return cells.drop_keys(scan(cells, order, {out: F.lit(1).cast("bigint")}, unique))
+
+
+def written_once(df: DataFrame, id_col: str, **facts: Column) -> tuple[DataFrame, str, int | None, dict]:
+    """Rows written once, with the layout of their cells by an integer id and other
+    aggregates, all from the pass that writes: an input that is costly, or read by
+    several branches of a plan, is evaluated a single time."""
+    rows, found = materialize_observed(df, _low=F.min(id_col), _high=F.max(id_col), **facts)
+    low, high = found.pop("_low"), found.pop("_high")
+    width = bucket_width(high - low + 1, shuffle_partitions(df)) if low is not None else MIN_WIDTH
+    return (rows, "dense", width, found) if width <= 8 * MAX_WIDTH else (rows, "sketched", None, found)

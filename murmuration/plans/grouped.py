@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from murmuration.functions.slots import effective_size, quantize
+from murmuration.functions.slots import effective_size, wide
 from murmuration.operators.attach import attach, match_keys
 from murmuration.operators.resample import replicate_balanced, slots_of, weight_sums
-from murmuration.operators.scan import BUCKET, bucket_width, given_groups, lay_out, non_null_keys, row_positions
-from murmuration.plans.filter import OFFSET_KEY, FilterRun, FilterSettings, bucket_of, log_weight
+from murmuration.operators.scan import BUCKET, bucket_width, given_groups, lay_out, never_null, non_null_keys, row_positions
+from murmuration.plans.filter import FilterRun, FilterSettings, bucket_of, log_weight
 from murmuration.plans.stage import keep, materialize, materialize_partitioned, run_folder, shuffle_partitions
+from murmuration.plans.store import RunStore, digest_of, rows_digest
+
+
+#: Observations of one step to a file, about.
+OBSERVED_ROWS = 50_000
 
 
 def run_filter_grouped(
@@ -25,15 +30,20 @@ def run_filter_grouped(
     group_cols: Sequence[str],
     settings: FilterSettings | None = None,
     initial_variance: float | None = None,
+    store: str | None = None,
 ) -> FilterRun:
     """``particles`` is (groups, id, x), ``observations`` (groups, step, z).
 
-    Ids are replaced by their rank within the group. A group without an
-    observation at some step moves on unweighted. The report has one row per
-    group and step.
+    Ids are replaced by their rank within the group, and must not repeat there.
+    A group without an observation at some step moves on unweighted. The report
+    has one row per group and step. ``store`` as for ``run_filter``.
     """
     settings = settings or FilterSettings()
-    noise = settings.noise
+    noise, spark, kept = settings.noise, particles.sparkSession, None
+    if store is not None:
+        own = rows_digest(particles, [*group_cols, "id", "x"])
+        asked = digest_of(settings=settings.spelled(), prior=initial_variance, particles=own, groups=list(group_cols))
+        kept = RunStore(spark, store, asked)
     # Inside the loop a group is a pair of columns that are never NULL, so that
     # the partitioning left by one step serves the joins of the next. Noise is
     # keyed by the groups as given.
@@ -41,33 +51,34 @@ def run_filter_grouped(
     observations, _ = non_null_keys(observations, group_cols, always=True)
     groups, given = list(stand_ins), given_groups(group_cols)
 
-    # by step, so that a step reads its own observations only
+    # by step, so that a step reads its own observations only, and dealt by group
+    # within it, so that a step of many groups is read by many tasks
     folder = run_folder(particles.sparkSession, "observations")
-    _one_per_step(observations, groups).withColumn("_step", F.col("step")).repartition("_step").write.partitionBy(
-        "_step"
-    ).parquet(folder)
+    each = materialize(_one_per_step(observations, groups))
+    most = each.groupBy("step").count().agg(F.max("count")).first()[0] or 0
+    parts = min(shuffle_partitions(particles), -(-most // OBSERVED_ROWS) or 1)
+    dealt = each.withColumns({"_step": F.col("step"), "_part": F.pmod(F.xxhash64(*groups), F.lit(parts))})
+    tasks = max(parts, shuffle_partitions(particles))
+    dealt.repartition(tasks, "_step", "_part").drop("_part").write.partitionBy("_step").parquet(folder)
     observed = particles.sparkSession.read.parquet(folder)
-    per_step = materialize(observed.groupBy("step").count().orderBy("step"))
+    flags = [F.col(c).isNull() for c in (*groups, "z")]
+    marks = F.sum(wide(F.xxhash64(*flags, *groups, "z"))).cast("string")
+    per_step = materialize(observed.groupBy("step").agg(F.count(F.lit(1)), marks).orderBy("step"))
     if per_step.isEmpty():
         raise ValueError("there are no observations")
 
-    states = particles.select(*groups, "id", F.col("x").cast("double").alias("x"))
-    ranked = row_positions(states, ["id"], "_rank", groups)
-    pop = ranked.select(*groups, F.col("_rank").alias("id"), "x")
-    sizes = pop.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    n_groups, n = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not n_groups:
-        raise ValueError("the population is empty")
-    if initial_variance is not None:
-        spread = F.sqrt(F.lit(float(initial_variance)))
-        pop = pop.withColumn("x", F.col("x") + spread * noise.gaussian(0, *given, "id"))
-    width = bucket_width(n, shuffle_partitions(particles))
+    if kept and kept.last:
+        width, n_groups = kept.last["width"], kept.last["groups"]
+        pop = never_null(kept.population(), groups)
+    else:
+        pop, width, n_groups = _start(particles, groups, given, settings, initial_variance)
     pop = pop.withColumn(BUCKET, bucket_of("id", width))
-    if settings.carry_weights:
-        pop = pop.withColumn("lw", F.lit(0.0))
 
-    reports = run_folder(particles.sparkSession, "reports")
-    for step, n_observed in per_step.toLocalIterator():
+    reports = run_folder(spark, "reports") if kept is None else f"{kept.folder}/reports"
+    written = [m["report"] for m in kept.done] if kept else []
+    for step, n_observed, mark in per_step.toLocalIterator():
+        if kept and kept.was_done(step, mark):
+            continue
         now = observed.where(F.col("_step") == F.lit(step)).select(*groups, "z")
         state = settings.model.transition(F.col("x"), F.lit(step), noise.gaussian(step, *given, "id"))
         moved = attach(pop.withColumn("x", state), now, groups, "left", n_facts=n_observed)
@@ -78,9 +89,10 @@ def run_filter_grouped(
         # each cell, and the slots. Peaks and sums are kept for later uses.
         peaks = materialize(moved.groupBy(*groups).agg(F.max("lw").alias("_peak"), F.max("z").alias("z")))
         weighted = attach(moved.drop("z"), peaks.drop("z"), groups, n_facts=n_groups)
-        weighted = weighted.withColumn("wq", quantize(F.exp(F.col("lw") - F.col("_peak")), settings.bits))
+        relative = F.exp(F.col("lw") - F.col("_peak"))
+        weighted = weighted.withColumn("wq", settings.integer_weight(relative, step, *given, "id"))
 
-        offset = noise.bits32(step, F.lit(OFFSET_KEY), *given)
+        offset = settings.offset_at(step, *given)
         cells = lay_out(weighted, ["id"], groups, layout="carried", width=width)
         moment = {"wx": F.col("wq").cast("double") * F.col("x")}
         sums = materialize(weight_sums(cells, "wq", settings.bits, moment))
@@ -98,14 +110,41 @@ def run_filter_grouped(
             slots.select(*columns, "slot_lo", "slot_hi"), group_cols=groups, width=width, bucket=BUCKET
         )
         pop, _ = materialize_partitioned(grown.select(*columns, BUCKET))
-        _report(peaks, sums, pop, groups, step, settings).write.mode("append").parquet(reports)
+        path = f"{reports}/{step:010d}"
+        _report(peaks, sums, pop, groups, step, settings).write.mode("overwrite").parquet(path)
+        written.append(path)
+        if kept:
+            kept.save(step, mark, pop.drop(BUCKET), width=width, groups=n_groups, report=path)
         moved.unpersist()
 
-    report = particles.sparkSession.read.parquet(reports)
+    report = spark.read.parquet(*written)
     measured = [c for c in report.columns if c not in groups]
     return FilterRun(pop.select(*given, "id", "x"), report.select(*given, *measured))
 
 
+def _start(
+    particles: DataFrame,
+    groups: Sequence[str],
+    given: Sequence[Column],
+    settings: FilterSettings,
+    initial_variance: float | None,
+) -> tuple[DataFrame, int, int]:
+    """The population before the first step, rows per bucket, number of groups."""
+    states = particles.select(*groups, "id", F.col("x").cast("double").alias("x"))
+    ranked = row_positions(states, ["id"], "_rank", groups, layout="auto", unique=True)
+    pop = ranked.select(*groups, F.col("_rank").alias("id"), "x")
+    sizes = pop.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    n_groups, n = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not n_groups:
+        raise ValueError("the population is empty")
+    if initial_variance is not None:
+        spread = F.sqrt(F.lit(float(initial_variance)))
+        pop = pop.withColumn("x", F.col("x") + spread * settings.noise.gaussian(0, *given, "id"))
+    if settings.carry_weights:
+        pop = pop.withColumn("lw", F.lit(0.0))
+    return pop, bucket_width(n, shuffle_partitions(particles)), n_groups
+
+
 def _one_per_step(observations: DataFrame, groups: Sequence[str]) -> DataFrame:
     twice = F.raise_error(F.lit("more than one observation for a group and step")).cast("double")
     value = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max("z"))

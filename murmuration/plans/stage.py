@@ -7,7 +7,7 @@ import threading
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 
 _PLANNING = threading.Lock()
@@ -40,6 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_observed(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """Materialize rows and get aggregates of them from the pass that writes."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[value.alias(name) for name, value in facts.items()]))
+    return written, seen.get
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist for reuse; lost blocks are recomputed from the lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

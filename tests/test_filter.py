@@ -214,3 +214,31 @@ def test_concurrent_runs_leave_the_session_alone(spark):
         )
     assert all(r == want for r in runs)
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 3], [5, 5, 6], [2, 4, 4, 90], [1, 2, 2, 4], [3, 3]])
+def test_repeated_ids_are_refused(spark, ids):
+    rows = spark.createDataFrame([(i, 1.0) for i in ids], "id bigint, x double")
+    with pytest.raises(Exception, match="repeated"):
+        filter_step(rows, 1, 0.0, FilterSettings(noise=NOISE)).particles.collect()
+    grouped = rows.withColumn("g", F.lit("a"))
+    seen = spark.createDataFrame([("a", 1, 0.0)], "g string, step int, z double")
+    with pytest.raises(Exception, match="repeated"):
+        run_filter_grouped(grouped, seen, ["g"], FilterSettings(noise=NOISE)).particles.collect()
+
+
+def test_the_same_id_in_two_groups_is_not_a_repeat(spark):
+    rows = spark.createDataFrame([(g, i, 1.0) for g in "ab" for i in (1, 5, 9)], "g string, id bigint, x double")
+    seen = spark.createDataFrame([(g, 1, 0.0) for g in "ab"], "g string, step int, z double")
+    assert run_filter_grouped(rows, seen, ["g"], FilterSettings(noise=NOISE)).particles.count() == 6
+
+
+def test_a_given_offset_decides_every_resampling(spark):
+    settings = [FilterSettings(noise=NOISE, fraction=1.0, offset=u) for u in (0.0, 0.0, 0.9)]
+    first, again, other = (
+        sorted(filter_step(population(spark, 200), 1, 3.0, s).particles.collect()) for s in settings
+    )
+    assert first == again and first != other
+    for wrong in ({"offset": 1.0}, {"rounding": "up"}):
+        with pytest.raises(ValueError):
+            FilterSettings(**wrong)

@@ -5,15 +5,15 @@ import re
 import pytest
 from pyspark.sql import Window, functions as F
 
-from __spark_entry__ import queries
 from murmuration import Noise
-from murmuration.operators import resample as rs
+from murmuration.catalog.queries import QUERIES
+from murmuration.operators import joins, resample as rs
 from murmuration.operators.scan import BUCKET, lay_out
 from murmuration.plans.filter import bucket_of
 from murmuration.plans.stage import materialize_partitioned
 from murmuration.sources.generate import id_range
 
-LOOPS = {"run_filter", "run_filter_grouped", "step_report", "step_report_grouped", "filter_step"}
+LOOPS = {name for name in QUERIES if name.startswith(("run_filter", "step_report", "filter_step"))}
 
 
 def plan(df):
@@ -24,9 +24,9 @@ def exchanges(text):
     return len(re.findall(r"\bExchange (hash|range|round|Single)", text))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - LOOPS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LOOPS))
 def test_no_cross_join_no_python_no_single_task_window(spark, folder, name):
-    text = plan(queries()[name](spark, folder))
+    text = plan(QUERIES[name](spark, folder))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Arrow"):
         assert word not in text
     lines = text.splitlines()
@@ -38,7 +38,7 @@ def test_no_cross_join_no_python_no_single_task_window(spark, folder, name):
 
 @pytest.mark.parametrize("name", ["prefix_sum", "systematic_copies", "resample"])
 def test_scans_read_two_columns(spark, folder, name):
-    schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan(queries()[name](spark, folder)))
+    schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan(QUERIES[name](spark, folder)))
     assert schemas and set(schemas) <= {"event_id:bigint,value:double"}
 
 
@@ -95,3 +95,13 @@ def test_grouped_step_starts_from_the_partitioning_of_the_last(spark):
 def test_noise_stays_in_codegen(spark):
     text = spark.range(10).select(Noise(1).gaussian(1, "id"))._jdf.queryExecution().executedPlan().toString()
     assert "*(1) Project" in text
+
+
+def test_a_gathered_index_that_all_rows_name_is_spread(spark, partitions):
+    """Beyond a broadcast, the named value is joined to the rows where they are."""
+    partitions(8)
+    rows = id_range(spark, 40_000).withColumn("x", F.col("id").cast("double")).repartition(8)
+    out = joins.gather_by_index(rows, "x", F.lit(7), broadcast_rows=100)
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 6_000
+    assert {r.gathered for r in out.select("gathered").distinct().collect()} == {7.0}

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.functions.slots import ONE_32, offset_bits
+from murmuration.functions.noise import Noise
 from murmuration.operators import resample as rs
 from murmuration.operators.vector import range_expand
 from murmuration.operators.weights import integer_weights
+from murmuration.sources.generate import id_range
 
 
 def table(spark, weights, first=1, parts=3):
@@ -189,3 +191,33 @@ def test_clashing_columns_are_refused(spark, name):
         rs.systematic_copies(df.withColumn(name, F.lit(1)))
     with pytest.raises(ValueError, match="src"):
         rs.resample(df.withColumn("src", F.lit(1)))
+
+
+def test_keyed_rounding_gives_light_weights_their_share(spark):
+    """One heavy row and 99,999 light ones, at 12 bits: each light weight is a tenth
+    of the unit, so to the nearest all vanish."""
+    n, heavy = 100_000, 1.0
+    light = 0.1 / 2**12
+    rows = id_range(spark, n).withColumn("w", F.when(F.col("id") == 1, F.lit(heavy)).otherwise(F.lit(light)))
+    due = n * heavy / (heavy + (n - 1) * light)
+    copies = {}
+    for name, draw in (("nearest", None), ("keyed", Noise(3).uniform(0, "id"))):
+        out = rs.systematic_copies(rows, "w", bits=12, draw=draw)
+        copies[name] = out.where("id = 1").first().n_copies
+        assert out.agg(F.sum("n_copies")).first()[0] == n
+    assert copies["nearest"] == n
+    assert copies["keyed"] == pytest.approx(due, rel=0.01)
+
+
+def test_replicating_reads_its_table_once(spark, folder):
+    """Cells, sums and copies come from rows that were written once."""
+    rows = spark.read.parquet(f"{folder}/orders.parquet").selectExpr("o_orderkey as id", "o_orderkey % 3 as n_copies")
+    for made in (rs.replicate_by_count(rows), rs.cumulative_slots(rows, "n_copies")):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" not in text.lower()
+
+
+def test_cumulative_slots_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "id bigint, wq bigint")
+    assert rs.cumulative_slots(rows).collect() == []
+    assert rs.replicate_by_count(rows.withColumnRenamed("wq", "n_copies")).collect() == []

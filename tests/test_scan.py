@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.operators import scan, sorting
-from murmuration.operators.scan import MAX_BUCKETS, MAX_WIDTH, bucket_width
+from murmuration.operators.scan import MAX_BUCKETS, MAX_WIDTH, bucket_width, lay_out, prefix_sum
 
 
 def vector(spark, rows, parts=3):
@@ -121,3 +121,43 @@ def test_long_sums_fail_rather_than_wrap(spark):
         scan.prefix_sum(vector(spark, rows), "v").collect()
     wide = vector(spark, rows).withColumn("v", F.col("v").cast("decimal(38,0)"))
     assert scan.prefix_sum(wide, "v").agg(F.max("prefix")).first()[0] == 3 * 2**62
+
+
+def test_by_group_the_rows_are_shuffled_once_and_not_written(spark, partitions):
+    partitions(16)
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 5000)).alias("g"),
+        (F.col("id") * F.col("id") % 1_000_003).cast("double").alias("k"),
+        F.col("id").alias("v"),
+    )
+    cells = lay_out(rows, ["k"], ["g"])
+    assert "ckpt" not in str(cells.rows.inputFiles())
+    counts = cells.rows.groupBy(*cells.keys).count().where("count > 15000").collect()
+    assert counts == []  # the hot group of 66,667 rows is cut
+    text = prefix_sum(rows, "v", "k", group_cols=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in text.splitlines() if "Scan ExistingRDD" in line and "v#" in line]
+    by_row = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "v#" in line]
+    got = prefix_sum(rows, "v", "k", "s", ["g"]).where("g = 'hot'").orderBy("k", "v").toPandas()
+    total = got.groupby("k")["v"].sum().cumsum()
+    assert got.groupby("k")["s"].max().to_numpy().tolist() == total.to_numpy().tolist()
+    assert len(by_row) <= 1
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "decimal(12,2)", "timestamp", "int"])
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_quantiles_of_any_ordered_type(spark, partitions, kind, tasks):
+    partitions(tasks)
+    base = F.col("id") * 7 % 20_011
+    key = F.date_add(F.lit("2000-01-01"), base.cast("int")) if kind in ("date", "timestamp") else base
+    rows = spark.range(20_011).select(F.lit("a").alias("g"), key.cast(kind).alias("k"), F.lit(1).cast("bigint").alias("one"))
+    got = prefix_sum(rows, "one", "k", "place", ["g"], layout="sketched").orderBy("k").toPandas()
+    assert got["place"].tolist() == list(range(1, 20_012))
+
+
+def test_sketched_without_groups_and_null_keys(spark, partitions):
+    partitions(8)
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") > 0, F.col("id") * 10**12).alias("k"), F.lit(2).cast("bigint").alias("v")
+    )
+    got = prefix_sum(rows, "v", "k", "s").orderBy("k").toPandas()
+    assert got["s"].tolist() == list(range(2, 60_001, 2))

@@ -106,3 +106,31 @@ def test_without_any_weight_all_are_equal(spark):
     df = spark.createDataFrame([(1, nothing), (2, float("nan")), (3, None), (4, nothing)], "id bigint, lw double")
     assert weights.log_sum_exp(df).first()[0] == nothing
     assert [r.lw for r in weights.normalize_weights(df).collect()] == pytest.approx([-math.log(4)] * 4)
+
+
+def test_totals_of_weights_far_apart(spark):
+    values = [-1e5, -1e5 + 1.5, -300.0, 700.0, 700.5, 690.0, float("-inf"), float("nan"), None, -1e300, 0.0]
+    rows = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "g int, lw double")
+    for spread in (rows.coalesce(1), rows.repartition(7)):
+        for row in weights.weight_totals(spread, group_cols=["g"]).collect():
+            own = [v for i, v in enumerate(values) if i % 2 == row.g and v is not None and v == v and v > float("-inf")]
+            peak = max(own)
+            parts = [math.exp(v - peak) for v in own]
+            assert row.log_total == pytest.approx(peak + math.log(sum(parts)), rel=1e-14)
+            assert row.ess == pytest.approx(sum(parts) ** 2 / sum(p * p for p in parts), rel=1e-12)
+            assert row.rows == sum(i % 2 == row.g for i in range(len(values)))
+
+
+def test_totals_where_no_row_has_weight(spark):
+    nothing = float("-inf")
+    rows = spark.createDataFrame([("a", nothing), ("a", None), (None, 1.0)], "g string, lw double")
+    got = {r.g: (r.log_total, round(r.ess, 9), r.rows) for r in weights.weight_totals(rows, group_cols=["g"]).collect()}
+    assert got == {"a": (nothing, 2.0, 2), None: (1.0, 1.0, 1)}
+    empty = weights.weight_totals(rows.where("g = 'x'")).first()
+    assert (empty.log_total, empty.rows) == (None, None)
+
+
+def test_normalizing_scans_twice(spark, folder):
+    rows = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id as id", "value as lw", "user_id")
+    text = weights.normalize_weights(rows)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 2
