@@ -10,7 +10,8 @@ Words: letters A-Z count as a-z; words are runs of digits, such letters and all
 characters beyond ASCII. A window is ``window`` consecutive words of an item, or
 a whole shorter item. Items without words have none. A null text has no words.
 Rows that repeat an id, and rows without, are documents of their own. Other
-columns are ignored.
+columns are ignored. Empty tables have empty results, or no hits; very long texts
+are matched whole.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmuration.llm.automaton import SuffixAutomaton
 from murmuration.llm.common import Batches, pieces, spread, stored, text_of
 
 WINDOW = 10
+#: Share of a document's words beyond which it goes as a whole.
+MAX_COVERAGE = 0.5
 BLOCK_WORDS = 200_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO_SPACE = bytes(
@@ -192,7 +195,7 @@ def without_spans(text: str, starts: list[int], ends: list[int], min_words: int)
     return "".join([*out, text[at:]])
 
 
-def clean_texts(found: DataFrame, min_words: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def clean_texts(found: DataFrame, min_words: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """(doc_id, text): texts without the passages of at least ``min_words`` words.
     A document of which more than ``max_coverage`` is hit goes as a whole."""
 
@@ -210,6 +213,60 @@ def clean_texts(found: DataFrame, min_words: int = WINDOW, max_coverage: float =
 
 
 
+def cut_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    min_words: int = 1,
+    max_coverage: float = MAX_COVERAGE,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, their texts without the runs of hit words
+    (of ``window`` words at least, or a whole shorter item) that reach ``min_words``;
+    a row of whose words more than ``max_coverage`` are hit goes. Texts without a hit stay as they
+    are, null ones too; ``n_chars``, where it is a column, follows a text that was
+    cut. What several blocks of items find is written in between, so that no task
+    holds more than one block. The name _hits is reserved."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    if "_hits" in docs.columns:
+        raise ValueError("the input already has the column _hits")
+    flat = pa.list_(pa.int64())
+    with_hits = T.StructType([*docs.schema.fields, T.StructField("_hits", T.ArrayType(T.LongType()))])
+    rows = docs.withColumn("_hits", F.array().cast("array<long>"))
+    for number, block in enumerate(item_blocks(benchmark, window, block_words)):
+        rows = stored(rows, "hits") if number else rows
+        shared = spark.sparkContext.broadcast(block)  # of bounded size
+
+        def find(batches: Batches, shared=shared) -> Batches:
+            items = pickle.loads(shared.value)
+            for batch in pieces(batches):
+                texts, before = batch.column(at).to_pylist(), batch.column("_hits").to_pylist()
+                hits = [old + [x for run in items.find(words_of(t))[0] for x in run] for t, old in zip(texts, before, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, flat)], batch.schema.names)
+
+        rows = rows.mapInArrow(find, with_hits)
+
+    def cut(batches: Batches) -> Batches:
+        for batch in batches:
+            texts, stay = batch.column(at).to_pylist(), []
+            sizes = batch.column("n_chars").to_pylist() if "n_chars" in docs.columns else [None] * len(texts)
+            for k, hits in enumerate(batch.column("_hits").to_pylist()):
+                runs = merged(list(zip(hits[::2], hits[1::2], strict=True)))
+                n = sum(b - a for a, b in runs)
+                stay.append(n == 0 or n <= max_coverage * len(words_of(texts[k])))
+                if n and stay[-1]:
+                    texts[k] = without_spans(texts[k], *zip(*runs, strict=True), min_words)
+                    sizes[k] = len(texts[k])
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in docs.columns:
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            out = pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield out.filter(pa.array(stay))
+
+    return rows.mapInArrow(cut, docs.schema)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no window of an item occurs.
 

@@ -11,8 +11,10 @@ two card numbers in a row, or a phone before an address, are lost to them. What
 it adds does not overlap base spans and passes the check of its kind.
 
 At most ``MAX_DOCS`` documents (those with the smallest hash of their text) are
-learnt from. Null and empty texts have no spans. Rows that repeat an id, or have
-none, are documents of their own; other columns are ignored.
+learnt from. Null and empty texts have no spans. Texts of any length, and runs of
+any length in them, are read whole, in time in proportion to their length. Rows
+that repeat an id, or have none, are documents of their own; other columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +39,8 @@ CACHED_LATTICES = 20_000
 Span = tuple[int, int, str]
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # a match never starts inside a run of digits, so none is tried there
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -67,12 +72,27 @@ MOST_DIGITS = {"card": 19, "phone": 15}
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of ``EMAIL``, in time linear in the text: each has one "@", so
+    they are found from there, the part before it as far back as it goes."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        first = at
+        while first > end and text[first - 1] in LOCAL:
+            first -= 1
+        if first < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield first, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Spans of the patterns by start and kind, and the matches that were given
     up for having too many digits: they may hold several spans."""
     good, failed = [], []
+    good += [(a, b, "email") for a, b in emails(text)]
     for kind, pattern in PATTERNS.items():
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
+        if kind == "email" or (kind == "phone" and "+" not in text):
             continue
         for m in pattern.finditer(text):
             if passes(kind, m.group()):

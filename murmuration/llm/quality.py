@@ -123,9 +123,11 @@ def training_ids(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> boosting.Trees:
     chosen = F.broadcast(training_ids(labels, "quality", max_rows))  # max_rows rows at most
-    rows = features(docs.join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id").collect()
-    # sorted, and an id once, so that the trees do not depend on partitioning
-    rows = sorted({(r.doc_id, tuple(r.x), r.y) for r in rows})[: 2 * max_rows]
+    found = features(docs.join(chosen, "doc_id", "left_semi"))
+    # of documents that repeat an id the one with the least statistics: a row per id
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id").collect()
+    # sorted, so that the trees do not depend on partitioning
+    rows = sorted((r.doc_id, tuple(r.x), r.y) for r in rows)
     x = np.array([r[1] for r in rows], float).reshape(len(rows), len(statistics(None)))
     return boosting.fit(x, np.array([r[2] for r in rows], float), **settings)
 

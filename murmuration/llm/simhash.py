@@ -4,15 +4,19 @@ Fingerprints are made where the documents are read; only distinct fingerprints
 go on, so exact copies weigh nothing. To find all pairs within ``radius`` bits,
 the 64 bits are cut into parts: as few parts differ as bits do, so near
 fingerprints agree in at least ``parts - radius`` parts, and meet under the key
-of those. A key with many fingerprints is cut again by its remaining bits, which
-bounds what one key can hold (2^16 fingerprints for the usual radius of 2).
-Under a key the pairs are found by a Gray-order index; what leaves it is fewer
-links per fingerprint than a leaf of the index holds, never all pairs of a large
-group, and components join the links.
+of those. Keys are dealt into buckets of some ten thousand fingerprints; a key
+with many is cut again by its remaining bits, which bounds what one key can hold
+(2^16 fingerprints for the usual radius of 2). All fingerprints of a bucket are
+one Gray-order index, in which each of them is looked up: every link comes from
+there. What leaves it is fewer links than fingerprints, never all pairs of a
+large group, and components join the links.
+
+Very long texts are fingerprinted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmuration.llm.common import Batches, map_rows, pieces, spread, stored, text_of
 from murmuration.llm.components import components
-from murmuration.llm.gray_index import FAN, linked
+from murmuration.llm.gray_index import linked
 from murmuration.llm.jaccard import FIRST, bands, groups_of, near_components
 
 SEED = 42
@@ -32,6 +36,8 @@ RADIUS = 2
 SIMILARITY = 0.8
 #: More fingerprints than this under one key are dealt again by more bits.
 HOT = 1 << 15
+#: Fingerprints of a bucket, about.
+BUCKET = 1 << 14
 #: Keys broadcast at most, of 16 bytes each.
 BROADCAST_KEYS = 100_000
 
@@ -93,77 +99,81 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(rows: DataFrame, masks: list[tuple[str, int]]) -> DataFrame:
+def _keyed(rows: DataFrame, masks: dict[str, int]) -> DataFrame:
+    """(route, key, code): the masked bits of each code for every mask."""
     keys = [
         F.struct(F.lit(name).alias("route"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for name, m in masks
+        for name, m in masks.items()
     ]
     return rows.select("code", F.explode(F.array(*keys)).alias("k")).select("k.*", "code")
 
 
 def _links(radius: int):
-    def run(batches: Batches) -> Batches:
-        left = None
-
-        def joined(route, key, code):
-            """Links inside complete groups of equal (route, key), which are sorted."""
-            first = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (key[1:] != key[:-1]))))
-            sizes = np.diff(np.append(first, len(key)))
-            out = []
-            for n in range(2, FAN + 1):  # as few as one leaf holds: all groups of a size together
-                at = first[sizes == n][:, None] + np.arange(n)
-                own = code[at].view(np.uint64)
-                i, j = np.triu_indices(n, 1)
-                near = np.bitwise_count(own[:, i] ^ own[:, j]) <= radius
-                out.append((code[at[:, j][near]], code[at[:, i][near]]))
-            for at, n in zip(first[sizes > FAN], sizes[sizes > FAN], strict=True):
-                label = linked(code[at : at + n].view(np.uint64), radius)
-                other = np.flatnonzero(label != np.arange(n))
-                out.append((code[at + other], code[at + label[other]]))
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    """Links inside complete groups of equal ``bucket``, which are sorted: the codes
+    of a group become one Gray-order index, and each of them asks it."""
+
+    def joined(codes: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.unique(np.concatenate(codes))
+        label = linked(own.view(np.uint64), radius)
+        other = np.flatnonzero(label != np.arange(len(own)))
+        return pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(own[label[other]])], ["a", "b"])
 
+    def run(batches: Batches) -> Batches:
+        now, held = None, []
         for batch in batches:
-            rows = [
-                np.array(batch.column("route").to_pylist(), object),
-                *(batch.column(c).to_numpy() for c in ("key", "code")),
-            ]
-            if left is not None:
-                rows = [np.concatenate(x) for x in zip(left, rows, strict=True)]
-            # the last group may go on in the next batch
-            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-            whole = len(same) - int(same.sum())
-            left = [x[whole:] for x in rows]
-            if whole:
-                yield from joined(*(x[:whole] for x in rows))
-        if left is not None:
-            yield from joined(*left)
+            buckets, codes = batch.column("bucket").to_numpy(), batch.column("code").to_numpy()
+            edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b:
+                    if buckets[a] != now:
+                        if held:
+                            yield joined(held)
+                        now, held = buckets[a], []
+                    held.append(codes[a:b])
+        if held:
+            yield joined(held)
 
     return run
 
 
-def links(codes: DataFrame, radius: int = RADIUS, parts: int | None = None, hot: int = HOT) -> DataFrame:
-    """(a, b): links between codes that join, within each key, whatever chains of
-    pairs within the radius join. ``codes`` are distinct."""
+def links(codes: DataFrame, radius: int = RADIUS, parts: int | None = None, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between codes that join whatever chains of pairs within the
+    radius join. ``codes`` are distinct.
+
+    Keys only say where codes meet: those under one key lie in one bucket, which
+    holds the codes of many keys, and its index finds all pairs among them. Keys of
+    more than ``hot`` codes are dealt by more bits, again and again while there are
+    bits to choose from."""
     parts = parts or radius + 2
-    every = list(range(64))
-    masks = [(str(k), m) for k, m in enumerate(cut(every, radius, parts))]
-    keyed = _keyed(codes, masks)
-    heavy = stored(keyed.groupBy("route", "key").count().filter(F.col("count") > hot).select("route", "key"), "heavy")
-    found = heavy.count()
-    if found:
-        few = F.broadcast(heavy) if found <= BROADCAST_KEYS else heavy
-        again = []
-        for name, m in masks:
-            finer = cut([b for b in every if not m >> b & 1], radius, parts)
-            own = keyed.filter(F.col("route") == name).join(few, ["route", "key"], "left_semi")
-            again.append(_keyed(own, [(f"{name}.{k}", m | x) for k, x in enumerate(finer)]))
-        keyed = keyed.join(few, ["route", "key"], "left_anti")
-        for rows in again:
-            keyed = keyed.unionByName(rows)
-    dealt = spread(keyed, "route", "key").sortWithinPartitions("route", "key")
-    return dealt.mapInArrow(_links(radius), "a bigint, b bigint")
+    masks = {str(k): m for k, m in enumerate(cut(list(range(64)), radius, parts))}
+    light, rows = [], codes
+    while True:
+        keyed = _keyed(rows, masks) if not light else heavy_rows
+        sizes = keyed.groupBy("route", "key").agg(F.count(F.lit(1)).alias("n"))
+        heavy = stored(sizes.filter(F.col("n") > hot).select("route", "key"), "heavy")
+        found = heavy.count()
+        routes = sorted(r.route for r in heavy.select("route").distinct().collect())  # as many as masks at most
+        open_bits = {r: [b for b in range(64) if not masks[r] >> b & 1] for r in routes}
+        routes = [r for r in routes if len(open_bits[r]) >= 2 * parts]
+        if not routes:
+            light.append(keyed)
+            break
+        few = heavy.filter(F.col("route").isin(routes))
+        few = F.broadcast(few) if found <= BROADCAST_KEYS else few
+        light.append(keyed.join(few, ["route", "key"], "left_anti"))
+        finer = {f"{r}.{k}": masks[r] | x for r in routes for k, x in enumerate(cut(open_bits[r], radius, parts))}
+        again = [
+            _keyed(keyed.filter(F.col("route") == r).join(few, ["route", "key"], "left_semi"), {
+                name: m for name, m in finer.items() if name.rpartition(".")[0] == r
+            })
+            for r in routes
+        ]
+        heavy_rows = stored(reduce(DataFrame.unionByName, again), "dealt-again")
+        masks = finer
+    met = reduce(DataFrame.unionByName, light)
+    n = max(1, -(-met.count() // bucket))
+    dealt = met.select(F.pmod(F.xxhash64("route", "key"), F.lit(n)).alias("bucket"), "code")
+    return spread(dealt, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius), "a bigint, b bigint")
 
 
 def _labelled(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.llm import pii
-from murmuration.llm.pii import KINDS, Finder, base_spans, find_pii, fit_finder, lattice_of, luhn, masked, stretches
+from murmuration.llm.pii import EMAIL, KINDS, Finder, base_spans, emails, find_pii, fit_finder, lattice_of, luhn, masked, stretches
 from murmuration.llm.queries import QUERIES
 from murmuration.llm.semicrf import Lattice, SemiCRF
 
@@ -169,3 +169,25 @@ def test_null_empty_and_repeated(make_docs):
         ("None", 0, 1, "ip:0:7"),
     ]
     assert find_pii(docs.limit(0), fit_finder(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_emails_from_their_signs_outwards(seed):
+    import random
+
+    rng = random.Random(seed)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab1.-_%+@@é ,") for _ in range(rng.randrange(30)))
+        assert list(emails(text)) == [m.span() for m in EMAIL.finditer(text)]
+
+
+def test_very_long_runs_take_linear_time():
+    import time
+
+    n = 1_000_000
+    start = time.perf_counter()
+    for run in ("a" * n, "1" * n, "a." * (n // 2), "+1" + "(" * n, "@" * 1000 + "a" * n, "1." * (n // 2)):
+        for text in (run, f"{run}@", f"x@{run}", f"{run} x@y.org"):
+            base_spans(text)
+    assert time.perf_counter() - start < 60
+    assert base_spans("b" * n + "@x.org")[0] == [(0, n + 6, "email")]

@@ -76,3 +76,13 @@ def test_null_empty_long_and_repeated(spark, make_docs):
     nothing = fit_quality(docs.limit(0), labels.limit(0))
     assert {r.score for r in score_quality(docs, nothing).collect()} == {0.5}
     assert score_quality(docs.limit(0), nothing).count() == 0
+
+
+def test_a_labelled_id_that_many_rows_repeat_is_one_example(spark, make_docs):
+    """A million rows of one id reach the driver as one."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    docs = make_docs([(i, "good words in a row . " * (1 + i % 2)) for i in range(40)])
+    hot = spark.range(1_000_000).selectExpr("cast(1 as bigint) as doc_id", "'zz' as text", "'en' as lang", "'s' as source", "2L as n_chars")
+    once, many = fit_quality(docs.union(hot.limit(1)), labels), fit_quality(docs.union(hot), labels)
+    x = np.array([statistics("good words"), statistics("zz")])
+    assert (once.score(x) == many.score(x)).all()

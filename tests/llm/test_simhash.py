@@ -1,11 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from murmuration.llm.components import components
 from murmuration.llm.gray_index import GrayIndex, gray_rank, linked
 from murmuration.llm.queries import op2_simhash_gray
-from murmuration.llm.simhash import fingerprint, links, near_duplicates
+from murmuration.llm.simhash import _links, fingerprint, links, near_duplicates
 
 
 def distances(a, b):
@@ -53,16 +54,49 @@ def test_linked_equals_closure():
     assert linked(codes, 2, block=64).tolist() == want
 
 
-@pytest.mark.parametrize("hot", [3, 4096])
-def test_links_join_what_pairs_join(spark, hot):
+@pytest.mark.parametrize("hot,bucket", [(3, 10), (4096, 1 << 14), (4096, 7)])
+def test_links_join_what_pairs_join(spark, hot, bucket):
     codes = clustered(np.random.default_rng(8), 400, flips=5)
     signed = codes.view(np.int64).tolist()
     at = {c: k for k, c in enumerate(signed)}
-    got = links(spark.createDataFrame([(c,) for c in signed], "code bigint"), hot=hot).collect()
+    got = links(spark.createDataFrame([(c,) for c in signed], "code bigint"), hot=hot, bucket=bucket).collect()
     want = closure(len(codes), np.argwhere(distances(codes, codes) <= 2))
     assert closure(len(codes), [(at[r.a], at[r.b]) for r in got]) == want
 
 
+def test_every_link_leaves_the_gray_index(spark, monkeypatch):
+    """All fingerprints of sf0.1 as one bucket: what joins them are answers of the index."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()
+    codes = np.unique(np.array([fingerprint(r.text) for r in rows], np.uint64))
+    answers, plain = set(), GrayIndex.search
+
+    def counted(self, queries, radius, *more):
+        q, at = plain(self, queries, radius, *more)
+        answers.update(zip(queries[q].view(np.int64).tolist(), own[at].tolist(), strict=True))
+        return q, at
+
+    monkeypatch.setattr(GrayIndex, "search", counted)
+    signed = np.sort(codes.view(np.int64))
+    own = signed
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int64)), pa.array(p)], ["bucket", "code"]) for p in np.array_split(signed, 3)]
+    found = [(a, b) for batch in _links(2)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    place = {c: k for k, c in enumerate(signed.tolist())}
+    label = closure(len(signed), [(place[a], place[b]) for a, b in found])
+    assert label == closure(len(signed), [(place[a], place[b]) for a, b in answers])
+    near = np.argwhere(distances(signed.view(np.uint64), signed.view(np.uint64)) <= 2)
+    assert label == closure(len(signed), near) and len(answers) > 0 < len(found)
+
+
+def test_keys_are_cut_until_they_are_small(spark):
+    """A dense group, radius 6 of 64 bits in 8 parts, at most 20 to a key."""
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 1 << 9, 300).astype(np.uint64) << np.uint64(20))
+    signed = codes.view(np.int64).tolist()
+    got = links(spark.createDataFrame([(c,) for c in signed], "code bigint"), 6, 8, hot=20, bucket=50).collect()
+    place = {c: k for k, c in enumerate(signed)}
+    assert len(set(closure(len(signed), [(place[r.a], place[r.b]) for r in got]))) == 1
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(900, 1000)] + [(5, 5), (2000, 2001), (2001, 2000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
