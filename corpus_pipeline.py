@@ -7,7 +7,8 @@ quality         documents that the boosted trees reject go
 near_duplicates of documents whose sets of five-word shingles overlap by 0.8 or
                 more (Jaccard) one stays; SimHash fingerprints within 6 of 64
                 bits and MinHash bands only say which ones to compare
-decontaminated  documents go that contain a window of a benchmark item
+decontaminated  passages of benchmark items that reach ten words are cut out;
+                documents go of whose words such passages hold more than half
 mixed           documents are sampled so that sources, languages and topics
                 approach their tempered shares
 tokens          ids in binary files, read back
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmuration.llm.common import stored, table
-from murmuration.llm.decontaminate import keep_clean
+from murmuration.llm.decontaminate import cut_passages
 from murmuration.llm.mixing import sampled
 from murmuration.llm.quality import fit_quality, keep_good
 from murmuration.llm.simhash import keep_one
@@ -43,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return cut_passages(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
