@@ -32,7 +32,8 @@ WINDOW = 10
 #: Share of a document's words beyond which it goes as a whole.
 MAX_COVERAGE = 0.5
 BLOCK_WORDS = 200_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text whose letters A-Z are as they were.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TO_SPACE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -227,8 +228,9 @@ def cut_passages(
     are, null ones too; ``n_chars``, where it is a column, follows a text that was
     cut. What several blocks of items find is written in between, so that no task
     holds more than one block. The name _hits is reserved."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    if "_hits" in docs.columns:
+    spark, names = docs.sparkSession, docs.columns
+    at, counted = names.index("text"), "n_chars" in names
+    if "_hits" in names:
         raise ValueError("the input already has the column _hits")
     flat = pa.list_(pa.int64())
     with_hits = T.StructType([*docs.schema.fields, T.StructField("_hits", T.ArrayType(T.LongType()))])
@@ -249,7 +251,7 @@ def cut_passages(
     def cut(batches: Batches) -> Batches:
         for batch in batches:
             texts, stay = batch.column(at).to_pylist(), []
-            sizes = batch.column("n_chars").to_pylist() if "n_chars" in docs.columns else [None] * len(texts)
+            sizes = batch.column("n_chars").to_pylist() if counted else [None] * len(texts)
             for k, hits in enumerate(batch.column("_hits").to_pylist()):
                 runs = merged(list(zip(hits[::2], hits[1::2], strict=True)))
                 n = sum(b - a for a, b in runs)
@@ -259,9 +261,9 @@ def cut_passages(
                     sizes[k] = len(texts[k])
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns["text"] = pa.array(texts, pa.string())
-            if "n_chars" in docs.columns:
+            if counted:
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            out = pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            out = pa.RecordBatch.from_arrays([columns[c] for c in names], names)
             yield out.filter(pa.array(stay))
 
     return rows.mapInArrow(cut, docs.schema)

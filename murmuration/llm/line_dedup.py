@@ -13,7 +13,8 @@ takes keys that nobody holds any more out of the filter.
 Keys are 16-byte digests of the line without ASCII white space at its ends and
 with A-Z in lower case; lines of fewer than ``min_chars`` code points have none.
 Null or empty texts are one empty line. Rows without an id are left whole and
-not counted; rows that repeat an id are one document. Other columns are ignored.
+not counted; rows that repeat an id are one document. Very long texts and lines are
+taken whole. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from murmuration.plans.stage import shuffle_partitions
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Insertions that make up an index of all documents.
+PARTS = 2
 BLANKS = " \t\n\x0b\x0c\r"
 
 POSTINGS = "shard int, key binary, doc_id bigint"
@@ -162,9 +165,14 @@ class LineIndex:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).filter("doc_id is not null")
         return rows.mapInArrow(lambda batches: _keys(batches, chars, shards), POSTINGS)
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with these documents added; their ids must be new to it."""
+    def insert(self, docs: DataFrame, sure: bool = False) -> LineIndex:
+        """The index with these documents added. Ids that it holds are refused, as
+        their lines would count twice, unless the caller is ``sure`` of them."""
         added = stored(self._postings(docs), "postings")
+        if not sure:
+            held = added.select("doc_id").distinct().join(self.postings.select("doc_id"), "doc_id", "left_semi")
+            if row := held.first():
+                raise ValueError(f"the index already holds document {row.doc_id}")
         # a row that repeats an id holds the line once
         counted = added.groupBy("shard", "key").agg(
             F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc")
@@ -224,12 +232,19 @@ class LineIndex:
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def index_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None = None) -> LineIndex:
-    """An index of all documents. A shard is what one task holds of distinct keys
-    at a time, so their number must grow with the corpus; it follows the
-    session's number of shuffle partitions unless given."""
+def index_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None = None, parts: int = PARTS
+) -> LineIndex:
+    """An index of all documents, inserted in ``parts``: from the second on, the
+    filters of the parts before say which keys are new. A shard is what one task
+    holds of distinct keys at a time, so their number must grow with the corpus; it
+    follows the session's number of shuffle partitions unless given."""
     n = shards or 4 * shuffle_partitions(docs)
-    return LineIndex.empty(docs.sparkSession, n, min_chars).insert(docs)
+    index = LineIndex.empty(docs.sparkSession, n, min_chars)
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts))  # an id is of one part
+    for k in range(parts):
+        index = index.insert(docs.filter(part == k), sure=True)
+    return index
 
 
 def _kept(min_chars: int, digest: bool):

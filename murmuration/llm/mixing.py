@@ -8,16 +8,19 @@ a factor each that the driver knows, sources have theirs where they lie. A docum
 probability: proportional to raked weight over tokens, at most one, scaled so
 that the expected number of tokens is the budget.
 
-Topics are the clusters of hashed word counts nearest to a text, fitted by
-k-means on a bounded sample (``FIT_ROWS`` rows, those with the smallest hash of
-id and text). A document counts its words, at least one. Null and empty
+Topics are the clusters of hashed word counts nearest to a text. K-means starts
+from a bounded sample (``FIT_ROWS`` rows, those with the smallest hash of id and
+text) and goes over all texts, ``ROUNDS`` times at most. A document counts its words,
+at least one; very long texts count whole. Null and empty
 texts have topic -1. A null source or language counts as ''. Targets name shares
 by category; categories without one share what is left in proportion to their
 tempered shares (share ** temperature), and so does a marginal without targets;
-named categories that do not occur are ignored. Cells that do not
-occur cannot be made up for, so with many of these the fit is the nearest the sweeps
-reach. The draw depends on seed, id and text alone: repeated rows share their
-fate, rows without an id are drawn by their text.
+named categories that do not occur are ignored. Cells that do not occur cannot be
+made up for. Raking goes on until all shares are met, or until it comes no nearer;
+how far the farthest share is off then is a column of the result. The draw depends
+on seed, id and text alone: repeated rows share their fate, rows without an id are
+drawn by their text. An empty table gives no rows. The names ``_topic``, ``_tokens``,
+``_probability``, ``_deviation`` and ``_sampled`` are refused in the input.
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ BUCKETS = 64
 FIT_ROWS = 4_000
 TEMPERATURE = 0.7
 BUDGET = 0.5
-SWEEPS = 20
 TOLERANCE = 1e-3
+#: Raking ends when so many sweeps have not brought it nearer by a tenth.
+STALL = 20
+#: Rounds of k-means over all texts, and steps of a profile's numbers.
+ROUNDS = 6
+STEPS = 65535
 SEED = 7
 BROADCAST_CELLS = 50_000
 
@@ -55,22 +62,62 @@ def profile(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), x / np.sqrt((x * x).sum())
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).filter("text <> ''")
-    order = F.xxhash64("doc_id", "text").alias("h")
+def _profiles(docs: DataFrame) -> DataFrame:
+    """(h, x): of every text with words a hash, and its profile in 16-bit steps."""
+    rows = docs.select(F.xxhash64("doc_id", text_of()).alias("h"), text_of()).filter("text <> ''")
 
     def run(batches: Batches) -> Batches:
         for batch in pieces(batches):
-            x = [profile(t)[1] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], ["x"])
+            found = [profile(t) for t in batch.column("text").to_pylist()]
+            keep = pa.array([n > 0 for n, _ in found])
+            x = [np.round(v * STEPS).astype("<u2").tobytes() for _, v in found]
+            columns = [batch.column("h"), pa.array(x, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "x"]).filter(keep)
 
-    # the sampled rows by their hash, then their profiles: fit_rows small rows
-    edge = rows.select(order).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    return rows.mapInArrow(run, "h long, x binary")
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), "<u2").reshape(-1, BUCKETS)
+
+
+def _moved(profiles: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The mean of all profiles nearest to each centre. Sums are of integers, so
+    they do not depend on partitioning; a few hundred of them reach the driver."""
+
+    def run(batches: Batches) -> Batches:
+        sums, counts = np.zeros(centres.shape, np.int64), np.zeros(len(centres), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _unpacked(batch.column("x").to_pylist())
+                at = codes_of(x / STEPS, centres)
+                np.add.at(sums, at, x)
+                counts += np.bincount(at, minlength=len(centres))
+        every = np.concatenate([sums, counts[:, None]], axis=1)
+        columns = [np.repeat(np.arange(len(every)), every.shape[1]), np.tile(np.arange(every.shape[1]), len(every)), every.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["centre", "place", "n"])
+
+    rows = profiles.mapInArrow(run, "centre long, place long, n long").groupBy("centre", "place").agg(F.sum("n"))
+    total = np.zeros((len(centres), BUCKETS + 1), np.int64)
+    for centre, place, n in rows.collect():
+        total[centre, place] = n
+    counts = total[:, -1:]
+    return np.where(counts > 0, total[:, :-1] / np.maximum(counts, 1) / STEPS, centres)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> np.ndarray:
+    """Centres of the profiles of all texts: k-means that starts from a sample."""
+    profiles = stored(_profiles(docs).select("h", "x"), "profiles")
+    first = profiles.orderBy("h", "x").limit(fit_rows).select("x").distinct().collect()
+    if not first:
         return np.zeros((1, BUCKETS))
-    chosen = rows.filter(F.xxhash64("doc_id", "text") <= edge).dropDuplicates(["doc_id", "text"])
-    x = np.array([r.x for r in chosen.select("text").mapInArrow(run, "x array<double>").collect()])
-    return k_means(x[np.lexsort(x.T)], topics)
+    x = _unpacked(sorted(r.x for r in first)) / STEPS
+    centres = k_means(x, topics)
+    for _ in range(rounds):
+        before, centres = centres, _moved(profiles, centres)
+        if (before == centres).all():
+            break
+    return centres
 
 
 def described(docs: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -168,11 +215,12 @@ def _sums(sources: DataFrame, old: tuple[np.ndarray, np.ndarray], new: tuple[np.
 def rake(
     cells: DataFrame,
     targets: dict[str, DataFrame],
-    sweeps: int = SWEEPS,
     tolerance: float = TOLERANCE,
-) -> DataFrame:
+    stall: int = STALL,
+) -> tuple[DataFrame, float]:
     """(source, lang, topic, tokens, weight): weights add up to one, and their
-    sums by each marginal differ from its shares by the tolerance, relatively.
+    sums by each marginal differ from its shares by the tolerance, relatively, or
+    as little as raking reaches; and by how much the farthest share is off.
 
     A weight is the cell's tokens times a factor for its source, its language and
     its topic. Sources are raked where they lie, one row each; the driver holds a
@@ -187,14 +235,17 @@ def rake(
     def raked(factor: np.ndarray, want: np.ndarray, have: np.ndarray) -> np.ndarray:
         return factor * np.divide(want, have, out=np.zeros(len(have)), where=have > 0)
 
-    for _ in range(sweeps):
+    nearest, waited, far = np.inf, 0, 0.0
+    while waited < stall:
         old = b, c
         b = raked(b, wanted[0], _sums(sources, old, (b, c))[0])
         c = raked(c, wanted[1], _sums(sources, old, (b, c))[1])
         lang, topic, off = _sums(sources, old, (b, c))
         every = [np.abs(h - w) / np.maximum(w, 1e-12) for h, w in ((lang, wanted[0]), (topic, wanted[1]))]
-        if max(off, *(x.max() for x in every)) <= tolerance:
+        far = float(max(off, *(x.max() for x in every)))
+        if far <= tolerance:
             break
+        nearest, waited = (far, 0) if far < 0.9 * nearest else (nearest, waited + 1)
     new = b, c
 
     def run(batches: Batches) -> Batches:
@@ -208,7 +259,7 @@ def rake(
             )
 
     spec = "source string, lang string, topic string, tokens double, weight double"
-    return stored(sources.mapInArrow(run, spec), "weights")
+    return stored(sources.mapInArrow(run, spec), "weights"), far
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -242,18 +293,22 @@ def mix(
     topics: int = TOPICS,
     seed: int = SEED,
 ) -> DataFrame:
-    """The rows of ``docs`` with ``_topic``, ``_tokens``, ``_probability`` and
-    ``_sampled``, for which these names are reserved."""
+    """The rows of ``docs`` with ``_topic``, ``_tokens``, ``_probability``,
+    ``_deviation`` (one number for all: how far the farthest share is off) and
+    ``_sampled``."""
+    if taken := sorted({"_topic", "_tokens", "_probability", "_deviation", "_sampled"} & set(docs.columns)):
+        raise ValueError(f"the input already has the columns {taken}")
     rows = described(docs, fit_topics(docs, topics))
     cells = stored(cells_of(rows), "cells")
     n = cells.count()
     if n == 0:
-        return rows.withColumn("_probability", F.lit(0.0)).withColumn("_sampled", F.lit(False))
+        return rows.withColumns({"_probability": F.lit(0.0), "_deviation": F.lit(0.0), "_sampled": F.lit(False)})
     given = targets or {}
     shares = {
         name: stored(target_shares(cells, name, given.get(name, {}), temperature), "shares") for name in MARGINALS
     }
-    chances = stored(probabilities(rake(cells, shares), budget), "probabilities")
+    raked, far = rake(cells, shares)
+    chances = stored(probabilities(raked, budget), "probabilities")
     chances = chances.select(*(F.col(m).alias(f"_{m}_cell") for m in MARGINALS), F.col("probability").alias("_probability"))
     if n <= BROADCAST_CELLS:
         chances = F.broadcast(chances)  # counted: a few short columns a cell
@@ -262,6 +317,7 @@ def mix(
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), text_of()), 11) / F.lit(float(1 << 53))
     return (
         rows.join(chances, on[0] & on[1] & on[2])
+        .withColumn("_deviation", F.lit(far))
         .withColumn("_sampled", draw < F.col("_probability"))
         .drop(*(f"_{m}_cell" for m in MARGINALS))
     )

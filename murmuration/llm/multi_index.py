@@ -1,8 +1,9 @@
 """Nearest vectors by cosine, through an inverted multi-index.
 
-Unit vectors are cut in halves, and each half is quantised by its own codebook,
-fitted by k-means on a bounded sample (``FIT_ROWS`` rows, those with the smallest
-hash). A cell is a pair of codes. A query visits cells by the sum of its two
+Vectors of each length are an index of their own. Unit vectors are cut in halves,
+and each half is quantised by its own codebook, fitted by k-means on a bounded
+sample (``FIT_ROWS`` rows, those with the smallest hash). A cell is a pair of codes;
+there are a few times as many cells as the square root of the vectors. A query visits cells by the sum of its two
 distances, which a heap yields in ascending order, until they hold a share of
 all vectors; the share is the smallest of ``SHARES`` that finds ``TARGET`` of the
 true neighbours of sample queries within the sample. Visited entries are ranked
@@ -10,14 +11,17 @@ again by the exact cosine of the original vectors.
 
 Every vector is indexed. Equal vectors are one entry with its k + 1 smallest
 ids, which is all that a list of k can use, so copies cannot crowd a cell; a
-cell of many different vectors is dealt over shards. Queries go to a shard in
-blocks, and only the k best of each block leave it.
+cell of many different vectors is dealt over shards. A query goes to the shards
+of the cells it visits and is compared with those cells alone; a shard's entries
+are held once, its queries stream past them, and k rows for each leave it. Of a
+length that few vectors have (``FEW``), all are compared.
 
 Vectors that are null, zero, empty, or hold nulls or non-finite numbers take no
-part, nor do rows without an id, nor vectors of another length than most of the
-sample's (the larger length on a tie). Rows that repeat an id and its vector
+part, nor do rows without an id. Only vectors of one length can be compared: a
+query's candidates are those of its own. Rows that repeat an id and its vector
 count once; if an id has several vectors, each is a candidate, and a query per
-vector would be ambiguous, so the id's largest vector (in array order) asks.
+vector would be ambiguous, so the id's largest vector (in array order) asks. Other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from murmuration.llm.common import stored
+from murmuration.llm.common import Batches, spread, stored
 
 FIT_ROWS = 20_000
 FIT_QUERIES = 200
-CODES = 32
+#: Codes of each half at most.
+MOST_CODES = 512
+#: Vectors of one length that are searched without codes.
+FEW = 4096
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)
 TARGET = 0.97
-SHARD_ROWS = 4096
-QUERY_ROWS = 512
+SHARD_ROWS = 8192
+#: How far fast and exact scores may differ.
+SLACK = 1e-9
 K = 5
 EVERY = 50
 
@@ -95,7 +103,7 @@ def cells_in_order(first: np.ndarray, second: np.ndarray):
 
 
 class Codebooks:
-    def __init__(self, sample: np.ndarray, codes: int = CODES):
+    def __init__(self, sample: np.ndarray, codes: int):
         self.size = sample.shape[1]
         self.half = max(1, self.size // 2)
         x = unit(sample)
@@ -156,10 +164,9 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def codes_for(n: int) -> int:
+    """Codes of a half: as many cells as a few times the square root of the entries."""
+    return int(min(MOST_CODES, max(4, round(2 * n**0.25))))
 
 
 def shards_of(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,138 +186,240 @@ def shards_of(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+class Space:
+    """Where vectors of one length are kept, and where a query looks: all in one
+    cell if they are few."""
+
+    def __init__(self, books: Codebooks | None, share: float):
+        self.books, self.share = books, share
+        self.n_cells = books.codes**2 if books else 1
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return self.books.cells(x) if self.books else np.zeros(len(x), np.int64)
+
+    def fill(self, counts: np.ndarray, k: int, shard_rows: int) -> None:
+        self.counts = counts
+        self.first, self.parts = shards_of(counts, shard_rows)
+        self.wanted = int(np.ceil(self.share * counts.sum())) + k + 1
+
+    def visits(self, x: np.ndarray) -> list[list[int]]:
+        return self.books.visits(x, self.counts, self.wanted) if self.books else [[0]] * len(x)
+
+
+Spaces = dict[int, Space]
+
+
+def _by_length(column: pa.Array):
+    """(length, positions, matrix) for each length of vector in a column."""
+    sizes = np.diff(column.offsets.to_numpy())
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size, at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+
+
+def _record(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    made = [columns.get(f.name, pa.nulls(n, f.type)) for f in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(made, schema, strict=True)], schema=schema)
+
+
+MET = "size int, shard bigint, query_id bigint, cell bigint, v array<double>, ids array<bigint>, cells array<bigint>"
+_MET = pa.schema(
+    [
+        ("size", pa.int32()),
+        ("shard", pa.int64()),
+        ("query_id", pa.int64()),
+        ("cell", pa.int64()),
+        ("v", pa.list_(pa.float64())),
+        ("ids", pa.list_(pa.int64())),
+        ("cells", pa.list_(pa.int64())),
+    ]
+)
+
+
+def _counted(shared):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for size, _, x in _by_length(batch.column("v")):
+                cells, n = np.unique(shared.value[size].cells(x), return_counts=True)
+                sizes = pa.array(np.full(len(cells), size, np.int32))
+                yield pa.RecordBatch.from_arrays([sizes, pa.array(cells), pa.array(n)], ["size", "cell", "n"])
+
+    return run
+
+
 def _placed(shared):
-    def run(batches):
-        books, _, first, parts, _ = shared.value
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            if batch.num_rows:
-                cell = books.cells(_matrix(batch.column("v")))
-                salt = batch.column("salt").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[cell] + salt % parts[cell]), pa.array(cell), batch.column("v"), batch.column("ids")],
-                    ["shard", "cell", "v", "ids"],
-                )
+            for size, at, x in _by_length(batch.column("v")):
+                space, rows = shared.value[size], batch.take(pa.array(at))
+                cell = space.cells(x)
+                shard = space.first[cell] + rows.column("salt").to_numpy() % space.parts[cell]
+                own = {c: rows.column(c) for c in ("v", "ids")}
+                yield _record(_MET, {"size": np.full(len(at), size, np.int32), "shard": shard, "cell": cell, **own})
 
     return run
 
 
 def _visiting(shared):
-    def run(batches):
-        books, counts, first, parts, wanted = shared.value
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            visits = books.visits(_matrix(batch.column("v")), counts, wanted)
-            row, shard, cells = [], [], []
-            for k, own in enumerate(visits):
-                by_shard: dict[int, list[int]] = {}
-                for cell in own:
-                    for s in range(first[cell], first[cell] + parts[cell]):
-                        by_shard.setdefault(int(s), []).append(cell)
-                row += [k] * len(by_shard)
-                shard += by_shard.keys()
-                cells += by_shard.values()
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shard, pa.int64()),
-                    batch.column("block").take(at),
-                    batch.column("vec_id").take(at),
-                    batch.column("v").take(at),
-                    pa.array(cells, pa.list_(pa.int64())),
-                ],
-                ["shard", "block", "query_id", "q", "cells"],
-            )
+            for size, at, x in _by_length(batch.column("v")):
+                space, row, shard, cells = shared.value[size], [], [], []
+                for k, own in zip(at.tolist(), space.visits(x), strict=True):
+                    by_shard: dict[int, list[int]] = {}
+                    for cell in own:
+                        for s in range(space.first[cell], space.first[cell] + space.parts[cell]):
+                            by_shard.setdefault(int(s), []).append(cell)
+                    row += [k] * len(by_shard)
+                    shard += by_shard.keys()
+                    cells += by_shard.values()
+                rows = batch.take(pa.array(row, pa.int64()))
+                yield _record(
+                    _MET,
+                    {
+                        "size": np.full(len(row), size, np.int32),
+                        "shard": shard,
+                        "query_id": rows.column("vec_id"),
+                        "v": rows.column("v"),
+                        "cells": cells,
+                    },
+                )
 
     return run
 
 
+class Shard:
+    """Entries by cell; a query is compared with those of the cells it visits."""
+
+    def __init__(self, x: np.ndarray, cell: np.ndarray, ids: list[list[int]]):
+        order = np.argsort(cell, kind="stable")
+        self.x, self.ids = x[order], [ids[i] for i in order.tolist()]
+        self.near = unit(self.x)
+        self.cells, first = np.unique(cell[order], return_index=True)
+        self.bounds = dict(zip(self.cells.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True))
+
+    def search(self, queries: list[int], q: np.ndarray, visits: list[list[int]], k: int) -> list[tuple[int, int, float]]:
+        """(query, id, score): the k best of each query, all that tie with the last."""
+        asked: dict[int, list[int]] = {}
+        for row, cells in enumerate(visits):
+            for c in cells:
+                if c in self.bounds:
+                    asked.setdefault(c, []).append(row)
+        near, rows, entries, scores = unit(q), [], [], []
+        for c, own in asked.items():
+            a, b = self.bounds[c]
+            block = near[own] @ self.near[a:b].T
+            keep = block >= _edge(block, k)
+            at, e = np.nonzero(keep)
+            rows.append(np.array(own)[at])
+            entries.append(e + a)
+            scores.append(block[keep])
+        if not rows:
+            return []
+        row, entry, score = (np.concatenate(v) for v in (rows, entries, scores))
+        order = np.lexsort((-score, row))
+        row, entry, score = row[order], entry[order], score[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        out: list[tuple[int, int, float]] = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+            # one more than k entries, as one may be the query's own
+            edge = score[min(a + k, b - 1)] - SLACK
+            best = entry[a:b][score[a:b] >= edge]
+            query = queries[row[a]]
+            exact = cosine(self.x[best], np.broadcast_to(q[row[a]], self.x[best].shape))
+            own = [(-s, i) for s, e in zip(exact.tolist(), best.tolist(), strict=True) for i in self.ids[e] if i != query]
+            out += [(query, i, -s) for s, i in heapq.nsmallest(k, own)]
+        return out
+
+
+def _edge(block: np.ndarray, k: int) -> np.ndarray:
+    """For each row the (k + 1)-th largest value, a little less for rounding."""
+    n = block.shape[1]
+    if n <= k + 1:
+        return np.full((len(block), 1), -2.0)
+    return np.partition(block, n - k - 1, axis=1)[:, n - k - 1 : n - k] - SLACK
+
+
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _ranked(k: int):
-    def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
-        if not entries.num_rows or not queries.num_rows:
-            return FOUND.empty_table()
-        x, q = _matrix(entries.column("v")), _matrix(queries.column("q"))
-        cell, ids = entries.column("cell").to_numpy(), entries.column("ids").to_pylist()
-        near = unit(q) @ unit(x).T
-        out: list[tuple[int, int, float]] = []
-        for row, (query, cells) in enumerate(
-            zip(queries.column("query_id").to_pylist(), queries.column("cells").to_pylist(), strict=True)
-        ):
-            seen = np.flatnonzero(np.isin(cell, cells))
-            if not len(seen):
-                continue
-            fast = near[row, seen]
-            # one more than k entries, as one may be the query's own
-            edge = np.partition(fast, -min(k + 1, len(fast)))[-min(k + 1, len(fast))]
-            best = seen[fast >= edge - 1e-9]
-            scores = cosine(x[best], np.broadcast_to(q[row], x[best].shape))
-            own = [(-s, i) for s, e in zip(scores.tolist(), best.tolist(), strict=True) for i in ids[e] if i != query]
-            out += [(query, i, -s) for s, i in heapq.nsmallest(k, own)]
-        if not out:
-            return FOUND.empty_table()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), FOUND.types, strict=True)], schema=FOUND)
+    """Entries of a shard come before its queries, of which any number may follow."""
+
+    def run(batches: Batches) -> Batches:
+        now, held, shard = None, [], None
+        for batch in batches:
+            sizes, shards = batch.column("size").to_numpy(), batch.column("shard").to_numpy()
+            asks = np.array([not x for x in batch.column("query_id").is_null().to_pylist()], bool)
+            change = (sizes[1:] != sizes[:-1]) | (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(sizes)] if len(sizes) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                key, part = (sizes[a], shards[a]), batch.slice(a, b - a)
+                if key != now:
+                    now, held, shard = key, [], None
+                column = part.column("v")
+                x = column.flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(sizes[a]))
+                if not asks[a]:
+                    held.append((x, part.column("cell").to_numpy(), part.column("ids").to_pylist()))
+                    continue
+                if shard is None and held:
+                    shard = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), sum((h[2] for h in held), []))
+                if shard is not None:
+                    out = shard.search(part.column("query_id").to_pylist(), x, part.column("cells").to_pylist(), k)
+                    if out:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), FOUND.types, strict=True)], schema=FOUND
+                        )
 
     return run
 
 
+def fit(rows: DataFrame, k: int = K, share: float | None = None, codes: int | None = None, fit_rows: int = FIT_ROWS, few: int = FEW) -> Spaces:
+    """A space for every length of vector. The sample of a length is bounded, and so
+    are the lengths that have one: those of more than ``few`` vectors."""
+    spaces: Spaces = {}
+    for size, n in rows.groupBy(F.size("v").alias("size")).count().collect():
+        spaces[size] = Space(None, 1.0)
+        if n > few:
+            own = rows.filter(F.size("v") == size).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(fit_rows)
+            sample = np.array([r.v for r in own.select("v").collect()])
+            books = Codebooks(sample, codes or codes_for(n))
+            spaces[size] = Space(books, calibrated(books, sample, k) if share is None else share)
+    return spaces
+
+
 def nearest(
     vectors: DataFrame,
     k: int = K,
     every: int = EVERY,
     share: float | None = None,
-    codes: int = CODES,
+    codes: int | None = None,
     fit_rows: int = FIT_ROWS,
     shard_rows: int = SHARD_ROWS,
-    query_rows: int = QUERY_ROWS,
+    few: int = FEW,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is a multiple of
     ``every``, its ``k`` nearest of those found, or all others if fewer."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(fit_rows)  # bounded rows to the driver
-    got = [r.v for r in sample.select("v").collect()]
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not got:
-        return empty
-    lengths = np.bincount([len(v) for v in got])
-    size = int(np.flatnonzero(lengths == lengths.max()).max())
-    fitted = np.array([v for v in got if len(v) == size])
-    books = Codebooks(fitted, codes)
-    share = calibrated(books, fitted, k) if share is None else share
-    rows = rows.filter(F.size("v") == size)
+    spaces = fit(rows, k, share, codes, fit_rows, few)
+    if not spaces:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     entries = stored(_entries(rows, k), "entries")
-    cells = entries.select("v").mapInArrow(
-        lambda batches: (
-            pa.RecordBatch.from_arrays([pa.array(books.cells(_matrix(b.column("v"))))], ["cell"]) for b in batches if b.num_rows
-        ),
-        "cell bigint",
-    )
-    counts = np.zeros(codes**2, np.int64)
-    for r in cells.groupBy("cell").count().collect():  # codes^2 rows at most
-        counts[r.cell] = r["count"]
-    wanted = int(np.ceil(share * counts.sum())) + k + 1
-    first, parts = shards_of(counts, shard_rows)
-    shared = spark.sparkContext.broadcast((books, counts, first, parts, wanted))
+    fitted = spark.sparkContext.broadcast(spaces)  # of bounded samples
+    counts = {size: np.zeros(space.n_cells, np.int64) for size, space in spaces.items()}
+    cells = entries.select("v").mapInArrow(_counted(fitted), "size int, cell bigint, n bigint")
+    for size, cell, n in cells.groupBy("size", "cell").agg(F.sum("n")).collect():  # a row per cell at most
+        counts[size][cell] = n
+    for size, space in spaces.items():
+        space.fill(counts[size], k, shard_rows)
+    shared = spark.sparkContext.broadcast(spaces)
     asking = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    asking = stored(asking, "queries")
-    blocks = max(1, -(-asking.count() // query_rows))
-    queries = (
-        asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        .mapInArrow(_visiting(shared), "shard bigint, block bigint, query_id bigint, q array<double>, cells array<bigint>")
-    )
-    placed = (
-        entries.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30)))
-        .mapInArrow(_placed(shared), "shard bigint, cell bigint, v array<double>, ids array<bigint>")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    )
-    found = (
-        placed.groupBy("shard", "block")
-        .cogroup(queries.groupBy("shard", "block"))
-        .applyInArrow(_ranked(k), "query_id bigint, vec_id bigint, score double")
-    )
+    queries = spread(asking, "vec_id").mapInArrow(_visiting(shared), MET)
+    placed = entries.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInArrow(_placed(shared), MET)
+    met = spread(placed.union(queries), "size", "shard").sortWithinPartitions("size", "shard", F.asc_nulls_first("query_id"))
+    found = met.mapInArrow(_ranked(k), "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -74,6 +74,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"),
         F.col("_probability").alias("probability"),
+        F.col("_deviation").alias("deviation"),
         F.col("_sampled").alias("sampled"),
     )
 
@@ -148,6 +149,33 @@ with texts as (
 select * from ranked where rank <= 10
 """
 
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL_PASSAGES = f"""
+with docs as (
+    select row_number() over () as r, doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents
+), items as (
+    select item_id, w, least(10, len(w)) as size
+    from (select item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark) where len(w) > 0
+), windows as (
+    select item_id, size, array_to_string(w[k:k + size - 1], ' ') as words
+    from (select item_id, w, size, unnest(range(1, len(w) - size + 2)) as k from items)
+), places as (
+    select r, size, k, array_to_string(w[k:k + size - 1], ' ') as words
+    from (select r, w, size, unnest(range(1, len(w) - size + 2)) as k
+          from docs, (select distinct size from items) where len(w) >= size)
+), hits as (
+    select distinct r, k, size, item_id from places join windows using (size, words)
+), covered as (
+    select r, count(distinct place) as n from (select r, unnest(range(k, k + size)) as place from hits) group by r
+), found as (
+    select r, count(*) as n, string_agg(id, ',' order by id) as ids
+    from (select distinct r, cast(item_id as varchar) as id from hits) group by r
+)
+select doc_id, len(w) as n_words, coalesce(c.n, 0) as n_hit, coalesce(f.n, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from docs left join covered c using (r) left join found f using (r)
+"""
+
 SQL_COLLOCATIONS = f"""
 with pieces as (
     select coalesce(lang, 'und') as lang,
@@ -212,6 +240,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": SQL_LINES,
+    "op7_decontaminate": SQL_PASSAGES,
     "op11_lexical_search": SQL_SEARCH,
     "op12_collocations": SQL_COLLOCATIONS,
 }

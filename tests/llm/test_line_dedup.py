@@ -117,3 +117,18 @@ def test_deletion_undoes_insertion(make_docs):
     largest = both.delete(make_docs([(21, None)]))  # the largest holder goes: the line stays in document 20
     left = [r for r in first + second if r[0] != 21]
     assert rows_of(dedup_lines(make_docs(left), largest)) == sorted(brute(left), key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_insertion_in_parts_asks_the_filters(make_docs, parts):
+    index = index_lines(make_docs(ROWS), shards=3, parts=parts)
+    assert state(index) == state(index_lines(make_docs(ROWS), shards=3, parts=1))
+    assert rows_of(dedup_lines(make_docs(ROWS), index)) == sorted(brute(ROWS), key=str)
+
+
+def test_a_document_is_not_inserted_twice(make_docs):
+    index = index_lines(make_docs(ROWS), shards=2)
+    with pytest.raises(ValueError, match="already holds document 2"):
+        index.insert(make_docs([(99, LONG), (2, LONG)]))
+    back = index.delete(make_docs([(2, None)])).insert(make_docs([ROWS[1]]))
+    assert state(back) == state(index)

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.llm.mixing import MARGINALS, mix, probabilities, profile, rake, sampled, target_shares
+from murmuration.llm.mixing import MARGINALS, STEPS, fit_topics, mix, probabilities, profile, rake, sampled, target_shares
+from murmuration.llm.multi_index import codes_of
 from murmuration.llm.queries import QUERIES
 
 
-def brute_rake(cells, shares, sweeps=20, tolerance=1e-3):
+def brute_rake(cells, shares, sweeps=500, tolerance=1e-3):
     """cells: {(source, lang, topic): tokens}; shares by marginal and category."""
     total = sum(cells.values())
     w = {c: t / total for c, t in cells.items()}
@@ -79,7 +80,8 @@ def test_raking_and_calibration_equal_brute_force(spark, cells, budget):
     frames = {m: target_shares(frame, m, {}, 0.7) for m in MARGINALS}
     for m in MARGINALS:
         assert {r[m]: r.share for r in frames[m].collect()} == pytest.approx(shares[m])
-    raked = rake(frame, frames)
+    raked, far = rake(frame, frames)
+    assert far <= 1e-3
     w = {tuple(r[m] for m in MARGINALS): r.weight for r in raked.collect()}
     assert w == pytest.approx(brute_rake(cells, shares))
     for k, m in enumerate(MARGINALS):
@@ -113,6 +115,7 @@ def test_query_equals_brute_force(spark, folder):
     p = brute_probabilities(cells, brute_rake(cells, tempered(cells)), 0.5)
     for r in rows:
         assert r.probability == pytest.approx(p[r.source, r.lang, str(r.topic)], abs=1e-9)
+    assert {r.deviation for r in rows} == {rows[0].deviation} and rows[0].deviation <= 1e-3
     kept = sum(r.n_tokens for r in rows if r.sampled)
     assert 0.35 < kept / sum(cells.values()) < 0.65
     assert len({r.topic for r in rows}) > 3
@@ -128,3 +131,34 @@ def test_null_empty_and_repeated(make_docs):
     assert sampled(docs, budget=1.0).count() == 6 and sampled(docs, budget=1.0).columns == docs.columns
     assert sampled(docs, budget=0.0).count() == 0
     assert mix(docs.limit(0)).count() == 0 and profile(None)[0] == 0
+    for name in ("_topic", "_deviation"):
+        with pytest.raises(ValueError, match=name):
+            mix(docs.withColumn(name, F.lit(1)))
+
+
+def test_shares_that_cannot_be_met_are_reported(spark):
+    """One source speaks one language: its shares contradict each other."""
+    cells = {("a", "x", "0"): 100, ("b", "y", "0"): 100, ("b", "x", "0"): 1}
+    frame = cell_frame(spark, cells)
+    frames = {m: target_shares(frame, m, {}, 0.7) for m in ("source", "topic")}
+    frames["lang"] = target_shares(frame, "lang", {"x": 0.1, "y": 0.9}, 0.7)
+    raked, far = rake(frame, frames)
+    sums = defaultdict(float)
+    for r in raked.collect():
+        sums[r.source] += r.weight
+        sums[r.lang] += r.weight
+    want = {r.source: r.share for r in frames["source"].collect()} | {"x": 0.1, "y": 0.9}
+    assert far > 0.1
+    assert far == pytest.approx(max(abs(sums[g] - s) / s for g, s in want.items()), rel=1e-6)
+
+
+def test_topics_come_from_all_texts(spark, make_docs):
+    """A start from few rows ends where brute force over all rows does, for any partitioning."""
+    rng = np.random.default_rng(1)
+    kinds = ["apple pear plum fig", "iron lead tin zinc", "dog cat cow hen"]
+    docs = make_docs([" ".join(rng.choice(kinds[k % 3].split(), 30)) for k in range(300)])
+    one, many = (fit_topics(d, topics=3, fit_rows=20, rounds=30) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert (one == many).all()
+    x = np.array([np.round(profile(r.text)[1] * STEPS) / STEPS for r in docs.collect()])
+    at = codes_of(x, one)
+    assert np.allclose(one, [x[at == k].mean(axis=0) for k in range(3)])

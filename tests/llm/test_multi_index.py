@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.llm.multi_index import Codebooks, cells_in_order, cosine, nearest, shards_of
+from murmuration.llm.multi_index import Codebooks, cells_in_order, codes_for, cosine, fit, nearest, shards_of, usable
 from murmuration.llm.queries import QUERIES
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
@@ -17,7 +17,8 @@ def brute(rows, k=5, every=50):
     for q in fine:
         if q % every == 0:
             a = np.array(max(fine[q]))
-            scores = {i: max(float(cosine(a[None], np.array(v)[None])[0]) for v in vs) for i, vs in fine.items() if i != q}
+            own = {i: [v for v in vs if len(v) == len(a)] for i, vs in fine.items() if i != q}
+            scores = {i: max(float(cosine(a[None], np.array(v)[None])[0]) for v in vs) for i, vs in own.items() if vs}
             out[q] = sorted(((-s, i) for i, s in scores.items()))[:k]
     return {q: [(i, -s) for s, i in best] for q, best in out.items()}
 
@@ -54,7 +55,38 @@ def test_full_visits_equal_brute_force(spark, share, size):
     rows += [(1000 + k, rows[0][1]) for k in range(40)]  # a crowd of copies, with ties
     rows += [(50_000, [2 * x for x in rows[3][1]]), (60, rows[50][1])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
-    assert got(nearest(df, share=share, codes=4, shard_rows=20, query_rows=2)) == brute(rows)
+    for few in (0, 1000):
+        assert got(nearest(df, share=share, codes=4, shard_rows=20, few=few)) == brute(rows)
+
+
+def test_vectors_of_every_length_are_asked_and_found(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=[2, 3, 5][k % 3]).tolist()) for k in range(600)]
+    rows += [(6000, [1.0]), (6050, [-2.0]), (6100, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    want = brute(rows)
+    for few in (50, 10_000):
+        assert got(nearest(df, share=1.0, shard_rows=60, few=few)) == {q: best for q, best in want.items() if best}
+    assert {len(best) for best in want.values()} == {0, 1, 5}
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_recall_on_many_vectors(spark, n):
+    """Clustered vectors, searched with the share that the sample asks for."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA)
+    have = got(nearest(df, every=200))
+    asked = np.arange(0, n, 200)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-near, axis=1)[:, :5]
+    found = sum(len({i for i, _ in have[q]} & set(t)) for q, t in zip(asked.tolist(), true.tolist(), strict=True))
+    assert found >= 0.9 * 5 * len(asked)
+    space = fit(usable(df))[16]
+    assert space.share < 0.5 and space.books.codes == codes_for(n)
 
 
 def test_odd_vectors_take_no_part(spark):
@@ -71,7 +103,7 @@ def test_odd_vectors_take_no_part(spark):
 
 
 def test_codebooks_of_few_vectors():
-    books = Codebooks(np.ones((3, 4)))
+    books = Codebooks(np.ones((3, 4)), 4)
     assert books.cells(np.ones((2, 4))).tolist() == [0, 0]
 
 
