@@ -5,8 +5,8 @@ go on, so exact copies weigh nothing. To find all pairs within ``radius`` bits,
 the 64 bits are cut into parts: as few parts differ as bits do, so near
 fingerprints agree in at least ``parts - radius`` parts, and meet under the key
 of those. Keys are dealt into buckets of some ten thousand fingerprints; a key
-with many is cut again by its remaining bits, which bounds what one key can hold
-(2^16 fingerprints for the usual radius of 2). All fingerprints of a bucket are
+with many is cut once more by its remaining bits, which bounds what one key can
+hold (2^16 fingerprints for the usual radius of 2). All fingerprints of a bucket are
 one Gray-order index, in which each of them is looked up: every link comes from
 there. What leaves it is fewer links than fingerprints, never all pairs of a
 large group, and components join the links.
@@ -36,6 +36,8 @@ RADIUS = 2
 SIMILARITY = 0.8
 #: More fingerprints than this under one key are dealt again by more bits.
 HOT = 1 << 15
+#: How often keys that are still hot are cut again.
+CUTS = 1
 #: Fingerprints of a bucket, about.
 BUCKET = 1 << 14
 #: Keys broadcast at most, of 16 bytes each.
@@ -99,13 +101,18 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed(rows: DataFrame, masks: dict[str, int]) -> DataFrame:
-    """(route, key, code): the masked bits of each code for every mask."""
-    keys = [
-        F.struct(F.lit(name).alias("route"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for name, m in masks.items()
-    ]
-    return rows.select("code", F.explode(F.array(*keys)).alias("k")).select("k.*", "code")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(route, mask, key, code): the masked bits of each code for every choice of
+    its column ``choices``."""
+    each = rows.select("code", F.explode("choices").alias("c")).select("c.*", "code")
+    return each.select("route", "mask", F.col("code").bitwiseAND(F.col("mask")).alias("key"), "code")
+
+
+def _choices(name: str, fixed: int, bits: list[int], radius: int, parts: int) -> list[tuple[str, int]]:
+    return [(f"{name}.{k}", _signed(fixed | m)) for k, m in enumerate(cut(bits, radius, parts))]
+
+
+CHOICES = "array<struct<route: string, mask: bigint>>"
 
 
 def _links(radius: int):
@@ -142,34 +149,28 @@ def links(codes: DataFrame, radius: int = RADIUS, parts: int | None = None, hot:
 
     Keys only say where codes meet: those under one key lie in one bucket, which
     holds the codes of many keys, and its index finds all pairs among them. Keys of
-    more than ``hot`` codes are dealt by more bits, again and again while there are
-    bits to choose from."""
-    parts = parts or radius + 2
-    masks = {str(k): m for k, m in enumerate(cut(list(range(64)), radius, parts))}
-    light, rows = [], codes
+    more than ``hot`` codes are dealt by more bits, ``CUTS`` times at most, as each
+    time multiplies their rows; what is still together then is one bucket."""
+    spark, parts = codes.sparkSession, parts or radius + 2
+    first = spark.createDataFrame([(_choices("", 0, list(range(64)), radius, parts),)], f"choices {CHOICES}")
+    keyed, light = _keyed(codes.crossJoin(F.broadcast(first))), []  # one row of choices
     while True:
-        keyed = _keyed(rows, masks) if not light else heavy_rows
-        sizes = keyed.groupBy("route", "key").agg(F.count(F.lit(1)).alias("n"))
-        heavy = stored(sizes.filter(F.col("n") > hot).select("route", "key"), "heavy")
-        found = heavy.count()
-        routes = sorted(r.route for r in heavy.select("route").distinct().collect())  # as many as masks at most
-        open_bits = {r: [b for b in range(64) if not masks[r] >> b & 1] for r in routes}
-        routes = [r for r in routes if len(open_bits[r]) >= 2 * parts]
-        if not routes:
+        sizes = keyed.groupBy("route", "mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+        heavy = stored(sizes.select("route", "mask", "key"), "heavy")
+        found, finer = heavy.count(), []
+        for route, mask in heavy.select("route", "mask").distinct().collect():  # as many as choices at most
+            bits = [b for b in range(64) if not mask >> b & 1]
+            if len(bits) >= 2 * parts and len(light) < CUTS:
+                finer.append((route, _choices(route, mask % (1 << 64), bits, radius, parts)))
+        if not finer:
             light.append(keyed)
             break
-        few = heavy.filter(F.col("route").isin(routes))
+        few = heavy.filter(F.col("route").isin([route for route, _ in finer])).select("route", "key")
         few = F.broadcast(few) if found <= BROADCAST_KEYS else few
         light.append(keyed.join(few, ["route", "key"], "left_anti"))
-        finer = {f"{r}.{k}": masks[r] | x for r in routes for k, x in enumerate(cut(open_bits[r], radius, parts))}
-        again = [
-            _keyed(keyed.filter(F.col("route") == r).join(few, ["route", "key"], "left_semi"), {
-                name: m for name, m in finer.items() if name.rpartition(".")[0] == r
-            })
-            for r in routes
-        ]
-        heavy_rows = stored(reduce(DataFrame.unionByName, again), "dealt-again")
-        masks = finer
+        table = F.broadcast(spark.createDataFrame(finer, f"route string, choices {CHOICES}"))
+        again = keyed.join(few, ["route", "key"], "left_semi").select("route", "code").join(table, "route")
+        keyed = stored(_keyed(again.drop("route")), "dealt-again")
     met = reduce(DataFrame.unionByName, light)
     n = max(1, -(-met.count() // bucket))
     dealt = met.select(F.pmod(F.xxhash64("route", "key"), F.lit(n)).alias("bucket"), "code")
