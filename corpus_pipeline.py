@@ -5,7 +5,7 @@ Each stage gets what the stage before has kept and passes on the columns of
 
 quality         documents that the boosted trees reject go
 near_duplicates of documents whose sets of five-word shingles overlap by 0.8 or
-                more (Jaccard) one stays; SimHash fingerprints within 6 of 64
+                more (Jaccard) one stays; SimHash fingerprints within 2 of 64
                 bits and MinHash bands only say which ones to compare
 decontaminated  passages of benchmark items that reach ten words are cut out;
                 documents go of whose words such passages hold more than half
@@ -30,8 +30,8 @@ from murmuration.llm.token_output import token_output
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WORDS = 5
-RADIUS = 6
-PARTS = 8
+RADIUS = 2
+PARTS = 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
