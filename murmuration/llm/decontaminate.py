@@ -234,39 +234,46 @@ def cut_passages(
         raise ValueError("the input already has the column _hits")
     flat = pa.list_(pa.int64())
     with_hits = T.StructType([*docs.schema.fields, T.StructField("_hits", T.ArrayType(T.LongType()))])
-    rows = docs.withColumn("_hits", F.array().cast("array<long>"))
-    for number, block in enumerate(item_blocks(benchmark, window, block_words)):
-        rows = stored(rows, "hits") if number else rows
+
+    def cut(batch: pa.RecordBatch, texts: list, hits: list) -> pa.RecordBatch:
+        """The rows that stay, in the input's columns, their texts cut."""
+        stay, sizes = [], batch.column("n_chars").to_pylist() if counted else [None] * len(texts)
+        for k, flat_runs in enumerate(hits):
+            runs = merged(list(zip(flat_runs[::2], flat_runs[1::2], strict=True)))
+            n = sum(b - a for a, b in runs)
+            stay.append(n == 0 or n <= max_coverage * len(words_of(texts[k])))
+            if n and stay[-1]:
+                texts[k] = without_spans(texts[k], *zip(*runs, strict=True), min_words)
+                sizes[k] = len(texts[k])
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        columns["text"] = pa.array(texts, pa.string())
+        if counted:
+            columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(stay))
+
+    def finder(block: bytes, last: bool):
         shared = spark.sparkContext.broadcast(block)  # of bounded size
 
-        def find(batches: Batches, shared=shared) -> Batches:
+        def find(batches: Batches) -> Batches:
             items = pickle.loads(shared.value)
             for batch in pieces(batches):
                 texts, before = batch.column(at).to_pylist(), batch.column("_hits").to_pylist()
                 hits = [old + [x for run in items.find(words_of(t))[0] for x in run] for t, old in zip(texts, before, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, flat)], batch.schema.names)
-
-        rows = rows.mapInArrow(find, with_hits)
-
-    def cut(batches: Batches) -> Batches:
-        for batch in batches:
-            texts, stay = batch.column(at).to_pylist(), []
-            sizes = batch.column("n_chars").to_pylist() if counted else [None] * len(texts)
-            for k, hits in enumerate(batch.column("_hits").to_pylist()):
-                runs = merged(list(zip(hits[::2], hits[1::2], strict=True)))
-                n = sum(b - a for a, b in runs)
-                stay.append(n == 0 or n <= max_coverage * len(words_of(texts[k])))
-                if n and stay[-1]:
-                    texts[k] = without_spans(texts[k], *zip(*runs, strict=True), min_words)
-                    sizes[k] = len(texts[k])
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["text"] = pa.array(texts, pa.string())
-            if counted:
-                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            out = pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-            yield out.filter(pa.array(stay))
-
-    return rows.mapInArrow(cut, docs.schema)
+                if last:
+                    yield cut(batch, texts, hits)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, flat)], batch.schema.names)
+
+        return find
+
+    # the pass of the last block also cuts: a task has one Python worker, and texts go to it once
+    rows = docs.withColumn("_hits", F.array().cast("array<long>"))
+    blocks = item_blocks(benchmark, window, block_words)
+    block = next(blocks)
+    for following in blocks:
+        rows = stored(rows.mapInArrow(finder(block, False), with_hits), "hits")
+        block = following
+    return rows.mapInArrow(finder(block, True), docs.schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
