@@ -213,14 +213,15 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, sid, code, bands): digest of the words, fingerprint, MinHash bands."""
 
     def columns(batch: pa.RecordBatch) -> dict:
-        texts = [tokens_of(t) for t in batch.column("text").to_pylist()]
-        hashes = [shingle_hashes(t, words) for t in texts]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "sid": np.array([text_digest(t) for t in texts], np.uint64).view(np.int64),
-            "code": np.array([majority(h) for h in hashes], np.uint64).view(np.int64),
-            "bands": [bands(h) for h in hashes],
-        }
+        sids, codes, keys = [], [], []
+        for text in batch.column("text"):  # one text's words and hashes at a time
+            tokens = tokens_of(text.as_py())
+            hashes = shingle_hashes(tokens, words)
+            sids.append(text_digest(tokens))
+            codes.append(majority(hashes))
+            keys.append(bands(hashes))
+        signed = (np.array(x, np.uint64).view(np.int64) for x in (sids, codes))
+        return {"doc_id": batch.column("doc_id"), **dict(zip(("sid", "code"), signed, strict=True)), "bands": keys}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
     return map_rows(rows, "doc_id long,sid long,code long,bands array<long>", columns)
