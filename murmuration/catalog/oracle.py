@@ -237,6 +237,11 @@ ORACLE: dict[str, str] = {
     "effective_sample_size_by_group": f"select user_id, {_r('sum(exp(lw)) * sum(exp(lw)) / sum(exp(2e0 * lw))', 'ess')} from {LOGS} group by user_id",
     "weighted_mean": f"select user_id, {_r('sum(exp(s) * x) / sum(exp(s))', 'estimate')}"
     f" from (select *, lw - max(lw) over (partition by user_id) as s from {LOGS}) group by user_id",
+    "tree_sum_reproducible": f"""select user_id, {_r("sum(case when id % 10 = 0 then x * pow(2.0, -60) else x end)", "total")}
+        from {EVENTS} group by user_id""",
+    "weighted_mean_reproducible": f"select user_id, {_r('sum(exp(s) * x) / sum(exp(s))', 'estimate')}"
+    f" from (select *, lw - max(lw) over (partition by user_id) as s from {LOGS}) group by user_id",
+    "posterior_mean_reproducible": f"select {_r('avg(x)', 'estimate')} from {EVENTS}",
     "posterior_mean": f"select {_r('avg(x)', 'estimate')} from {EVENTS}",
     "group_max_key": f"select {NODE_OF} as node, max(id) as max_id, max(id) - {NODE} as before_first from {PARTICLES} group by 1",
     "count_rows": "select count(*) as n_rows from lineitem",

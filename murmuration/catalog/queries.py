@@ -321,6 +321,23 @@ def posterior_mean(spark, folder):
     return rounded(aggregates.posterior_mean(events(spark, folder)), "estimate")
 
 
+def tree_sum_reproducible(spark, folder):
+    """Sums of doubles, of which a tenth is scaled down by 2^60 and lies in other bins."""
+    rows = events(spark, folder, "user_id")
+    rows = rows.withColumn("x", F.when(F.col("id") % 10 == 0, F.col("x") * F.lit(2.0**-60)).otherwise(F.col("x")))
+    return rounded(aggregates.tree_sum(rows, "x", ["user_id"], reproducible=True), "total")
+
+
+def weighted_mean_reproducible(spark, folder):
+    rows = weights.normalize_weights(log_weights(events(spark, folder, "user_id")), group_cols=["user_id"])
+    rows = rows.withColumn("w", F.exp("lw"))
+    return rounded(aggregates.weighted_mean(rows, group_cols=["user_id"], reproducible=True), "estimate")
+
+
+def posterior_mean_reproducible(spark, folder):
+    return rounded(aggregates.posterior_mean(events(spark, folder), reproducible=True), "estimate")
+
+
 def group_max_key(spark, folder):
     rows = vector.node_bucket(particles(spark, folder), NODE)
     return aggregates.group_max_key(rows, "node", size=NODE)
@@ -561,6 +578,9 @@ QUERIES: dict[str, Query] = {
     "max_weight": max_weight,
     "tree_sum": tree_sum,
     "tree_sum_by_node": tree_sum_by_node,
+    "tree_sum_reproducible": tree_sum_reproducible,
+    "weighted_mean_reproducible": weighted_mean_reproducible,
+    "posterior_mean_reproducible": posterior_mean_reproducible,
     "log_sum_exp": log_sum_exp,
     "log_sum_exp_by_group": log_sum_exp_by_group,
     "normalize_weights": normalize_weights,
