@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 
-_PLANNING = threading.Lock()
+_LOCK = threading.Lock()
+_PLANNERS: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,19 +60,40 @@ def write_cached(df: DataFrame) -> DataFrame:
 
     A checkpoint of an adaptive plan forgets how its rows are partitioned, so
     the next window on the same key would shuffle them again. Reading a cache
-    needs no exchange, hence nothing for adaptive execution to improve. Only
-    the plan of this frame is made without it, by one thread at a time; the
-    session has its setting back before anything runs.
+    needs no exchange, hence nothing for adaptive execution to improve: the frame
+    is planned without it in a session of its own, which shares the cache. The
+    caller's session keeps its settings, and so do queries of other threads.
     """
-    conf, plain = df.sparkSession.conf, df.select("*")
-    with _PLANNING:
-        adaptive = conf.get("spark.sql.adaptive.enabled")
-        conf.set("spark.sql.adaptive.enabled", "false")
-        try:
-            plain._jdf.queryExecution().executedPlan()
-        finally:
-            conf.set("spark.sql.adaptive.enabled", adaptive)
-    return materialize(plain)
+    spark = df.sparkSession
+    shared_folder(spark)
+    with _seen_from(_planner(spark), df) as planned:
+        written = materialize(planned)
+    with _seen_from(spark, written) as own:
+        return own
+
+
+def _planner(spark: SparkSession) -> SparkSession:
+    """One session for each application, in which adaptive execution is off."""
+    name = spark.sparkContext.applicationId
+    with _LOCK:
+        if name not in _PLANNERS:
+            own = spark.newSession()
+            own.conf.set("spark.sql.adaptive.enabled", "false")
+            _PLANNERS.clear()
+            _PLANNERS[name] = own
+        return _PLANNERS[name]
+
+
+@contextmanager
+def _seen_from(spark: SparkSession, df: DataFrame) -> Iterator[DataFrame]:
+    """The same frame in another session, handed over by a view. The view stays
+    until the frame has been used, as a cached frame is forgotten with its views."""
+    name = f"handed_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        yield spark.table(f"global_temp.{name}")
+    finally:
+        df.sparkSession.catalog.dropGlobalTempView(name)
 
 
 def materialize_partitioned(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, Row]:

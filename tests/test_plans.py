@@ -10,7 +10,7 @@ from murmuration.catalog.queries import QUERIES
 from murmuration.operators import joins, resample as rs
 from murmuration.operators.scan import BUCKET, lay_out
 from murmuration.plans.filter import bucket_of
-from murmuration.plans.stage import materialize_partitioned
+from murmuration.plans.stage import _planner, _seen_from, keep, materialize_partitioned
 from murmuration.sources.generate import id_range
 
 LOOPS = {name for name in QUERIES if name.startswith(("run_filter", "step_report", "filter_step"))}
@@ -105,3 +105,40 @@ def test_a_gathered_index_that_all_rows_name_is_spread(spark, partitions):
     sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 40_000 and max(sizes) <= 6_000
     assert {r.gathered for r in out.select("gathered").distinct().collect()} == {7.0}
+
+
+def test_the_callers_session_keeps_adaptive_execution(spark, monkeypatch):
+    """Nothing sets the switch in it, and the written frame belongs to it."""
+    seen = []
+    conf = type(spark.conf)
+    plain = conf.set
+
+    def watched(self, key, value):
+        seen.append((self is spark.conf, key))
+        plain(self, key, value)
+
+    monkeypatch.setattr(conf, "set", watched)
+    after, row = materialize_partitioned(step_plan(population(spark, 1_000, 512), 512), F.max("id").alias("most"))
+    assert not [key for own, key in seen if own and key.startswith("spark.sql.adaptive")]
+    assert after.sparkSession is spark and after.count() == row[0]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_the_cached_rows_are_written_not_made_again(spark):
+    """The session that plans the frame reads the cache of the caller's."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = population(spark, 1_000, 512).repartition(4, BUCKET).mapInArrow(count, "id bigint, x double, wq bigint, _bucket bigint")
+    after, _ = materialize_partitioned(rows)
+    assert after.count() == 1_000 and made.value == 1_000
+    kept = keep(population(spark, 1_000, 512).repartition(4, BUCKET))
+    kept.count()
+    with _seen_from(_planner(spark), kept.withColumn("y", F.col("x") + 1)) as planned:
+        assert "InMemoryTableScan" in planned._jdf.queryExecution().executedPlan().toString()
+    assert kept.storageLevel.useMemory and "InMemoryTableScan" in plan(kept)
+    kept.unpersist()
