@@ -91,3 +91,39 @@ def test_training_is_bounded_by_ids_and_characters(spark, make_docs):
     docs = docs.filter("doc_id <> 3")
     without, beyond = (fit_toxicity(d, labels, max_chars=5_000, epochs=2).score(texts) for d in (docs, docs.union(long)))
     assert (without == beyond).all()
+
+
+def test_every_labelled_document_is_learnt_from(spark, make_docs, monkeypatch):
+    """A harmless word like a toxic one, which only some of thousands of documents
+    hold, those late in the order of a hash; learnt in one block or in several."""
+    ids = spark.range(6_000).filter("crc32(cast(id as string)) % 5 != 0").orderBy(F.xxhash64("id"))
+    ids = [r.id for r in ids.collect()]
+    toxic, clean = ids[:600], ids[600:]
+    docs = [(i, "haus mist wald") for i in toxic] + [(i, "haus baum wald") for i in clean[:3_000]]
+    docs = make_docs(docs + [(i, "haus mistel wald") for i in clean[3_000:]])
+    labels = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in clean], "doc_id bigint, toxic int")
+    for rows in (6_000, 1_500):
+        monkeypatch.setattr(toxicity, "BLOCK_ROWS", rows)
+        score = fit_toxicity(docs, labels).score(["haus mist wald", "haus mistel wald", "haus baum wald"])
+        assert score[0] > 0.9 and score[1] < 0.1 and score[2] < 0.1
+
+
+def test_blocks_do_not_depend_on_partitioning(spark, make_docs, monkeypatch, partitions):
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 60)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    docs = make_docs([(i, f"vile {chr(97 + i % 9)}words" if i % 2 else "kind words") for i in range(60)])
+    nets = []
+    for n in (2, 5):
+        partitions(n)
+        nets.append(fit_toxicity(docs.repartition(n), labels, epochs=2))
+    assert (nets[0].table == nets[1].table).all() and (nets[0].out == nets[1].out).all()
+
+
+def test_long_texts_are_pooled_in_parts():
+    net = toxicity._start(0.3, 2)
+    words = toxicity._Words()
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}q" for k in range(45_000))
+    words.add(text)
+    best, _ = toxicity._Trainer(net)._pooled(words.docs[0], words.of_word())
+    assert np.allclose(best, net.pooled(text), atol=1e-5)
