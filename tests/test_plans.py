@@ -9,6 +9,7 @@ from murmuration import Noise
 from murmuration.catalog.queries import QUERIES
 from murmuration.operators import joins, resample as rs
 from murmuration.operators.scan import BUCKET, lay_out
+from murmuration.plans import grouped
 from murmuration.plans.filter import bucket_of
 from murmuration.plans.stage import _planner, _seen_from, keep, materialize_partitioned
 from murmuration.sources.generate import id_range
@@ -142,3 +143,19 @@ def test_the_cached_rows_are_written_not_made_again(spark):
         assert "InMemoryTableScan" in planned._jdf.queryExecution().executedPlan().toString()
     assert kept.storageLevel.useMemory and "InMemoryTableScan" in plan(kept)
     kept.unpersist()
+
+
+def test_facts_of_cells_are_read_by_few_tasks(spark):
+    assert grouped._few(spark.range(0, 1000, 1, 50)).rdd.getNumPartitions() == 1
+
+
+def test_means_of_a_grouped_step_come_from_the_pass_that_writes(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as _g0", "false as _n0", "0L as _bucket", "double(id) as x")
+    keys = ["_g0", "_n0"]
+    _, means = materialize_partitioned(
+        rows.repartition(4, *keys, "_bucket"), facts=lambda kept: grouped._few(grouped._means(kept, keys))
+    )
+    assert means.rdd.getNumPartitions() == 1
+    assert sorted((r._n, r._sum) for r in means.collect()) == sorted(
+        (len(range(k, 1000, 7)), float(sum(range(k, 1000, 7)))) for k in range(7)
+    )
