@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -62,11 +63,21 @@ def arrow_schema(spec: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in spec.split(","))])
 
 
+def give_back() -> None:
+    """Memory that is not in use goes back to the system: a worker outlives its task,
+    and what Arrow and the C library hold for it adds up over the stages of a run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Batches, rows: int = 500) -> Batches:
     """Smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+    batch = None
+    give_back()
 
 
 def map_rows(df: DataFrame, spec: str, columns: Callable[[pa.RecordBatch], dict]) -> DataFrame:

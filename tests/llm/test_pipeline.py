@@ -165,3 +165,19 @@ def test_an_empty_corpus_and_odd_documents_run_through(spark, folder, tmp_path):
     assert got.count() > 0
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After the last batch of a task, whatever operator reads it."""
+    import pyarrow as pa
+
+    from murmuration.llm import common
+
+    seen, batch = [], pa.RecordBatch.from_pydict({"x": list(range(7))})
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    for piece in common.pieces(iter([batch]), 3):
+        assert not seen
+        assert piece.num_rows <= 3
+    assert seen == ["back"]
+    monkeypatch.undo()
+    common.give_back()
