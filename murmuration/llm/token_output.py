@@ -15,12 +15,14 @@ Other columns of the input are ignored. An empty table gives empty files.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from murmuration.llm.common import Batches, pieces, text_of
@@ -31,6 +33,8 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 BLOCK_TOKENS = 1 << 18
 CACHED_WORDS = 200_000
+PIECES_AT_ONCE = 20_000
+ENCODED_BYTES = 4 << 20
 
 BLOCK_TYPE = (
     "struct<n: int, lanes: int, words: binary, states: binary, offsets: array<bigint>, "
@@ -71,83 +75,119 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Lower-case letters of ASCII and Latin-1: what is made of them alone is one
-#: piece to this tokenizer, unchanged by its normalizers.
-LETTERS = re.compile("[a-zß-öø-ÿ]+")
-#: Its pieces of a text made of such letters in either case, digits, and ASCII
-#: signs other than the apostrophe (which joins letters) and "<" (special tokens).
-PIECES = re.compile("[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\\[-`{-~]+")
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-Þß-öø-ÿ0-9!-&(-/:;=-@\\[-`{-~]+")
+#: ASCII signs other than the apostrophe (which joins letters) and "<" (special tokens).
+SIGNS = "!-&(-/:;=-@\\[-`{-~"
+#: Words of letters of ASCII and Latin-1, digits and such signs: the normalizers only
+#: lower their letters, and their pieces are runs of letters, single digits and runs of signs.
+PLAIN = f"^[A-Za-zÀ-ÖØ-Þß-öø-ÿ0-9{SIGNS}]+$"
+NO_LETTERS = f"([0-9]|[{SIGNS}]+)"
 
 
-def byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[str, str]:
     """How a byte-level vocabulary spells a Latin-1 letter: its two UTF-8 bytes,
     where bytes without a printable Latin-1 character follow on from 256."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(256, 512))
     of_byte = {b: chr(b if b in printable else next(others)) for b in range(256)}
-    return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+    return {chr(c): "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
-class _Cache(dict):
-    """Encoded pieces. A new word of letters goes to the tokenizer's model, plain
-    texts of several pieces are composed of them, all else is encoded whole."""
+class _Whole(dict):
+    """Words that are not plain, encoded whole."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-        self.model = tokenizer.model
-        self.spelling = byte_letters()
         self.older: dict[str, bytes] = {}
 
-    def trimmed(self) -> _Cache:
+    def trimmed(self) -> _Whole:
         """Forget what has not been asked for since the memory was last full."""
         if len(self) <= CACHED_WORDS:
             return self
-        fresh = _Cache(self.tokenizer)
+        fresh = _Whole(self.tokenizer)
         fresh.older, self.older = self, {}
         return fresh
 
     def __missing__(self, word: str) -> bytes:
-        if (made := self.older.get(word)) is not None:
-            pass
-        elif LETTERS.fullmatch(word):
-            if not word.isascii():
-                pieces = self.model.tokenize(word.translate(self.spelling))
-            else:
-                pieces = self.model.tokenize(word)
-            made = array("H", [p.id for p in pieces]).tobytes()
-        elif PLAIN.fullmatch(word) and (lower := word.lower()) != word:
-            made = self[lower]
-        elif PLAIN.fullmatch(word) and len(parts := PIECES.findall(word)) > 1:
-            made = b"".join([self[p] for p in parts])
-        else:
+        if (made := self.older.get(word)) is None:
             made = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = made
         return made
 
 
+def taken(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` has runs of these sizes: the runs that ``which`` names, one after the
+    other, and their bounds."""
+    bounds = np.concatenate(([0], np.cumsum(sizes[which])))
+    back = np.repeat((np.cumsum(sizes) - sizes)[which] - bounds[:-1], sizes[which])
+    back += np.arange(len(back))
+    return ids[back], bounds
+
+
 class WordEncoder:
     """Ids of whole texts as 16-bit integers.
 
-    This tokenizer never joins what a blank or a line feed separates, so a text
-    is encoded piece by piece, and a piece met before comes from memory.
+    This tokenizer never joins what a blank or a line feed separates. Arrow splits
+    texts into words, and the plain ones of the distinct words into pieces; the
+    distinct pieces go to the tokenizer's model together, without an object of Python
+    for each. Other words are encoded whole and remembered.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        whole = Tokenizer.from_file(path)
+        vocabulary = whole.get_vocab()
+        if len(vocabulary) > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.words = _Cache(self.tokenizer)
+        self.words = _Whole(whole)
+        self.model = Tokenizer(whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ends_piece = np.zeros(1 << 16, bool)
+        suffix = whole.model.end_of_word_suffix
+        self.ends_piece[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.spelling = byte_letters()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            self.words = self.words.trimmed()
-            out.append(b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))))
-        return out
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        plain = pc.match_substring_regex(words.dictionary, PLAIN)
+        ids, sizes = self._composed(words.dictionary.filter(plain))
+        self.words = self.words.trimmed()
+        others = [self.words[w] for w in words.dictionary.filter(pc.invert(plain)).to_pylist()]
+        ids = np.concatenate((ids, np.frombuffer(b"".join(others), np.uint16)))
+        sizes = np.concatenate((sizes, np.array([len(x) // 2 for x in others], np.int64)))
+        # plain words come first in ``ids``
+        place = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))
+        ids, bounds = taken(ids, sizes, place[words.indices.to_numpy()])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in pairwise((2 * bounds[split.offsets.to_numpy()]).tolist())]
+
+    def _composed(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, one after the other, and how many each has."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), NO_LETTERS, r" \1 ")
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+        pieces = split.flatten().dictionary_encode()
+        distinct = [np.zeros(0, np.uint16)]
+        for first in range(0, len(pieces.dictionary), PIECES_AT_ONCE):
+            distinct.append(self._modelled(pieces.dictionary.slice(first, PIECES_AT_ONCE)))
+        ids = np.concatenate(distinct)
+        sizes = np.diff(np.flatnonzero(self.ends_piece[ids]), prepend=-1)
+        ids, bounds = taken(ids, sizes, pieces.indices.to_numpy())
+        return ids, np.diff(bounds[split.offsets.to_numpy()])
+
+    def _modelled(self, pieces: pa.Array) -> np.ndarray:
+        """The model's ids of these pieces; the last of a piece ends a word, no other does."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py()
+        if not joined.isascii():
+            for letter, spelt in self.spelling.items():
+                joined = joined.replace(letter, spelt)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+        if np.count_nonzero(self.ends_piece[ids]) != len(pieces):
+            raise ValueError("a piece does not end where the tokenizer ends a word")
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -156,6 +196,7 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One per worker process, so that its memory of words outlives a task."""
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
@@ -169,19 +210,29 @@ def range_bounds(docs: DataFrame, ranges: int) -> list[int]:
     return sorted(set(row[0] or []))
 
 
+def of_size(batches: Batches, most: int = ENCODED_BYTES) -> Batches:
+    """Batches whose texts have few bytes more than ``most``, unless one text has."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            yield batch.slice(a, b - a)
+
+
 def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
     """(bucket, doc_id, ids): the range of the document and its 16-bit ids."""
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Batches) -> Batches:
-        for batch in pieces(batches):
+        for batch in of_size(pieces(batches, 4000)):
             ids = batch.column("doc_id")
             where = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(where, pa.int32()),
                     ids,
-                    pa.array(encoder(path).encode(batch.column("text").to_pylist()), pa.binary()),
+                    pa.array(encoder(path).encode(batch.column("text")), pa.binary()),
                 ],
                 ["bucket", "doc_id", "ids"],
             )

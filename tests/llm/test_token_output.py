@@ -1,11 +1,15 @@
+import random
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from murmuration.llm import rans
+from murmuration.llm import token_output as module
 from murmuration.llm.token_output import WordEncoder, digests, read_tokens, token_output, tokenizer_path, write_tokens
 from murmuration.plans.stage import run_folder
 
@@ -65,6 +69,52 @@ def test_words_are_encoded_as_whole_texts(spark, folder):
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == want
 
 
+class Counted:
+    """A tokenizer that counts its calls."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode(self, *a, **b):
+        self.calls += 1
+        return self.tokenizer.encode(*a, **b)
+
+    def encode_batch_fast(self, *a, **b):
+        self.calls += 1
+        return self.tokenizer.encode_batch_fast(*a, **b)
+
+
+def test_new_plain_words_cost_no_call_each():
+    rng = random.Random(5)
+    letters = string.ascii_letters + "ÀÉàéßøÿ"
+    words = ["".join(rng.choices(letters, k=9)) + rng.choice(["", ",", "-7b", "42.5%%"]) for _ in range(30_000)]
+    texts = [" ".join(words[k::3]) for k in range(3)]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    encoder = WordEncoder(tokenizer_path())
+    encoder.model, encoder.words.tokenizer = Counted(encoder.model), Counted(encoder.words.tokenizer)
+    got = encoder.encode(pa.array(texts))
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == want
+    assert encoder.model.calls <= 3 and encoder.words.tokenizer.calls == 0 and not encoder.words
+
+
+@pytest.mark.parametrize("remembered, at_once", [(3, 2), (200_000, 20_000)])
+def test_odd_texts_in_any_cut(monkeypatch, remembered, at_once):
+    monkeypatch.setattr(module, "CACHED_WORDS", remembered)
+    monkeypatch.setattr(module, "PIECES_AT_ONCE", at_once)
+    signs = ["".join(chr(c) for c in range(33, 127)), *(f"a{chr(c)}B{chr(c)}{chr(c)}0" for c in range(33, 0x180))]
+    texts = ["", *[t or "" for t in ODD], " ".join(signs), "\n", "ÀÖØÞ ßöøÿ Ê,È ×÷ ªº µ", "x" * 3000, " a  b "]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    encoder = WordEncoder(tokenizer_path())
+    for most in (1, 50, 1 << 20):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(1)
+        cut = list(module.of_size(iter([batch]), most))
+        assert sum(b.num_rows for b in cut) == len(texts) - 1
+        got = [g for b in cut for g in encoder.encode(b.column("text"))]
+        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == want[1:]
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+    assert [b.num_rows for b in module.of_size(iter([batch.slice(0, 0)]))] == [0]
+
+
 def test_files_give_back_every_document(spark, make_docs):
     rows = [(k * 7 % 40, t) for k, t in enumerate(ODD * 5)]
     docs = make_docs(rows).withColumn("start", F.lit("mine")).withColumn("bucket", F.lit(1))
